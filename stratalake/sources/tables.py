@@ -195,11 +195,13 @@ class Lake:
         """Create or replace a table; returns the number of rows."""
         return self._create(table, df, partition_by)[0]
 
-    def _create(self, table, df, partition_by=(), unique_key=(), track=None, keep_if_empty=False):
+    def _create(
+        self, table, df, partition_by=(), unique_key=(), track=None, keep_if_empty=False, operation="create", batch=None
+    ):
         version = self._next(table)
         rows, segments, mark = self._write(df, table, version, partition_by, track)
         if rows or not keep_if_empty:
-            self._commit(table, version, "create", rows, segments, df.schema.json(), partition_by, unique_key)
+            self._commit(table, version, operation, rows, segments, df.schema.json(), partition_by, unique_key, batch)
         return rows, mark
 
     def overwrite(self, table: str, df: DataFrame, unique_key: Sequence[str] = ()) -> int:
@@ -239,27 +241,35 @@ class Lake:
         receive one; all others are carried over by reference. A ``batch_id``
         that is already in the log is not applied again.
         """
-        entry = self._entry(table)
-        if entry is not None and entry["operation"] == "drop":
-            entry = None
         if batch_id is not None and not self._log(table).where(F.col("batch") == batch_id).isEmpty():
             return {"inserted": 0, "updated": 0}
-        if entry is None:
-            version = self._next(table)
+        stored, rows, _ = self._stage(table, batch)
+        if rows == 0:
+            return {"inserted": 0, "updated": 0}
+        return self._merge(table, stored, keys, order_by, partition_by, batch_id)
+
+    def _stage(self, table: str, batch: DataFrame, track: str | None = None):
+        """Write a batch once; an upsert reads it several times, always the same rows."""
+        ref = TableRef.parse(table)
+        target = f"{self.base}/_staging/{ref.layer}_{ref.name}"
+        rows, mark = self._save(batch, target, (), track)
+        return self.spark.read.schema(batch.schema).parquet(target), rows, mark
+
+    def _merge(self, table, batch, keys, order_by=(), partition_by=(), batch_id=None) -> dict[str, int]:
+        entry = self._entry(table)
+        if entry is None or entry["operation"] == "drop":
             last = keep_last(batch, keys, order_by)
-            rows, segments, _ = self._write(last, table, version, partition_by)
-            self._commit(table, version, "merge", rows, segments, batch.schema.json(), partition_by, keys, batch_id)
+            rows, _ = self._create(table, last, partition_by, keys, operation="merge", batch=batch_id)
             return {"inserted": rows, "updated": 0}
-
         version, parts = entry["version"] + 1, entry["partition_by"]
         schema = _widen(entry["schema"], batch)
         was_unique = sorted(entry["unique_key"]) == sorted(keys)
-        current = self._scan(table, entry, entry["segments"])
-        stats = merge_stats(current, batch, keys).first().asDict()
         touched, untouched = list(entry["segments"]), []
         if parts:
-            touched, untouched = self._split_segments(table, entry, current, batch, keys)
+            touched, untouched = self._split_segments(table, entry, batch, keys)
         existing = self._scan(table, entry, touched)
+        # Rows outside the touched directories have none of the batch's keys.
+        stats = merge_stats(existing, batch, keys).first().asDict()
         merged = merge(existing, batch, keys, order_by, existing_unique=was_unique)
         rows, segments, _ = self._write(merged, table, version, parts)
         # Each key is now unique in the whole table if it was before, or if all of it was rewritten.
@@ -267,7 +277,7 @@ class Lake:
         self._commit(table, version, "merge", rows, [*untouched, *segments], schema, parts, unique, batch_id)
         return stats
 
-    def _split_segments(self, table, entry, current, batch, keys) -> tuple[list[str], list[str]]:
+    def _split_segments(self, table, entry, batch, keys) -> tuple[list[str], list[str]]:
         """Directories holding a partition the batch touches, and the others.
 
         The partition values come back to the driver (their number is that of
@@ -277,6 +287,7 @@ class Lake:
         hit = batch.select(*cols(parts))
         if not set(parts) <= set(keys):
             # A key may move: the partition that holds it now is touched as well.
+            current = self._scan(table, entry, entry["segments"])
             fresh = batch.select(*cols(keys)).distinct()
             holders = current.join(fresh, same_key(current, fresh, keys), "left_semi").select(*cols(parts))
             hit = hit.union(holders)
@@ -293,9 +304,9 @@ class Lake:
         )
         wanted = hit.distinct()
         rows = layout.join(wanted, same_key(layout, wanted, parts), "left_semi").select("_segment").collect()
-        found = {_unescape(r["_segment"]) for r in rows}
-        touched = [s for s in entry["segments"] if _unescape(s) in found]
-        return touched, [s for s in entry["segments"] if _unescape(s) not in found]
+        # The scan reports paths URL-encoded.
+        found = {unquote(r["_segment"]) for r in rows}
+        return [s for s in entry["segments"] if s in found], [s for s in entry["segments"] if s not in found]
 
     def drop(self, table: str) -> None:
         """Hide the table; its older versions stay readable by number."""
@@ -351,15 +362,11 @@ class Lake:
         result = transform(rows)
         track = watermark if watermark in result.columns else None
         if unique_key:
-            # An upsert reads its batch several times: write it once, measure it there.
-            ref = TableRef.parse(table)
-            staged = f"{self.base}/_staging/{ref.layer}_{ref.name}"
-            read, mark = self._save(result, staged, (), track)
+            batch, read, mark = self._stage(table, result, track)
             if read == 0:
                 return RunResult(table, 0, 0, 0, incremental, None)
-            batch = self.spark.read.schema(result.schema).parquet(staged)
             if incremental:
-                stats = self.merge(table, batch, unique_key, order_by, partition_by)
+                stats = self._merge(table, batch, unique_key, order_by, partition_by)
             else:
                 written, _ = self._create(table, keep_last(batch, unique_key, order_by), partition_by, unique_key)
                 stats = {"inserted": written, "updated": 0}
@@ -378,7 +385,7 @@ class Lake:
         """Copy a tested table into another workspace: replace it, or upsert by ``keys``."""
         rows = self.read(table)
         if keys:
-            return target.merge(table, rows, keys, order_by, self._live(table)["partition_by"])
+            return target._merge(table, rows, keys, order_by, self._live(table)["partition_by"])
         if target.exists(table):
             return {"inserted": target.overwrite(table, rows), "updated": 0}
         return {"inserted": target.create(table, rows, self._live(table)["partition_by"]), "updated": 0}
@@ -394,7 +401,3 @@ def _widen(schema_json: str, df: DataFrame) -> str:
             raise ValueError(f"{field.name}: table has {schema[field.name].dataType}, batch has {field.dataType}")
     return schema.json()
 
-
-def _unescape(path: str) -> str:
-    return unquote(unquote(path))
-

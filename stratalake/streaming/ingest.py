@@ -62,13 +62,7 @@ def merge_stream(
     name = name or table
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        # The upsert reads the batch several times; read the files once.
-        held = transform(batch).persist()
-        try:
-            if not held.isEmpty():
-                lake.merge(table, held, keys, order_by, partition_by, batch_id=f"{name}:{batch_id}")
-        finally:
-            held.unpersist()
+        lake.merge(table, transform(batch), keys, order_by, partition_by, batch_id=f"{name}:{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(upsert)

@@ -117,8 +117,8 @@ def test_compact_and_retain(spark, lake):
 
 
 def test_tables_and_views(spark, lake, rows):
-    lake.create("bronze.a", frame(spark, [1]))
-    lake.create("gold.b", frame(spark, [1, 2]))
+    lake.create("bronze.a", frame(spark, [1]).coalesce(1))
+    lake.create("gold.b", frame(spark, [1, 2]).coalesce(1))
     assert rows(lake.tables(), "layer", "name", "files") == [("bronze", "a", 1), ("gold", "b", 1)]
     assert lake.register_views() == ["bronze_a", "gold_b"]
     assert spark.sql("select count(*) from gold_b").first()[0] == 2
