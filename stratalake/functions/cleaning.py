@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,15 +61,14 @@ def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     )
 
 
-def micros(df: DataFrame) -> DataFrame:
-    """Bring nanosecond readings (kept by Spark as long) named ``*_ns`` to microsecond timestamps."""
-    out = []
-    for field in df.schema.fields:
-        if field.name.endswith("_ns") and isinstance(field.dataType, T.LongType):
-            out.append(F.timestamp_micros(F.floor(col(field.name) / 1000)).alias(field.name[: -len("_ns")]))
-        else:
-            out.append(col(field.name))
-    return df.select(*out)
+def nanos_to_timestamps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Nanoseconds since the epoch (as Spark reads nanosecond Parquet with ``nanosAsLong``) to timestamps.
+
+    Spark keeps microseconds; the rest is cut off downwards.
+    """
+    return df.withColumns(
+        {c: F.timestamp_micros(F.expr(f"(`{c}` - pmod(`{c}`, 1000L)) div 1000L")) for c in columns}
+    )
 
 
 def add_audit_columns(df: DataFrame, source: str, run_ts: str, source_file: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -22,7 +23,12 @@ STATE_SCHEMA = (
 
 
 def typed_literal(df: DataFrame, column: str, value: Any) -> Column:
-    """``value`` as a literal of the column's own type, so the filter can reach the scan."""
+    """``value`` as a literal of the column's own type, so the filter can reach the scan.
+
+    Times are taken as wall-clock time of the session's zone, whatever the zone of this process.
+    """
+    if isinstance(value, datetime):
+        value = value.isoformat(sep=" ")
     return F.lit(value).cast(df.schema[column].dataType)
 
 
@@ -34,10 +40,10 @@ def newer_than(df: DataFrame, column: str, value: Any, lookback: timedelta | int
     """
     if value is None:
         return df
-    if lookback is not None:
-        if isinstance(value, str):
-            value = datetime.fromisoformat(value)
-        value = value - lookback
+    if isinstance(lookback, timedelta):
+        value = datetime.fromisoformat(str(value)) - lookback
+    elif lookback is not None:
+        value = Decimal(str(value)) - lookback
     return df.where(col(column) > typed_literal(df, column, value))
 
 
@@ -115,9 +121,17 @@ class WatermarkStore:
         now = datetime.now()
         self._append([(pipeline, column, str(value), value_type, now, int(row_count), False)])
 
-    def get_state(self, pipeline: str, column: str) -> WatermarkState | None:
+    def _current(self, pipeline: str, column: str):
         wanted = self.log().where((F.col("pipeline") == pipeline) & (F.col("column") == column))
-        row = current_state(wanted).first()
+        return current_state(wanted).first()
+
+    def get_text(self, pipeline: str, column: str) -> str | None:
+        """The value as Spark wrote it, to be cast back to the column's type."""
+        row = self._current(pipeline, column)
+        return None if row is None else row["value"]
+
+    def get_state(self, pipeline: str, column: str) -> WatermarkState | None:
+        row = self._current(pipeline, column)
         if row is None:
             return None
         value = self.spark.range(1).select(F.lit(row["value"]).cast(row["value_type"])).first()[0]

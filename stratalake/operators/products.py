@@ -27,7 +27,8 @@ SUBSCRIPTION_SCHEMA = (
 
 # Patch numbers are looked up in blocks of this many, so that a product with
 # countless patches under one minor version still spreads over many groups.
-PATCH_BLOCK = 4096
+BLOCK_BITS = 12
+PATCH_BLOCK = 1 << BLOCK_BITS
 DIGITS = ("_major", "_minor", "_block", "_patch")
 
 
@@ -39,7 +40,7 @@ def latest_versions(versions: DataFrame) -> DataFrame:
 
 def _digits(major: Column, minor: Column, patch: Column) -> list[Column]:
     """A version as numbers that order like it, from most to least significant."""
-    parts = (major, minor, F.floor(patch / PATCH_BLOCK), F.pmod(patch, F.lit(PATCH_BLOCK)))
+    parts = (major, minor, F.shiftright(patch, BLOCK_BITS), patch.bitwiseAND(PATCH_BLOCK - 1))
     return [p.cast("bigint").alias(d) for p, d in zip(parts, DIGITS)]
 
 

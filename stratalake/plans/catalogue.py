@@ -18,6 +18,9 @@ from stratalake.plans import marts, raw
 from stratalake.plans.raw import table
 from stratalake.session import shared_dir
 from stratalake.sources.files import read_parquet, write_parquet
+from stratalake.sources.products import ProductCatalog
+from stratalake.sources.tables import Lake
+from stratalake.streaming.ingest import merge_stream, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -636,3 +639,86 @@ def missing_columns(spark, path):
 @query
 def product_sla_status(spark, path):
     return products.sla_status(raw.products(spark, path), raw.product_versions(spark, path), EVENTS_AS_OF)
+
+
+# --- stored tables: written to the shared folder and read back ----------------
+
+
+@query
+def stored_upsert(spark, path):
+    """A table partitioned by ship year, loaded and then upserted."""
+    lake, by_year = Lake(spark, shared_dir(spark, "stored-upsert")), {"ship_year": F.year("l_shipdate")}
+    lake.merge("silver.lines", _existing(spark, path).withColumns(by_year), LINE_KEYS, LINE_ORDER, ["ship_year"])
+    lake.merge("silver.lines", _batch(spark, path).withColumns(by_year), LINE_KEYS, LINE_ORDER)
+    return lake.read("silver.lines")
+
+
+def _versioned_orders(spark, path) -> Lake:
+    lake, orders = Lake(spark, shared_dir(spark, "orders")), table(spark, path, "orders")
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    lake.create("bronze.orders", orders.where(F.col("o_orderdate") < cut))
+    lake.append("bronze.orders", orders.where(F.col("o_orderdate") >= cut))
+    lake.overwrite("bronze.orders", orders.where(F.col("o_orderstatus") == "F"))
+    return lake
+
+
+@query
+def read_snapshot(spark, path):
+    """The table as it was before its last overwrite."""
+    return _versioned_orders(spark, path).read("bronze.orders", version=2)
+
+
+@query
+def read_overwritten(spark, path):
+    return _versioned_orders(spark, path).read("bronze.orders")
+
+
+@query
+def table_history(spark, path):
+    return _versioned_orders(spark, path).history("bronze.orders").select("version", "operation", "row_count")
+
+
+@query
+def incremental_runs(spark, path):
+    """Two runs driven by the stored high-water value: the same as one full run."""
+    lake, events = Lake(spark, shared_dir(spark, "incremental-runs")), raw.raw_events(spark, path)
+    early = events.where(F.col("_ingested_at") <= F.lit(EVENTS_CUT).cast("timestamp_ntz"))
+    for source in (early, events):
+        lake.run(
+            "silver.events",
+            source,
+            lambda df: marts.silver_events(df, EVENTS_AS_OF),
+            unique_key=["event_id"],
+            watermark="_ingested_at",
+            order_by=["_ingested_at"],
+            partition_by=["_date"],
+        )
+    return lake.read("silver.events")
+
+
+@query
+def stream_upsert(spark, path):
+    """Events streamed from their file into a table that keeps the last one per user and type."""
+    folder = shared_dir(spark, "stream-upsert")
+    lake, schema = Lake(spark, folder), table(spark, path, "events").schema
+    stream = stream_files(spark, path, schema, pattern="events.parquet")
+    merge_stream(
+        stream, lake, "silver.last_event", ["user_id", "event_type"], ["ts"], f"{folder}/checkpoint"
+    ).awaitTermination()
+    return lake.read("silver.last_event")
+
+
+@query
+def published_product(spark, path):
+    """Sales per store, published in three versions; a consumer reads within major version 1."""
+    root = shared_dir(spark, "products")
+    lake, catalog = Lake(spark, root, "sales"), ProductCatalog(spark, root)
+    lines = table(spark, path, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag")
+    lake.create("gold.lines", lines.where("l_returnflag = 'A'"))
+    catalog.publish(lake, "lines", "gold.lines", "1.0.0", "Sold quantities")
+    lake.append("gold.lines", lines.where("l_returnflag = 'N'"))
+    catalog.publish(lake, "lines", "gold.lines", "1.10.0")
+    lake.append("gold.lines", lines.where("l_returnflag = 'R'"))
+    catalog.publish(lake, "lines", "gold.lines", "2.0.0")
+    sql = "select l_suppkey, count(*) as n, cast(sum(l_quantity) as bigint) as quantity from {product} group by l_suppkey"
+    return catalog.query("reporting", "lines", sql, "^1.2.0")

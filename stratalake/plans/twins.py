@@ -567,4 +567,19 @@ SELECT name, version, published_at,
        CASE WHEN published_at IS NULL OR published_at < TIMESTAMP '2024-01-31 00:00:00' - to_hours(2 * sla_freshness_hours) THEN 'error'
             WHEN published_at < TIMESTAMP '2024-01-31 00:00:00' - to_hours(sla_freshness_hours) THEN 'warn' ELSE 'pass' END AS status
 FROM products LEFT JOIN latest ON name = product_name""",
+    "stored_upsert": f"WITH {MERGED} SELECT *, CAST(year(l_shipdate) AS INTEGER) AS ship_year FROM merged",
+    "read_snapshot": "SELECT * FROM orders",
+    "read_overwritten": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
+    "table_history": """
+SELECT CAST(1 AS BIGINT) AS version, 'create' AS operation, count(*) AS row_count FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00'
+UNION ALL SELECT 2, 'append', count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'
+UNION ALL SELECT 3, 'overwrite', count(*) FROM orders WHERE o_orderstatus = 'F'""",
+    "incremental_runs": f"WITH {SILVER_EVENTS} SELECT * REPLACE (CAST(session_duration_sec AS DOUBLE) AS session_duration_sec) FROM ev",
+    "stream_upsert": """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1""",
+    "published_product": """
+SELECT l_suppkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
+FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1""",
 }

@@ -357,7 +357,7 @@ class Lake:
         advances after the data is committed. An empty result writes nothing.
         """
         incremental = watermark is not None and not full_refresh and self.exists(table)
-        value = self.state.get(table, watermark) if incremental else None
+        value = self.state.get_text(table, watermark) if incremental else None
         rows = newer_than(source, watermark, value, lookback) if watermark else source
         result = transform(rows)
         track = watermark if watermark in result.columns else None

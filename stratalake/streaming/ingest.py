@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from stratalake.functions.columns import cols
 from stratalake.sources.tables import Lake
@@ -19,7 +20,7 @@ from stratalake.sources.tables import Lake
 def stream_files(
     spark: SparkSession,
     path: str,
-    schema: str,
+    schema: str | StructType,
     file_format: str = "parquet",
     pattern: str = "*",
     max_files_per_trigger: int | None = None,

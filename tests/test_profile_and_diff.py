@@ -1,6 +1,6 @@
 import pytest
 
-from stratalake.functions.cleaning import NULL_SPELLINGS, apply_types, clean_null_strings, micros
+from stratalake.functions.cleaning import NULL_SPELLINGS, apply_types, clean_null_strings, nanos_to_timestamps
 from stratalake.operators import diff, profile
 
 
@@ -50,8 +50,9 @@ def test_apply_types(spark, rows):
 
 
 def test_nanoseconds(spark):
-    df = spark.createDataFrame([(1_700_000_000_123_456_789,)], "at_ns bigint")
-    assert micros(df).selectExpr("unix_micros(at)").first()[0] == 1_700_000_000_123_456
+    df = spark.createDataFrame([(1_700_000_000_123_456_999,), (-1,)], "at bigint")
+    got = nanos_to_timestamps(df, ["at"]).selectExpr("unix_micros(at)").collect()
+    assert [r[0] for r in got] == [1_700_000_000_123_456, -1]
 
 
 @pytest.fixture
