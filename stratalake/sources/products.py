@@ -139,7 +139,7 @@ class ProductCatalog:
         df = lake.read(source_table)
         location = f"{self.base}/{product}/v{version}"
         rows, _ = Lake._save(df, location)
-        commit = str(lake.history(source_table).agg(F.max("version")).first()[0])
+        commit = str(lake.version(source_table))
         schema = df.schema.json()
         self._record(
             "versions",

@@ -1,7 +1,7 @@
 """Named tables in layers, kept as Parquet directories with a version log.
 
 A table lives at ``<root>/<workspace>/<layer>/<name>/``. Each write adds a
-directory ``data/__version=<n>/`` and then, as its last step, one row to ``log/``. The
+directory ``data/__version=<n>.<id>/`` and then, as its last step, one row to ``log/``. The
 row lists the directories that make up version ``n``. Readers follow the log,
 so a write that dies half-way leaves nothing visible, older versions stay
 readable, an append copies nothing, and an upsert rewrites only the partitions
@@ -15,6 +15,7 @@ in for this module; the operators do not depend on it.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.functions.columns import cols, same_key
+from stratalake.functions.columns import col, cols, same_key
 from stratalake.operators.incremental import WatermarkStore, newer_than, observe_watermark
 from stratalake.operators.retention import retain as keep_recent
 from stratalake.operators.upsert import keep_last, merge, merge_stats
@@ -100,6 +101,9 @@ class Lake:
         """Versions in order: number, time, operation, rows written."""
         return self._log(table).select("version", "committed_at", "operation", "row_count").orderBy("version")
 
+    def version(self, table: str) -> int:
+        return self._live(table)["version"]
+
     def exists(self, table: str) -> bool:
         entry = self._entry(table)
         return entry is not None and entry["operation"] != "drop"
@@ -163,9 +167,11 @@ class Lake:
     def _write(self, df: DataFrame, table: str, version: int, partition_by: Sequence[str], track: str | None = None):
         """Write one version directory: row count, the directories it consists of, high-water value."""
         if partition_by:
+            df = _storable(df, partition_by)
             # Few files per partition value, while AQE splits a value that holds most rows.
             df = df.hint("rebalance", *partition_by)
-        name = f"__version={version}"
+        # Unique, so that a second writer of the same version cannot touch committed files.
+        name = f"__version={version}.{uuid.uuid4().hex[:12]}"
         target = f"{self.path(table)}/data/{name}"
         rows, mark = self._save(df, target, partition_by, track)
         if rows == 0:
@@ -258,10 +264,11 @@ class Lake:
     def _merge(self, table, batch, keys, order_by=(), partition_by=(), batch_id=None) -> dict[str, int]:
         entry = self._entry(table)
         if entry is None or entry["operation"] == "drop":
-            last = keep_last(batch, keys, order_by)
+            last = keep_last(_storable(batch, partition_by), keys, order_by)
             rows, _ = self._create(table, last, partition_by, keys, operation="merge", batch=batch_id)
             return {"inserted": rows, "updated": 0}
         version, parts = entry["version"] + 1, entry["partition_by"]
+        batch = _storable(batch, parts)
         schema = _widen(entry["schema"], batch)
         was_unique = sorted(entry["unique_key"]) == sorted(keys)
         touched, untouched = list(entry["segments"]), []
@@ -368,7 +375,8 @@ class Lake:
             if incremental:
                 stats = self._merge(table, batch, unique_key, order_by, partition_by)
             else:
-                written, _ = self._create(table, keep_last(batch, unique_key, order_by), partition_by, unique_key)
+                last = keep_last(_storable(batch, partition_by), unique_key, order_by)
+                written, _ = self._create(table, last, partition_by, unique_key)
                 stats = {"inserted": written, "updated": 0}
         else:
             if incremental:
@@ -391,6 +399,12 @@ class Lake:
         return {"inserted": target.create(table, rows, self._live(table)["partition_by"]), "updated": 0}
 
 
+def _storable(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Empty text in a partition column as null, which is what a partition directory makes of it."""
+    texts = [c for c in partition_by if isinstance(df.schema[c].dataType, T.StringType)]
+    return df.withColumns({c: F.nullif(col(c), F.lit("")) for c in texts}) if texts else df
+
+
 def _widen(schema_json: str, df: DataFrame) -> str:
     """The stored schema plus columns new in ``df``; a changed type is refused."""
     schema = T.StructType.fromJson(json.loads(schema_json))
