@@ -13,12 +13,14 @@ from dataclasses import dataclass, field
 from datetime import timedelta
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalake.functions.columns import col, cols, require_columns
 
+STATUSES = ("passed", "failed", "warned", "skipped", "errored")
 RESULT_SCHEMA = "check string, kind string, severity string, violations bigint, total bigint, status string"
 
 
@@ -182,6 +184,11 @@ def _query_counts(df: DataFrame, check: Check) -> DataFrame:
     if check.scalar:
         number = F.max(F.col(f"`{found.columns[0]}`")).cast("bigint")
         violations = F.when(number.isNull(), F.lit(1)).otherwise(F.abs(number - F.lit(check.expect)))
+    elif check.tolerance:
+        # A share needs the number of rows as well; both fold into one aggregate.
+        marks = found.select(F.lit(1).alias("v"), F.lit(0).alias("t")).union(df.select(F.lit(0), F.lit(1)))
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("v", "violations"), ("t", "total"))]
+        return marks.agg(*sums).select(*_label(check), "violations", "total")
     else:
         violations = F.count(F.lit(1))
     return found.agg(violations.cast("bigint").alias("violations")).select(
@@ -189,15 +196,33 @@ def _query_counts(df: DataFrame, check: Check) -> DataFrame:
     )
 
 
+def _fits(df: DataFrame, check: Check) -> bool:
+    """Whether Spark can resolve the check against the table; runs nothing."""
+    try:
+        if check.violates is not None:
+            df.select(check.violates)
+        elif check.unique_on:
+            df.select(*cols(check.unique_on))
+        elif check.query is not None:
+            check.query(df)
+    except AnalysisException:
+        return False
+    return True
+
+
 def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per check: ``check, kind, severity, violations, total, status``.
 
-    ``status`` is passed, failed, warned or skipped. A check passes without
-    violations, or while their share of the rows stays within its tolerance.
+    ``status`` is passed, failed, warned, skipped or errored (the check does
+    not fit the table, for example names an unknown column). A check passes
+    without violations, or while their share of the rows stays within its
+    tolerance.
     """
     if not checks:
         raise ValueError("no checks given")
-    active = [c for c in checks if not c.skip]
+    without_result = {id(c): "skipped" for c in checks if c.skip}
+    without_result |= {id(c): "errored" for c in checks if not c.skip and not _fits(df, c)}
+    active = [c for c in checks if id(c) not in without_result]
     parts = []
     by_row = [c for c in active if c.query is None and not c.unique_on]
     if by_row:
@@ -212,19 +237,21 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     good = (F.col("violations") == 0) | F.coalesce(within, F.lit(False))
     status = F.when(good, "passed").when(F.col("severity") == "warn", "warned").otherwise("failed")
     results = [part.withColumn("status", status).drop("tolerance") for part in parts]
-    skipped = [(c.name, c.kind, c.severity, None, None, "skipped") for c in checks if c.skip]
-    if skipped:
-        results.append(df.sparkSession.createDataFrame(skipped, RESULT_SCHEMA))
+    listed = [
+        (c.name, c.kind, c.severity, None, None, without_result[id(c)]) for c in checks if id(c) in without_result
+    ]
+    if listed:
+        results.append(df.sparkSession.createDataFrame(listed, RESULT_SCHEMA))
     return reduce(lambda a, b: a.union(b), results)
 
 
 def summarize(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Roll-up: number of checks per status, and whether the gate is open."""
-    count = {s: F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "warned", "skipped")}
+    count = {s: F.count_if(F.col("status") == s).alias(s) for s in STATUSES}
     return (
         results.groupBy(*cols(by))
         .agg(F.count(F.lit(1)).alias("checks"), *count.values())
-        .withColumn("success", F.col("failed") == 0)
+        .withColumn("success", (F.col("failed") == 0) & (F.col("errored") == 0))
     )
 
 
@@ -233,10 +260,11 @@ class QualityGateError(Exception):
 
 
 def gate(results: DataFrame) -> DataFrame:
-    """Raise if any check of severity ``error`` failed; warnings pass. Returns the results."""
-    broken = results.where(F.col("status") == "failed").orderBy("check").collect()
+    """Raise if a check of severity ``error`` failed or could not be evaluated; warnings pass."""
+    blocking = (F.col("status") == "failed") | ((F.col("status") == "errored") & (F.col("severity") == "error"))
+    broken = results.where(blocking).orderBy("check").collect()
     if broken:
-        listed = ", ".join(f"{r['check']} ({r['violations']} violations)" for r in broken)
+        listed = ", ".join(f"{r['check']} ({r['status']}, {r['violations']} violations)" for r in broken)
         raise QualityGateError(f"blocked by: {listed}")
     return results
 

@@ -482,7 +482,7 @@ WITH {FAULTY_SALES}, results AS (
                  WHEN severity = 'warn' THEN 'warned' ELSE 'failed' END AS status FROM ({SUITE}))
 SELECT count(*) AS checks, count(*) FILTER (WHERE status = 'passed') AS passed,
        count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'warned') AS warned,
-       count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'failed') = 0 AS success
+       count(*) FILTER (WHERE status = 'skipped') AS skipped, CAST(0 AS BIGINT) AS errored, count(*) FILTER (WHERE status = 'failed') = 0 AS success
 FROM results""",
     "freshness_status": """
 SELECT event_type, user_id, max(ts) AS newest,

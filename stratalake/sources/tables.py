@@ -239,20 +239,24 @@ class Lake:
         order_by: Sequence[str] = (),
         partition_by: Sequence[str] = (),
         batch_id: str | None = None,
+        keys_stay: bool = False,
     ) -> dict[str, int]:
         """Upsert ``batch``; returns the numbers of inserted and updated keys.
 
         Creates the table if needed. Of a partitioned table only those
         partitions are read and rewritten that hold a key of the batch or
-        receive one; all others are carried over by reference. A ``batch_id``
-        that is already in the log is not applied again.
+        receive one; all others are carried over by reference. To find them the
+        key columns of the table are read, unless the partition is part of the
+        key or the caller vouches that a key never changes its partition
+        (``keys_stay``). A ``batch_id`` that is already in the log is not
+        applied again.
         """
         if batch_id is not None and not self._log(table).where(F.col("batch") == batch_id).isEmpty():
             return {"inserted": 0, "updated": 0}
         stored, rows, _ = self._stage(table, batch)
         if rows == 0:
             return {"inserted": 0, "updated": 0}
-        return self._merge(table, stored, keys, order_by, partition_by, batch_id)
+        return self._merge(table, stored, keys, order_by, partition_by, batch_id, keys_stay)
 
     def _stage(self, table: str, batch: DataFrame, track: str | None = None):
         """Write a batch once; an upsert reads it several times, always the same rows."""
@@ -261,7 +265,7 @@ class Lake:
         rows, mark = self._save(batch, target, (), track)
         return self.spark.read.schema(batch.schema).parquet(target), rows, mark
 
-    def _merge(self, table, batch, keys, order_by=(), partition_by=(), batch_id=None) -> dict[str, int]:
+    def _merge(self, table, batch, keys, order_by=(), partition_by=(), batch_id=None, keys_stay=False) -> dict[str, int]:
         entry = self._entry(table)
         if entry is None or entry["operation"] == "drop":
             last = keep_last(_storable(batch, partition_by), keys, order_by)
@@ -273,7 +277,7 @@ class Lake:
         was_unique = sorted(entry["unique_key"]) == sorted(keys)
         touched, untouched = list(entry["segments"]), []
         if parts:
-            touched, untouched = self._split_segments(table, entry, batch, keys)
+            touched, untouched = self._split_segments(table, entry, batch, keys, keys_stay)
         existing = self._scan(table, entry, touched)
         # Rows outside the touched directories have none of the batch's keys.
         stats = merge_stats(existing, batch, keys).first().asDict()
@@ -284,35 +288,29 @@ class Lake:
         self._commit(table, version, "merge", rows, [*untouched, *segments], schema, parts, unique, batch_id)
         return stats
 
-    def _split_segments(self, table, entry, batch, keys) -> tuple[list[str], list[str]]:
+    def _split_segments(self, table, entry, batch, keys, keys_stay) -> tuple[list[str], list[str]]:
         """Directories holding a partition the batch touches, and the others.
 
-        The partition values come back to the driver (their number is that of
-        the touched directories); rows do not.
+        Only directory names meet the batch's distinct partition values; the
+        names that match come back to the driver, rows do not.
         """
         parts = entry["partition_by"]
         hit = batch.select(*cols(parts))
-        if not set(parts) <= set(keys):
+        if not keys_stay and not set(parts) <= set(keys):
             # A key may move: the partition that holds it now is touched as well.
             current = self._scan(table, entry, entry["segments"])
             fresh = batch.select(*cols(keys)).distinct()
             holders = current.join(fresh, same_key(current, fresh, keys), "left_semi").select(*cols(parts))
             hit = hit.union(holders)
-        file = F.regexp_extract(F.col("_metadata.file_path"), r"/data/(__version=.*)/[^/]*$", 1)
-        # Only partition columns and file names are needed: no data column is read.
-        data = f"{self.path(table)}/data"
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
-        layout = (
-            self.spark.read.schema(schema)
-            .option("basePath", data)
-            .parquet(*[f"{data}/{s}" for s in entry["segments"]])
-            .select(*cols(parts), file.alias("_segment"))
-            .distinct()
+        named = [(s, *_partition_values(s)) for s in entry["segments"]]
+        texts = T.StructType([T.StructField(c, T.StringType()) for c in ("_segment", *parts)])
+        layout = self.spark.createDataFrame(named, texts).select(
+            "_segment", *[col(c).cast(schema[c].dataType).alias(c) for c in parts]
         )
         wanted = hit.distinct()
         rows = layout.join(wanted, same_key(layout, wanted, parts), "left_semi").select("_segment").collect()
-        # The scan reports paths URL-encoded.
-        found = {unquote(r["_segment"]) for r in rows}
+        found = {r["_segment"] for r in rows}
         return [s for s in entry["segments"] if s in found], [s for s in entry["segments"] if s not in found]
 
     def drop(self, table: str) -> None:
@@ -355,6 +353,7 @@ class Lake:
         partition_by: Sequence[str] = (),
         lookback=None,
         full_refresh: bool = False,
+        keys_stay: bool = False,
     ) -> RunResult:
         """Bring ``table`` up to date from ``source``.
 
@@ -373,7 +372,7 @@ class Lake:
             if read == 0:
                 return RunResult(table, 0, 0, 0, incremental, None)
             if incremental:
-                stats = self._merge(table, batch, unique_key, order_by, partition_by)
+                stats = self._merge(table, batch, unique_key, order_by, partition_by, keys_stay=keys_stay)
             else:
                 last = keep_last(_storable(batch, partition_by), unique_key, order_by)
                 written, _ = self._create(table, last, partition_by, unique_key)
@@ -399,6 +398,12 @@ class Lake:
         return {"inserted": target.create(table, rows, self._live(table)["partition_by"]), "updated": 0}
 
 
+def _partition_values(segment: str) -> list[str | None]:
+    """The values in ``__version=.../a=1/b=x``, as text."""
+    values = [unquote(part.partition("=")[2]) for part in segment.split("/")[1:]]
+    return [None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values]
+
+
 def _storable(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """Empty text in a partition column as null, which is what a partition directory makes of it."""
     texts = [c for c in partition_by if isinstance(df.schema[c].dataType, T.StringType)]

@@ -69,6 +69,26 @@ def test_queries_and_scalars(sales):
     assert got["rows"][0::2] == (0, "passed")
 
 
+def test_share_of_a_query(sales):
+    one = lambda df: df.where("kind is null")
+    got = status(sales, q.violation_query("some", one, tolerance=0.2), q.violation_query("few", one, tolerance=0.1))
+    assert got == {"some": (1, 5, "passed"), "few": (1, 5, "failed")}
+
+
+def test_a_check_that_does_not_fit_leaves_the_others_alone(sales):
+    checks = [
+        q.not_null("id"), q.rule("broken", "no_such_column > 1"), q.unique("nope"),
+        q.violation_query("bad", lambda df: df.where("nope = 1"), severity="warn"),
+    ]
+    results = q.run_checks(sales, checks)
+    assert {r["check"]: r["status"] for r in results.collect()} == {
+        "id_not_null": "failed", "broken": "errored", "nope_unique": "errored", "bad": "errored",
+    }
+    assert q.summarize(results).first()["errored"] == 3
+    with pytest.raises(q.QualityGateError, match="broken"):
+        q.gate(results)
+
+
 def test_empty_table(sales):
     none = sales.where("false")
     got = status(none, q.not_null("id"), q.unique("id"), q.not_empty())

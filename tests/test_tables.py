@@ -81,6 +81,21 @@ def test_partition_values_with_odd_characters(spark, lake, rows):
     assert [s.rsplit("/", 1)[1] for s in kept] == ["p=007"]
 
 
+def test_keys_that_stay_need_no_search(spark, lake, rows):
+    lake.merge("silver.d", days(spark, [(1, 1, "a"), (2, 2, "b")]), ["k"], partition_by=["_date"])
+    batch = days(spark, [(2, 2, "B"), (3, 2, "c")])
+    assert lake.merge("silver.d", batch, ["k"], keys_stay=True) == {"inserted": 1, "updated": 1}
+    assert rows(lake.read("silver.d"), "k", "v") == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_two_partition_columns(spark, lake, rows):
+    schema = "k int, y int, s string, v int"
+    lake.merge("gold.t", spark.createDataFrame([(1, 2023, "x", 1), (2, 2024, "x", 1), (3, 2024, "y/z", 1)], schema), ["k"], partition_by=["y", "s"])
+    assert lake.merge("gold.t", spark.createDataFrame([(3, 2024, "y/z", 2), (4, 2024, "y/z", 2)], schema), ["k"]) == {"inserted": 1, "updated": 1}
+    assert rows(lake.read("gold.t")) == [(1, 2023, "x", 1), (2, 2024, "x", 1), (3, 2024, "y/z", 2), (4, 2024, "y/z", 2)]
+    assert sum(s.startswith("__version=1.") for s in lake._entry("gold.t")["segments"]) == 2
+
+
 def test_a_second_writer_of_the_same_version_fails_and_harms_nothing(spark, lake):
     lake.create("bronze.t", frame(spark, range(3)))
     stale = lake._entry("bronze.t")
