@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +25,16 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"columns not found: {missing}; have {df.columns}")
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys (null keys equal each other)."""
-    condition = None
-    for key in keys:
-        part = left["`" + key + "`"].eqNullSafe(right["`" + key + "`"])
-        condition = part if condition is None else condition & part
-    return condition
+def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on all keys, null keys equal to each other.
+
+    The right side is renamed, so both may derive from the same DataFrame.
+    """
+    renamed = right.select(*[col(key).alias(f"_right_{i}") for i, key in enumerate(keys)])
+    same = reduce(
+        lambda a, b: a & b, [col(key).eqNullSafe(F.col(f"_right_{i}")) for i, key in enumerate(keys)]
+    )
+    return left.join(renamed, same, how)
 
 
 def has_map(data_type: T.DataType) -> bool:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.functions.columns import col, cols, comparable, has_map, require_columns, same_key
+from stratalake.functions.columns import col, cols, comparable, has_map, match_keys, require_columns
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
@@ -51,8 +51,7 @@ def merge(
     """
     if existing_unique:
         last = keep_last(batch, keys, order_by)
-        fresh_keys = last.select(*cols(keys))
-        kept = existing.join(fresh_keys, same_key(existing, fresh_keys, keys), "left_anti")
+        kept = match_keys(existing, last, keys, "left_anti")
         return kept.unionByName(last, allowMissingColumns=True)
     both = existing.withColumn("_from_batch", F.lit(0)).unionByName(
         batch.withColumn("_from_batch", F.lit(1)), allowMissingColumns=True

@@ -356,8 +356,8 @@ top AS (
   FROM ev GROUP BY 1, 2),
 base AS (
   SELECT device, count(*) AS total_events, count(DISTINCT user_id) AS unique_users,
-         count(DISTINCT session_id) AS unique_sessions, count(CASE WHEN event_type = 'PURCHASE' THEN 1 END) AS purchases,
-         {_half_up("10000 * count(CASE WHEN event_type = 'PURCHASE' THEN 1 END)", "count(*)", 2)} AS conversion_rate,
+         count(DISTINCT session_id) AS unique_sessions, count(*) FILTER (WHERE event_type = 'PURCHASE') AS purchases,
+         {_half_up("10000 * count(*) FILTER (WHERE event_type = 'PURCHASE')", "count(*)", 2)} AS conversion_rate,
          {_half_up("CAST(sum(session_duration_sec) * 10 * 100 AS HUGEINT)", "100 * count(session_duration_sec)", 1)}
            AS avg_session_duration,
          count(DISTINCT country) AS countries_reached
@@ -368,12 +368,12 @@ ORDER BY total_events DESC""",
 WITH {SILVER_EVENTS}
 SELECT page_url, count(*) AS total_events, count(DISTINCT user_id) AS unique_users,
        count(DISTINCT session_id) AS unique_sessions,
-       count(CASE WHEN event_type = 'PAGEVIEW' THEN 1 END) AS pageviews,
-       count(CASE WHEN event_type = 'CLICK' THEN 1 END) AS clicks,
-       count(CASE WHEN event_type = 'PURCHASE' THEN 1 END) AS purchases,
+       count(*) FILTER (WHERE event_type = 'PAGEVIEW') AS pageviews,
+       count(*) FILTER (WHERE event_type = 'CLICK') AS clicks,
+       count(*) FILTER (WHERE event_type = 'PURCHASE') AS purchases,
        {_half_up("CAST(sum(session_duration_sec) * 10 * 100 AS HUGEINT)", "100 * count(session_duration_sec)", 1)}
          AS avg_session_duration,
-       {_half_up("10000 * count(CASE WHEN event_type = 'PURCHASE' THEN 1 END)", "count(CASE WHEN event_type = 'PAGEVIEW' THEN 1 END)", 2)}
+       {_half_up("10000 * count(*) FILTER (WHERE event_type = 'PURCHASE')", "count(*) FILTER (WHERE event_type = 'PAGEVIEW')", 2)}
          AS conversion_rate,
        min(_date) AS first_event_date, max(_date) AS last_event_date
 FROM ev GROUP BY 1 ORDER BY total_events DESC""",

@@ -212,6 +212,16 @@ class ProductCatalog:
             self._load(row).createOrReplaceTempView(view)
         return Consumed(row["product_name"], row["version"], row["location"], alias, view)
 
+    def consume_all(self, workspace: str, declared: list[tuple[str, str, str | None]]) -> tuple[list[Consumed], dict[str, str]]:
+        """Consume declared (product, constraint, alias) triples; returns what worked and the errors of the rest."""
+        done, errors = [], {}
+        for product, constraint, alias in declared:
+            try:
+                done.append(self.consume(workspace, product, constraint, alias))
+            except (PermissionError, ValueError) as error:
+                errors[product] = str(error)
+        return done, errors
+
     def refresh_subscriptions(self, workspace: str) -> list[Consumed]:
         """Resolve all constraints of a workspace again, in one job, and renew its views."""
         mine = self.subscriptions().where(F.col("consumer_workspace") == workspace)

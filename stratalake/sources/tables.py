@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.functions.columns import col, cols, same_key
+from stratalake.functions.columns import col, cols, match_keys
 from stratalake.operators.incremental import WatermarkStore, newer_than, observe_watermark
 from stratalake.operators.retention import retain as keep_recent
 from stratalake.operators.upsert import keep_last, merge, merge_stats
@@ -300,16 +300,14 @@ class Lake:
             # A key may move: the partition that holds it now is touched as well.
             current = self._scan(table, entry, entry["segments"])
             fresh = batch.select(*cols(keys)).distinct()
-            holders = current.join(fresh, same_key(current, fresh, keys), "left_semi").select(*cols(parts))
-            hit = hit.union(holders)
+            hit = hit.union(match_keys(current, fresh, keys, "left_semi").select(*cols(parts)))
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
         named = [(s, *_partition_values(s)) for s in entry["segments"]]
         texts = T.StructType([T.StructField(c, T.StringType()) for c in ("_segment", *parts)])
         layout = self.spark.createDataFrame(named, texts).select(
             "_segment", *[col(c).cast(schema[c].dataType).alias(c) for c in parts]
         )
-        wanted = hit.distinct()
-        rows = layout.join(wanted, same_key(layout, wanted, parts), "left_semi").select("_segment").collect()
+        rows = match_keys(layout, hit.distinct(), parts, "left_semi").select("_segment").collect()
         found = {r["_segment"] for r in rows}
         return [s for s in entry["segments"] if s in found], [s for s in entry["segments"] if s not in found]
 

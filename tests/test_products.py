@@ -183,6 +183,14 @@ def test_access_is_needed(shop):
         catalog.consume("reporting", "kpis", "^7.0.0")
 
 
+def test_consume_all_goes_on_after_an_error(shop):
+    lake, catalog = shop
+    catalog.publish(lake, "kpis", "gold.kpis", "1.0.0")
+    done, errors = catalog.consume_all("reporting", [("nothing", "latest", None), ("kpis", "1.x", None)])
+    assert [c.local_alias for c in done] == ["kpis"]
+    assert list(errors) == ["nothing"]
+
+
 def test_deprecated_products_resolve_but_are_not_listed(shop):
     lake, catalog = shop
     catalog.publish(lake, "kpis", "gold.kpis", "1.0.0", tags=["sales", "kpi"])

@@ -37,6 +37,14 @@ def test_stats_ignore_duplicates(spark, rows):
     assert rows(merge_stats(existing, batch, ["k"])) == [(1, 1)]
 
 
+def test_batch_may_derive_from_the_table(spark, rows):
+    table = frame(spark, range(1, 6))
+    batch = table.where("id <= 2").withColumn("value", F.lit(0.0))
+    expected = [(1, 0.0), (2, 0.0), (3, 31.5), (4, 42.0), (5, 52.5)]
+    assert rows(merge(table, batch, ["id"], existing_unique=True), "id", "value") == expected
+    assert rows(merge(table, batch, ["id"]), "id", "value") == expected
+
+
 def test_new_and_missing_columns_become_null(spark, rows):
     existing = spark.createDataFrame([(1, "a")], "k int, x string")
     batch = spark.createDataFrame([(2, "b")], "k int, y string")
