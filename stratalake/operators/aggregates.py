@@ -24,6 +24,7 @@ def grouped_measures(
     maxs: Mapping[str, Column] | None = None,
     distincts: Mapping[str, str] | None = None,
     modes: Mapping[str, str] | None = None,
+    one_pass: bool = False,
 ) -> DataFrame:
     """Sums, extremes, exact distinct counts and modes per group.
 
@@ -32,10 +33,12 @@ def grouped_measures(
 
     Each distinct count and each mode first aggregates by (group, value). This
     spreads a group that holds most rows over all tasks and keeps no set of
-    values in memory; several ``count_distinct`` in one aggregate would copy
-    every row once per column instead, and ``mode`` would hold a whole
-    group's values in one task. The per-group results are then unioned and
-    folded, so null groups need no special treatment.
+    values in memory, which ``mode`` would do for a whole group in one task.
+
+    By default every counted column is a pass of its own that reads only that
+    column and the keys: best for stored, columnar tables. ``one_pass`` reads
+    ``df`` once and copies each row per counted column instead: best if ``df``
+    is itself the result of joins.
     """
     sums, mins, maxs = dict(sums or {}), dict(mins or {}), dict(maxs or {})
     distincts, modes = dict(distincts or {}), dict(modes or {})
@@ -46,29 +49,66 @@ def grouped_measures(
             return F.sum(value).alias(name)
         return (F.min(value) if name in mins else F.max(value)).alias(name)
 
+    if not (distincts or modes):
+        return df.groupBy(*cols(keys)).agg(*[fold(n, v) for n, v in plain.items()])
+    run = _in_one_pass if one_pass else _per_column
+    return run(df, keys, plain, fold, distincts, modes).select(*cols(keys), *cols([*plain, *distincts, *modes]))
+
+
+def _most_frequent(value: Column, count: Column) -> Column:
+    lead = F.min(F.when(value.isNotNull(), F.struct((-count).alias("o"), value.alias("v"))))
+    return lead.getField("v")
+
+
+def _per_column(df, keys, plain, fold, distincts, modes) -> DataFrame:
+    """Per-group results of each column, unioned and folded; null groups need no special treatment."""
     parts = []
-    carried = bool(plain)
+    carried = dict(plain)
     for name, column in modes.items():
-        # The first mode also carries the plain measures, saving a pass.
-        extra = plain if carried else {}
-        carried = False
         by_value = df.groupBy(*cols(keys), col(column).alias("_value")).agg(
-            F.count(F.lit(1)).alias("_n"), *[fold(n, v) for n, v in extra.items()]
+            F.count(F.lit(1)).alias("_n"), *[fold(n, v) for n, v in carried.items()]
         )
-        lead = F.min(F.when(F.col("_value").isNotNull(), F.struct((-F.col("_n")).alias("o"), F.col("_value").alias("v"))))
         parts.append(
-            by_value.groupBy(*cols(keys)).agg(lead.getField("v").alias(name), *[fold(n, F.col(n)) for n in extra])
+            by_value.groupBy(*cols(keys)).agg(
+                _most_frequent(F.col("_value"), F.col("_n")).alias(name), *[fold(n, F.col(n)) for n in carried]
+            )
         )
-    if carried or not (modes or distincts):
-        parts.append(df.groupBy(*cols(keys)).agg(*[fold(n, v) for n, v in plain.items()]))
+        # The first mode carries the plain measures along.
+        carried = {}
+    if carried:
+        parts.append(df.groupBy(*cols(keys)).agg(*[fold(n, v) for n, v in carried.items()]))
     for name, column in distincts.items():
         values = df.select(*cols(keys), col(column).alias("_value")).distinct()
         parts.append(values.groupBy(*cols(keys)).agg(F.count("_value").alias(name)))
     if len(parts) == 1:
         return parts[0]
-    names = [*plain, *distincts, *modes]
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return merged.groupBy(*cols(keys)).agg(*[F.max(n).alias(n) for n in names])
+    return merged.groupBy(*cols(keys)).agg(*[F.max(n).alias(n) for n in [*plain, *distincts, *modes]])
+
+
+def _in_one_pass(df, keys, plain, fold, distincts, modes) -> DataFrame:
+    """One copy of each row per counted column; the first copy carries the plain measures."""
+    counted = [*modes.values(), *distincts.values()]
+    values = [f"_v{i}" for i in range(len(counted))]
+    measure_types = {f.name: f.dataType for f in df.select(*[v.alias(n) for n, v in plain.items()]).schema.fields}
+
+    def copy(i: int) -> Column:
+        own = [col(c) if j == i else F.lit(None).cast(df.schema[c].dataType) for j, c in enumerate(counted)]
+        measures = [v if i == 0 else F.lit(None).cast(measure_types[n]) for n, v in plain.items()]
+        return F.struct(
+            F.lit(i).alias("_copy"),
+            *[c.alias(v) for c, v in zip(own, values)],
+            *[m.alias(n) for m, n in zip(measures, plain)],
+        )
+
+    copies = df.select(*cols(keys), F.inline(F.array(*[copy(i) for i in range(len(counted))])))
+    by_value = copies.groupBy(*cols(keys), "_copy", *values).agg(
+        F.count(F.lit(1)).alias("_n"), *[fold(n, col(n)) for n in plain]
+    )
+    out = [fold(n, col(n)) for n in plain]
+    out += [_most_frequent(F.col(v), F.col("_n")).alias(name) for name, v in zip(modes, values)]
+    out += [F.count(v).alias(name) for name, v in zip(distincts, values[len(modes) :])]
+    return by_value.groupBy(*cols(keys)).agg(*out)
 
 
 def mode_by(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:

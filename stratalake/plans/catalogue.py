@@ -271,7 +271,7 @@ def silver_sales_enriched(spark, path):
 
 @query
 def gold_daily_sales(spark, path):
-    return marts.gold_daily_sales(_sales(spark, path))
+    return marts.gold_daily_sales(_sales(spark, path), one_pass=True)
 
 
 @query

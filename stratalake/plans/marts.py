@@ -60,8 +60,11 @@ def silver_sales_enriched(sales: DataFrame, products: DataFrame, customers: Data
     return lookup(with_product, customers, "customer_id", ["customer_name"])
 
 
-def gold_daily_sales(sales: DataFrame, ordered: bool = True) -> DataFrame:
-    """Sales figures per day and store, newest day and highest revenue first."""
+def gold_daily_sales(sales: DataFrame, ordered: bool = True, one_pass: bool = False) -> DataFrame:
+    """Sales figures per day and store, newest day and highest revenue first.
+
+    Written tables keep no order: leave ``ordered`` out for them.
+    """
     measures = grouped_measures(
         sales.withColumnRenamed("_date", "sale_date"),
         ["sale_date", "store_id"],
@@ -73,6 +76,7 @@ def gold_daily_sales(sales: DataFrame, ordered: bool = True) -> DataFrame:
         },
         distincts={"unique_customers": "customer_id", "unique_products": "product_id"},
         modes={"top_category": "category"},
+        one_pass=one_pass,
     )
     out = measures.select(
         "sale_date",
@@ -101,7 +105,7 @@ def _average_duration():
     return F.round(F.col("_seconds") / F.nullif("_timed", F.lit(0)), 1).alias("avg_session_duration")
 
 
-def gold_device_metrics(events: DataFrame, ordered: bool = True) -> DataFrame:
+def gold_device_metrics(events: DataFrame, ordered: bool = True, one_pass: bool = False) -> DataFrame:
     """Events, users and conversion per device type."""
     measures = grouped_measures(
         events,
@@ -109,6 +113,7 @@ def gold_device_metrics(events: DataFrame, ordered: bool = True) -> DataFrame:
         sums={"total_events": F.lit(1), **_event_counts("PURCHASE"), **_duration()},
         distincts={"unique_users": "user_id", "unique_sessions": "session_id", "countries_reached": "country"},
         modes={"top_browser": "browser"},
+        one_pass=one_pass,
     )
     out = measures.select(
         "device",
@@ -124,7 +129,7 @@ def gold_device_metrics(events: DataFrame, ordered: bool = True) -> DataFrame:
     return out.orderBy(F.desc("total_events")) if ordered else out
 
 
-def gold_page_metrics(events: DataFrame, ordered: bool = True) -> DataFrame:
+def gold_page_metrics(events: DataFrame, ordered: bool = True, one_pass: bool = False) -> DataFrame:
     """Traffic and conversion per page."""
     measures = grouped_measures(
         events,
@@ -133,6 +138,7 @@ def gold_page_metrics(events: DataFrame, ordered: bool = True) -> DataFrame:
         mins={"first_event_date": F.col("_date")},
         maxs={"last_event_date": F.col("_date")},
         distincts={"unique_users": "user_id", "unique_sessions": "session_id"},
+        one_pass=one_pass,
     )
     out = measures.select(
         "page_url",

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratalake.operators.aggregates import grouped_measures, mode_by, percent
@@ -9,12 +10,13 @@ from stratalake.plans import marts
 ROWS = [("a", "x", 1, 10), ("a", "x", 2, 20), ("a", "y", 2, 30), ("a", None, None, 5), (None, "z", 7, 1), (None, "z", 7, 2), ("b", None, None, 0)]
 
 
-def test_measures_against_plain_python(spark):
+@pytest.mark.parametrize("one_pass", [False, True])
+def test_measures_against_plain_python(spark, one_pass):
     df = spark.createDataFrame(ROWS, "g string, c string, u int, v int")
     got = grouped_measures(
         df, ["g"],
         sums={"n": F.lit(1), "total": F.col("v")}, mins={"lo": F.col("v")}, maxs={"hi": F.col("v")},
-        distincts={"users": "u", "kinds": "c"}, modes={"top": "c"},
+        distincts={"users": "u", "kinds": "c"}, modes={"top": "c"}, one_pass=one_pass,
     )
     result = {r["g"]: r.asDict() for r in got.collect()}
     for g in ("a", "b", None):
