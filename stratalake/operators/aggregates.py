@@ -37,8 +37,8 @@ def grouped_measures(
 
     By default every counted column is a pass of its own that reads only that
     column and the keys: best for stored, columnar tables. ``one_pass`` reads
-    ``df`` once and copies each row per counted column instead: best if ``df``
-    is itself the result of joins.
+    ``df`` once, as grouping sets, and copies each row per counted column
+    instead: best if ``df`` is itself the result of joins.
     """
     sums, mins, maxs = dict(sums or {}), dict(mins or {}), dict(maxs or {})
     distincts, modes = dict(distincts or {}), dict(modes or {})
@@ -87,26 +87,23 @@ def _per_column(df, keys, plain, fold, distincts, modes) -> DataFrame:
 
 
 def _in_one_pass(df, keys, plain, fold, distincts, modes) -> DataFrame:
-    """One copy of each row per counted column; the first copy carries the plain measures."""
+    """One grouping set per counted column; the first one carries the plain measures."""
     counted = [*modes.values(), *distincts.values()]
     values = [f"_v{i}" for i in range(len(counted))]
-    measure_types = {f.name: f.dataType for f in df.select(*[v.alias(n) for n, v in plain.items()]).schema.fields}
-
-    def copy(i: int) -> Column:
-        own = [col(c) if j == i else F.lit(None).cast(df.schema[c].dataType) for j, c in enumerate(counted)]
-        measures = [v if i == 0 else F.lit(None).cast(measure_types[n]) for n, v in plain.items()]
-        return F.struct(
-            F.lit(i).alias("_copy"),
-            *[c.alias(v) for c, v in zip(own, values)],
-            *[m.alias(n) for m, n in zip(measures, plain)],
-        )
-
-    copies = df.select(*cols(keys), F.inline(F.array(*[copy(i) for i in range(len(counted))])))
-    by_value = copies.groupBy(*cols(keys), "_copy", *values).agg(
-        F.count(F.lit(1)).alias("_n"), *[fold(n, col(n)) for n in plain]
+    rows = df.select(
+        *cols(keys),
+        *[col(c).alias(v) for c, v in zip(counted, values)],
+        *[v.alias(f"_m_{n}") for n, v in plain.items()],
+    )
+    by_value = rows.groupingSets([[*cols(keys), col(v)] for v in values], *cols(keys), *cols(values)).agg(
+        F.grouping("_v0").alias("_other"),
+        F.count(F.lit(1)).alias("_n"),
+        *[fold(n, col(f"_m_{n}")) for n in plain],
     )
-    out = [fold(n, col(n)) for n in plain]
+    first = F.col("_other") == 0
+    out = [fold(n, F.when(first, col(n))) for n in plain]
     out += [_most_frequent(F.col(v), F.col("_n")).alias(name) for name, v in zip(modes, values)]
+    # Within its own grouping set each value occurs once; in the others it is null.
     out += [F.count(v).alias(name) for name, v in zip(distincts, values[len(modes) :])]
     return by_value.groupBy(*cols(keys)).agg(*out)
 
