@@ -6,21 +6,85 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratalake.llm import packing
+from stratalake.llm import bottom_k, licenses, packing, revisits, url_rules
 from stratalake.llm.tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_rules.judge(read(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(read(ship(spark), sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     packed = packing.pack_documents(read(ship(spark), sf_dir, "documents"), path)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """An archive's records as `pages` imply them: each page fetched in full and checked again later, and its site's
+    home page fetched or checked along with it."""
+    html, url, key = F.coalesce("html", F.lit("")), F.col("url"), F.col("page_id").cast("string")
+    digit = lambda salt: F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 1)
+    second = 1_700_000_000 + F.col("page_id") * 60
+    home = F.concat(F.regexp_extract(url, "^[^:]*://[^/?#]*", 0), F.lit("/"))
+    tag = F.concat(F.lit('"'), F.substring(F.md5(html), 1, 16), F.lit('"'))
+    home_tag = F.concat(F.lit('"'), F.substring(F.md5(home), 1, 8), F.when(digit("home") < "2", "-old").otherwise(""), F.lit('"'))
+    size = F.octet_length(html).cast("string")
+    modified = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
+    headers = lambda *pairs: F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    record = lambda mark, url, date, kind, head: F.struct(
+        F.concat(F.lit(mark), key).alias("record_id"), url.alias("url"), F.timestamp_seconds(date).alias("date"),
+        kind.alias("kind"), head.alias("headers"),
+    )
+    first = headers(
+        F.lit("ETag"), F.when(digit("none") >= "2", tag), F.lit("Last-Modified"), modified, F.lit("Content-Type"), F.lit("text/html"),
+        F.lit("Content-Length"), size, F.lit("Cache-Control"), F.lit("max-age=60"),
+    )
+    again = headers(
+        F.lit("ETag"), F.when(digit("tag") < "2", '"other"').when(digit("tag") < "4", F.concat(F.lit("W/"), tag)).when(digit("tag") < "c", tag),
+        F.lit("Last-Modified"), F.when(digit("date") < "8", modified), F.lit("Content-Length"), F.lit("0"),
+        F.lit("Cache-Control"), F.lit("max-age=600"),
+    )
+    front = headers(F.lit("ETag"), home_tag, F.lit("Server"), F.concat(F.lit("s"), digit("server")))
+    records = F.array(
+        record("r", url, second, F.lit("response"), first),
+        record("v", url, second + 86_400, F.lit("revisit"), again),
+        record("h", home, second + 30, F.when(digit("home") < "4", "response").otherwise("revisit"), front),
+    )
+    return pages.select(F.explode(records).alias("r")).select("r.*")
+
+
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = revisits.resolve(captures(read(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return resolved.select(
+        "record_id", "url_key", F.unix_seconds("date").alias("date_s"), "refers_to", F.unix_seconds("refers_date").alias("refers_s"),
+        "outcome", F.array_join(lines, "\n").alias("headers"),
+    )
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(*licenses.scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_url_rules": op1_url_rules,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
+    "op4_revisits": op4_revisits,
+    "op6_licenses": op6_licenses,
 }
 
 TWINS: dict[str, str] = {}

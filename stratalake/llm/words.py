@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 BLOCK = 1 << 19
@@ -131,7 +132,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
     """Cut an Arrow batch into runs of rows of about `most` bytes of text; one longer text is a run of its own."""
     size = np.zeros(batch.num_rows, np.int64)
     if batch.num_rows:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         size = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
     start, base = 0, 0
     while start < batch.num_rows:
