@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bottom_k, licenses, packing, revisits, url_rules
+from stratalake.llm import bottom_k, licenses, packing, revisits, toxicity, url_rules
 from stratalake.llm.tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,14 @@ def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(ship(spark), sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(*licenses.scan(read(spark, sf_dir, "documents")))
 
@@ -84,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_revisits": op4_revisits,
+    "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
 }
 
