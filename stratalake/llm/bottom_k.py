@@ -23,7 +23,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm.tables import components, stored
@@ -86,24 +86,41 @@ def pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All members of a list that are in different components, without pairing those in the same one."""
-    parts = lists.select("value", "component").distinct()
-    left, right = parts.withColumnRenamed("component", "c"), parts.withColumnRenamed("component", "d")
-    met = left.join(right, "value").filter("c < d")
-    met = met.join(lists.select("value", F.col("component").alias("c"), F.col("rep").alias("x")), ["value", "c"])
-    met = met.join(lists.select("value", F.col("component").alias("d"), F.col("rep").alias("y")), ["value", "d"])
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def promising(a: str, b: str, n_a: str, n_b: str, k: int, percent: int) -> Column:
+    """Whether sizes allow the similarity and the union of both sketches promises it."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & (both >= F.ceil(F.size(union) * NEED))
 
 
-def confirm(pairs: DataFrame, heads: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose union sketch promises similarity and whose full sets have it."""
+def cross_pairs(lists: DataFrame, parts: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """All promising pairs of a list that are in different components.
+
+    A list's members outside its largest component meet all others; those inside don't meet each other. A pair is
+    made in one of the lists it shares, the one with the least value.
+    """
+    main = parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    own = lists.groupBy("rep").agg(F.collect_set("value").alias("open"))
+    rich = stored(lists.join(main, "value").join(own, "rep").join(heads, "rep"), "rich")
+    a = rich.filter("component <> main").select("value", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "open", "n_shingles", "sketch")])
+    b = rich.select("value", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "open", "n_shingles", "sketch")])
+    once = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
+    first = F.array_min(F.array_intersect("open_a", "open_b"))
+    met = (a["value"] == b["value"]) & once & ~(first < a["value"])
+    pairs = a.join(b, met & promising("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b", k, percent))
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def pass_sketches(pairs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are promising."""
     side = lambda x: heads.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = pairs.withColumn("u", F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k))
-    both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), "u"))
-    pairs = pairs.filter(both >= F.ceil(F.size("u") * NEED)).select("a", "b")
+    return pairs.filter(promising("s_a", "s_b", "n_a", "n_b", k, percent)).select("a", "b")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar."""
     whole = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
     pairs = pairs.join(whole("a"), "a").join(whole("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
@@ -134,15 +151,18 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75) -> DataFram
             now = lists.join(groups, lists["rep"] == groups["id"], "left").select(
                 "value", "rep", F.coalesce("component_id", "rep").alias("component")
             )
-        parts = now.groupBy("value", "component").agg(F.count("*").cast("double").alias("n"))
+        parts = stored(now.groupBy("value", "component").agg(F.count("*").cast("double").alias("n")), "parts")
         open_lists = parts.groupBy("value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q")).filter("n * n > q")
         now = stored(now.join(open_lists.select("value"), "value", "left_semi"), "open")
         entries, pairs = open_lists.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
         if not pairs:
             break
-        last = pairs <= 4 * entries or before is not None and pairs > 0.8 * before
-        found = confirm(cross_pairs(now) if last else pivot_pairs(now, turn), heads, sets, k, percent)
-        found = stored(found, "links")
+        last = pairs <= 4 * entries or before is not None and pairs > 0.9 * before
+        if last:
+            met = cross_pairs(now, parts, heads, k, percent)
+        else:
+            met = pass_sketches(pivot_pairs(now, turn), heads, k, percent)
+        found = stored(confirm(met, sets, percent), "links")
         links = found if links is None else links.union(found)
         groups, before = stored(components(links), "groups"), pairs
         if last:
