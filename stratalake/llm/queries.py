@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bottom_k, licenses, packing, revisits, toxicity, url_rules
+from stratalake.llm import bottom_k, decontaminate, licenses, main_text, packing, revisits, toxicity, url_rules
 from stratalake.llm.tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(*licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = main_text.main_text(read(ship(spark), sf_dir, "pages").select("page_id", "url", "html"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -94,6 +103,8 @@ QUERIES: dict[str, Query] = {
     "op4_revisits": op4_revisits,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
+    "op9_decontamination": op9_decontamination,
+    "op10_main_text": op10_main_text,
 }
 
 TWINS: dict[str, str] = {}
