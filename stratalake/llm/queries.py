@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bottom_k, decontaminate, licenses, main_text, packing, revisits, toxicity, url_rules
+from stratalake.llm import bottom_k, decontaminate, licenses, main_text, packing, revisits, toxicity, url_rules, vectors
 from stratalake.llm.tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(*licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(ship(spark), sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op4_revisits": op4_revisits,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
+    "op8_vectors": op8_vectors,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
 }
