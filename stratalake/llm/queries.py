@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bottom_k, decontaminate, licenses, main_text, packing, revisits, toxicity, url_rules, vectors
+from stratalake.llm import bottom_k, decontaminate, licenses, line_dedup, main_text, packing, revisits, toxicity, url_rules, vectors
 from stratalake.llm.tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,11 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(*licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(read(ship(spark), sf_dir, "documents").select("doc_id", "text"))
+    return deduped.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), "text")
+
+
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read(ship(spark), sf_dir, "embeddings"))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op4_revisits": op4_revisits,
     "op5_toxicity": op5_toxicity,
     "op6_licenses": op6_licenses,
+    "op7_line_dedup": op7_line_dedup,
     "op8_vectors": op8_vectors,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
