@@ -24,8 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from stratalake.llm.tables import stored
 from stratalake.llm.words import as_bytes, hash_words, list_column, mix, slices
@@ -198,8 +200,6 @@ def some_rows(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame
 
 def hash_text(text: bytes | None) -> int:
     """A 63-bit hash of a text, equal in every process."""
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(text or b"") >> 1
 
 
@@ -293,39 +293,36 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     return lines_gone.select("place.doc_id", "place.copy", "place.line").distinct()
 
 
-def dedup_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) -> DataFrame:
-    """The rows of docs without the removed lines, and the columns n_lines and removed (their numbers, sorted)."""
-    gone = removed_lines(docs, similarity, least)
-    per_doc = gone.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    per_doc = per_doc.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), F.col("removed").alias("_removed"))
-    per_doc = per_doc.groupBy("_doc").agg(F.collect_list(F.struct("_copy", "_removed")).alias("_all"))
-    names = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    joined = docs.select(*names).join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    return _cut(joined, names)
-
-
-def _cut(joined: DataFrame, names: list[str]) -> DataFrame:
-    """Take the removed lines out of the texts."""
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+def dedup_lines(
+    docs: DataFrame, similarity: float = 0.75, least: int = 5, count: str = "n_lines", removed: str = "removed"
+) -> DataFrame:
+    """The rows of docs without the removed lines, and two columns: the number of lines, and the removed ones (sorted).
 
+    Input columns of these two names are replaced.
+    """
+    gone = removed_lines(docs, similarity, least)
+    per_text = gone.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("line")).alias("removed"))
+    per_doc = per_text.groupBy(F.col("doc_id").alias("__doc__")).agg(F.collect_list(F.struct("copy", "removed")).alias("__gone__"))
+    names = [c for c in docs.columns if c not in (count, removed)]
+    joined = docs.select(*names).join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc__")), "left").drop("__doc__")
     fields = [f for f in joined.schema.fields if f.name in names]
-    schema = StructType([*fields, StructField("n_lines", IntegerType()), StructField("removed", ArrayType(IntegerType()))])
+    schema = StructType([*fields, StructField(count, IntegerType()), StructField(removed, ArrayType(IntegerType()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                texts, counts, removed = [], [], []
-                for text, every in zip(part.column("text").to_pylist(), part.column("_all").to_pylist(), strict=True):
-                    own = {} if not every or text is None else {x["_copy"]: x["_removed"] for x in every}
-                    gone = own.get(hash_text(text.encode()), []) if own else []
+                texts, counts, cut = [], [], []
+                for text, every in zip(part.column("text").to_pylist(), part.column("__gone__").to_pylist(), strict=True):
+                    copy = None if text is None or not every else hash_text(text.encode())
+                    lines = next((x["removed"] for x in every or () if x["copy"] == copy), [])
                     split = [] if text is None else text.split("\n")
-                    skip = set(gone)
-                    texts.append(text if not gone else "\n".join(x for i, x in enumerate(split) if i not in skip))
+                    skip = set(lines)
+                    texts.append("\n".join(x for i, x in enumerate(split) if i not in skip) if lines else text)
                     counts.append(len(split))
-                    removed.append(gone)
+                    cut.append(lines)
                 kept = {n: part.column(n) for n in names}
                 kept["text"] = pa.array(texts, part.column("text").type)
-                columns = [*kept.values(), pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "removed"])
+                columns = [*kept.values(), pa.array(counts, pa.int32()), pa.array(cut, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, count, removed])
 
     return joined.mapInArrow(rows, schema)

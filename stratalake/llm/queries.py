@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage, and the SQL that gives the same rows where SQL can."""
+"""The registered queries of this subpackage, and the SQL that gives the same rows where SQL can.
+
+Without SQL: op3 and op5 (a tokenizer, a trained classifier), op7 and op9 (SQL would pair all lines, or all windows with
+all items), op10 (a parser), op4 (tests/llm hold a version in plain Python, as for all the others).
+"""
 
 from __future__ import annotations
 
@@ -118,4 +122,72 @@ QUERIES: dict[str, Query] = {
     "op10_main_text": op10_main_text,
 }
 
-TWINS: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FALL = """
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+    parts AS (SELECT node, least(node, min(other)) AS part FROM reach GROUP BY node)
+"""
+
+
+def _license_twin() -> str:
+    rows = licenses.template_rows(licenses.PHRASES, licenses.TEMPLATES)
+    values = ", ".join(f"({t}, '{label}', {phrase}, {n}, {grams}, {at}, '{' '.join(gram)}')" for t, label, phrase, n, grams, at, gram in rows)
+    return f"""
+    WITH t(template, label, phrase, length, grams, spot, gram) AS (VALUES {values}),
+    w AS (SELECT row_number() OVER () AS id, doc_id,
+            regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+    g AS (SELECT id, i - 1 AS pos, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+            FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+    votes AS (SELECT id, template, label, phrase, length, grams, pos - spot AS diagonal, list(DISTINCT spot) AS hit, min(pos) AS low, max(pos) AS high
+            FROM g JOIN t USING (gram) GROUP BY ALL),
+    fresh AS (SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal) OVER s <= 3 IS NOT TRUE THEN 1 ELSE 0 END AS new
+            FROM votes WINDOW s AS (PARTITION BY id, template ORDER BY diagonal)),
+    runs AS (SELECT *, sum(new) OVER (PARTITION BY id, template ORDER BY diagonal) AS run FROM fresh),
+    spans AS (SELECT id, template, label, phrase, length, grams, len(list_distinct(flatten(list(hit)))) AS covered,
+                min(low) AS start, max(high) + 3 AS stop FROM runs GROUP BY id, template, label, phrase, length, grams, run),
+    good AS (SELECT *, covered::DOUBLE / grams AS coverage FROM spans
+            WHERE CASE WHEN phrase THEN covered = grams ELSE covered::DOUBLE / grams >= 0.75 AND stop - start <= length + 12 END),
+    found AS (SELECT id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM good GROUP BY id)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+        coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+    FROM w LEFT JOIN found USING (id)
+    """
+
+
+TWINS: dict[str, str] = {
+    "op1_url_rules": f"""
+    WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parsed AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+    rules(rule, site, start, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+            ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+    best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM parsed JOIN rules
+            ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start) GROUP BY page_id)
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parsed LEFT JOIN best USING (page_id)
+    """,
+    "op2_near_duplicates": f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i : i + 4] END AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+    {_FALL}
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(part, doc_id) AS component_id, coalesce(part, doc_id) = doc_id AS kept
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN parts ON node = doc_id
+    """,
+    "op6_licenses": _license_twin(),
+    "op8_vectors": f"""
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE list_aggregate(embedding, 'count') = len(embedding)),
+    links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+            WHERE list_dot_product(x.e, y.e) >= 0.95 * sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))
+              AND list_dot_product(x.e, x.e) > 0 AND list_dot_product(y.e, y.e) > 0),
+    {_FALL}
+    SELECT vec_id, (SELECT count(*) FROM edges WHERE a = vec_id) AS n_links, coalesce(part, vec_id) AS component_id,
+        coalesce(part, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN parts ON node = vec_id
+    """,
+}

@@ -11,7 +11,7 @@ the order of a hash of their ids, and of those the first `SAMPLE_BYTES`. Scoring
 
 Null or empty texts have no windows and score as such. Null labels are not learned from; a doc_id with several labels
 counts as toxic if one of them does. Without labels of both classes every score is 0. Repeated rows score alike; all
-columns are kept (an input column named score is replaced). No rows give no rows.
+columns are kept (an input column of the score's name is replaced). No rows give no rows.
 """
 
 from __future__ import annotations
@@ -225,11 +225,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Add a score from 0 to 1 (higher: likelier toxic) to rows with a column text."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model | None, into: str = "score") -> DataFrame:
+    """Add a score from 0 to 1 (higher: likelier toxic), in the column `into`, to rows with a column text."""
+    docs = docs.drop(into)
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(into, F.lit(0.0))
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +241,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for part in slices(batch, "text"):
                 x = np.array([_features(t.as_py(), gains, model.threshold) for t in part.column("text")])
                 values = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values)], [*names, into])
 
-    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(scored, StructType([*docs.schema.fields, StructField(into, DoubleType())]))
