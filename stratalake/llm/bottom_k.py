@@ -32,6 +32,8 @@ from stratalake.llm.words import as_bytes, fingerprint, list_column, shingle_set
 #: The share of a sketch that similar sets have in common: with k = 64, four standard deviations below 0.75. For sets
 #: that are smaller than their sketch it is below what a similarity of 0.75 implies.
 NEED = 0.53
+#: The same for the larger sketch that decides which pairs of a long list are worth their full sets.
+FINE, NEED_FINE = 256, 0.63
 
 
 def sketches(docs: DataFrame, k: int = 64) -> DataFrame:
@@ -86,29 +88,39 @@ def pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
-def promising(a: str, b: str, n_a: str, n_b: str, k: int, percent: int) -> Column:
-    """Whether sizes allow the similarity and the union of both sketches promises it."""
+def promising(a: str, b: str, n_a: str, n_b: str, k: int, percent: int, need: float = NEED) -> Column:
+    """Whether sizes allow the similarity and sketches of up to k values promise it (exactly so for sets of up to k)."""
+    shared = F.array_intersect(a, b)
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
+    estimate = F.size(F.array_intersect(shared, union)) >= F.ceil(F.size(union) * need)
+    exact = 100 * F.size(shared) >= percent * (F.size(a) + F.size(b) - F.size(shared))
     sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & (both >= F.ceil(F.size(union) * NEED))
+    # The first tests are the cheap ones; most pairs go no further.
+    enough = F.size(shared) >= F.ceil(F.least(F.size(a), F.size(b)) * need)
+    return sizes & enough & F.when(F.greatest(n_a, n_b) <= k, exact).otherwise(estimate)
 
 
-def cross_pairs(lists: DataFrame, parts: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:
+def cross_pairs(lists: DataFrame, parts: DataFrame, heads: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """All promising pairs of a list that are in different components.
 
     A list's members outside its largest component meet all others; those inside don't meet each other. A pair is
-    made in one of the lists it shares, the one with the least value.
+    made in one of the lists it shares, the one with the least value. Here a sketch of `FINE` values decides.
     """
     main = parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     own = lists.groupBy("rep").agg(F.collect_set("value").alias("open"))
-    rich = stored(lists.join(main, "value").join(own, "rep").join(heads, "rep"), "rich")
-    a = rich.filter("component <> main").select("value", *[F.col(c).alias(f"{c}_a") for c in ("rep", "component", "open", "n_shingles", "sketch")])
-    b = rich.select("value", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "open", "n_shingles", "sketch")])
+    fine = sets.join(own, sets["doc_id"] == own["rep"]).select(
+        "rep", "open", F.size("shingles").alias("n_shingles"), F.slice(F.array_sort("shingles"), 1, FINE).alias("fine")
+    )
+    rich = lists.join(main, "value").join(fine, "rep").join(heads.select("rep", "sketch"), "rep")
+    rich = stored(rich, "rich")
+    names = ("rep", "component", "open", "n_shingles", "sketch", "fine")
+    a = rich.filter("component <> main").select("value", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rich.select("value", "main", *[F.col(c).alias(f"{c}_b") for c in names])
     once = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
     first = F.array_min(F.array_intersect("open_a", "open_b"))
-    met = (a["value"] == b["value"]) & once & ~(first < a["value"])
-    pairs = a.join(b, met & promising("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b", k, percent))
+    coarse = promising("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b", k, percent)
+    close = promising("fine_a", "fine_b", "n_shingles_a", "n_shingles_b", FINE, percent, NEED_FINE)
+    pairs = a.join(b, (a["value"] == b["value"]) & once & ~(first < a["value"]) & coarse & close)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
@@ -159,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75) -> DataFram
             break
         last = pairs <= 4 * entries or before is not None and pairs > 0.9 * before
         if last:
-            met = cross_pairs(now, parts, heads, k, percent)
+            met = cross_pairs(now, parts, heads, sets, k, percent)
         else:
             met = pass_sketches(pivot_pairs(now, turn), heads, k, percent)
         found = stored(confirm(met, sets, percent), "links")

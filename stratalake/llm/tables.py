@@ -36,15 +36,15 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     edges = stored(edges.distinct(), purpose)
     before = None
     while True:
-        # Every edge now points from the larger to the smaller end.
+        # Every edge points from the larger to the smaller end.
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a <> b").distinct(), purpose)
+        large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.filter("a <> b").distinct(), purpose)
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        edges = stored(small, purpose)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
