@@ -6,11 +6,10 @@ or more; it does not matter whether the earlier one is itself removed. Shorter l
 
 Lines with equal sets become a class; only its first line can stay. For the others: words are ordered by rarity (from
 counts over all documents, kept in a table of fixed size, which only ever merges counts), and two similar sets share a
-word among the rarest `n - ceil(similarity * n) + 1` of each. A pass counts those prefix words, so that only words which
-stand in several prefixes are listed at all. Lists are joined under the length filter, the positional filter and a
-bitmap bound on the differing words. The list of a common word (more than `COMMON` places) could give pairs by the
-square of its length: its classes first meet only the earliest one, and those that match are removed and done; the rest
-then meet all. Candidates are verified on the full sets of 64-bit word hashes, read from the texts again.
+word among the rarest `n - ceil(similarity * n) + 1` of each; a word that stands in one place only is not listed. Lists
+are joined under the length filter, the positional filter and a bound on the differing words from bitmaps. The list of a
+common word (in more than `COMMON` places) could give pairs by the square of its length: its classes first meet only the
+earliest one, and those that match are removed and done; the rest then meet all. Candidates are verified on the full sets of 64-bit word hashes, read from the texts again.
 
 Null or empty texts have no lines that can match. Null doc_ids sort last. Rows with the same doc_id: their lines are
 told apart by a hash of the text, and equal rows count as one document, whose lines stay or go together. All columns
@@ -33,10 +32,10 @@ from stratalake.llm.tables import stored
 from stratalake.llm.words import as_bytes, hash_words, list_column, mix, slices
 
 CELLS = 1 << 22
-COMMON = 64
+COMMON = 256
 _HASH_BITS = np.uint64((1 << 40) - 1)
 
-LINE = "doc_id long, copy long, line int, n int, id long, set2 long, sign long, at int, word long, common boolean"
+LINE = "doc_id long, copy long, line int, n int, id long, set2 long, sign1 long, sign2 long, at int, word long, common boolean"
 KNOWN = 300_000
 
 
@@ -50,7 +49,7 @@ class Lines:
         line = np.searchsorted(breaks, places)
         # The word's hash keeps 40 bits here; verification uses all 64.
         word = hashes >> np.uint64(24)
-        rank = np.zeros(len(word), np.uint64) if rarity is None else rarity[(word & np.uint64(len(rarity) - 1)).astype(np.int64)].astype(np.uint64)
+        rank = np.zeros(len(word), np.uint64) if rarity is None else rarity[_cell(word)].astype(np.uint64)
         self.n_lines = len(breaks) + 1
         # Lines with words, numbered as they come, so that line, rank and word fit 64 bits.
         self.numbers, dense = np.unique(line, return_inverse=True)
@@ -78,8 +77,9 @@ class Lines:
         return (self.at < np.repeat(length, self.size)) & np.repeat(self.use, self.size)
 
 
-def _cell(word: np.ndarray, cells: int) -> np.ndarray:
-    return (mix(word) & np.uint64(cells - 1)).astype(np.int64)
+def _cell(word: np.ndarray) -> np.ndarray:
+    """The place of a word in the table of counts."""
+    return (word & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def _counts(docs: DataFrame, work, cells: int) -> np.ndarray:
-    """Sum of counts per cell over all documents; `work` gives the cells that one slice of texts adds to."""
+    """Counts per cell over all documents, on a logarithmic scale; `work` gives the cells that some texts add to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(cells, np.uint32)
@@ -120,18 +120,12 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
 
     def all_words(texts):
-        return (hash_words(texts)[0] >> np.uint64(24) & np.uint64(CELLS - 1)).astype(np.int64)
+        return _cell(hash_words(texts)[0] >> np.uint64(24))
 
     rarity = context.broadcast(_counts(docs, all_words, CELLS))
 
-    def prefix_words(texts):
-        found = Lines(texts, rarity.value, least)
-        return _cell(found.word[found.prefix(similarity)], CELLS)
-
-    shared = context.broadcast(_counts(docs, prefix_words, CELLS))
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "copy", "line", "n", "id", "set2", "sign", "at", "word", "common"]
+        names = ["doc_id", "copy", "line", "n", "id", "set2", "sign1", "sign2", "at", "word", "common"]
         known: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -143,7 +137,10 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
                 spread = mix(found.word + np.uint64(7))
                 one = np.add.reduceat(mix(found.word), found.first).view(np.int64)
                 two = np.add.reduceat(spread, found.first).view(np.int64)
-                sign = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), found.first).view(np.int64)
+                signs = [
+                    np.bitwise_xor.reduceat(np.where((spread >> np.uint64(63)) == half, np.uint64(1) << (spread >> np.uint64(57) & np.uint64(63)), np.uint64(0)), found.first).view(np.int64)
+                    for half in (0, 1)
+                ]
                 # A task lists the words of a class once.
                 new = np.zeros(len(found.use), bool)
                 for i, name in zip(use.tolist(), one[use].tolist(), strict=True):
@@ -151,8 +148,7 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
                         new[i] = True
                         if len(known) < KNOWN:
                             known.add(name)
-                level = shared.value[_cell(found.word, CELLS)]
-                listed = np.flatnonzero(found.prefix(similarity) & (level > _level(1)) & np.repeat(new, found.size))
+                listed = np.flatnonzero(found.prefix(similarity) & (found.rank > _level(1)) & np.repeat(new, found.size))
                 line, of = found.text[use], found.line[listed]
                 ids = part.column("doc_id").to_pylist()
                 yield pa.RecordBatch.from_arrays(
@@ -160,7 +156,7 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
                         pa.array([ids[i] for i in line.tolist()], pa.int64()),
                         pa.array(np.array([hash_text(t) for t in texts], np.int64)[line]),
                         pa.array(found.within[use].astype(np.int32)), pa.array(found.size[use].astype(np.int32)),
-                        pa.array(one[use]), pa.array(two[use]), *(pa.nulls(len(use), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())),
+                        pa.array(one[use]), pa.array(two[use]), *(pa.nulls(len(use), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())),
                     ],
                     names,
                 )
@@ -168,8 +164,8 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             *(pa.nulls(len(listed), t) for t in (pa.int64(), pa.int64(), pa.int32())), pa.array(found.size[of].astype(np.int32)),
-                            pa.array(one[of]), pa.nulls(len(listed), pa.int64()), pa.array(sign[of]), pa.array(found.at[listed].astype(np.int32)),
-                            pa.array(found.word[listed].view(np.int64)), pa.array(level[listed] > _level(COMMON)),
+                            pa.array(one[of]), pa.nulls(len(listed), pa.int64()), *(pa.array(sign[of]) for sign in signs),
+                            pa.array(found.at[listed].astype(np.int32)), pa.array(found.word[listed].view(np.int64)), pa.array(found.rank[listed] > _level(COMMON)),
                         ],
                         names,
                     )
@@ -231,7 +227,7 @@ def _close(similarity: float):
     n_x, n_y = F.col("x.n"), F.col("y.n")
     need = F.ceil((n_x + n_y) * (similarity / (1 + similarity)) - 1e-9)
     after = F.least(n_x - F.col("x.at"), n_y - F.col("y.at"))
-    differ = F.bit_count(F.col("x.sign").bitwiseXOR(F.col("y.sign")))
+    differ = sum(F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("sign1", "sign2"))
     return (
         (F.least(n_x, n_y) >= similarity * F.greatest(n_x, n_y) - 1e-9)
         & (after + F.least(F.col("x.at"), F.col("y.at")) >= need) & (differ <= n_x + n_y - 2 * need)
@@ -268,12 +264,12 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     keys = ["id", "set2", "n"]
     every = table.filter("word is null").select(*keys, place)
     classes = stored(every.groupBy(*keys).agg(F.min("place").alias("first")), "classes")
-    entries = table.filter("word is not null").select("word", "id", "n", "at", "sign", "common")
+    entries = table.filter("word is not null").select("word", "id", "n", "at", "sign1", "sign2", "common")
 
     # A common word's classes: all against the earliest, then what is left against all.
-    busy = entries.filter("common").groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign")])
+    busy = entries.filter("common").groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign1", "sign2")])
     busy = stored(busy.join(classes.groupBy("id").agg(F.min("first").alias("first")), "id"), "busy")
-    pivots = busy.groupBy("word").agg(F.min_by(F.struct("id", "n", "at", "sign"), "first").alias("p")).select("word", "p.*")
+    pivots = busy.groupBy("word").agg(F.min_by(F.struct("id", "n", "at", "sign1", "sign2"), "first").alias("p")).select("word", "p.*")
     early = stored(_meet(pivots, busy, F.col("x.id") != F.col("y.id"), similarity), "early")
     done = stored(_later(docs, early, classes, similarity), "done")
     busy = busy.join(done.select("id", F.lit(True).alias("over")).distinct(), "id", "left").withColumn("over", F.col("over").isNotNull())
@@ -282,7 +278,7 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     left_over = _meet(busy.filter(~F.col("over")), busy, open_pair, similarity)
 
     # Other words stand in few lines: all their classes meet.
-    light = entries.filter(~F.col("common")).select("word", "id", "n", "at", "sign")
+    light = entries.filter(~F.col("common")).select("word", "id", "n", "at", "sign1", "sign2")
     few = _meet(light, light, F.col("x.id") < F.col("y.id"), similarity)
     pairs = stored(left_over.union(few).distinct().join(early, ["a", "b"], "left_anti"), "pairs")
     gone = done.union(_later(docs, pairs, classes, similarity)).distinct().withColumnRenamed("id", "gone").withColumnRenamed("first", "at_place")
