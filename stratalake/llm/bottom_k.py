@@ -69,12 +69,15 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(rows, "doc_id long, shingles array<long>")
 
 
-def inverted_lists(heads: DataFrame) -> DataFrame:
-    """(value, rep): the rarest retained values of each class that other classes retain too."""
+def inverted_lists(heads: DataFrame, need: Column) -> DataFrame:
+    """(value, rep): the rarest retained values of each class that other classes retain too.
+
+    `need` is the share of its retained values that a class has in common with any similar one.
+    """
     entries = heads.select("rep", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     own = entries.join(shared, "value").groupBy("rep", "kept").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    places = F.size("shared") - F.ceil(F.col("kept") * NEED).cast("int") + 1
+    places = F.size("shared") - F.ceil(F.col("kept") * need).cast("int") + 1
     own = own.withColumn("places", places).filter("places > 0")
     lists = own.select("rep", F.explode(F.slice("shared", F.lit(1), F.col("places"))).alias("entry"))
     return lists.select(F.col("entry.value").alias("value"), "rep")
@@ -100,27 +103,40 @@ def promising(a: str, b: str, n_a: str, n_b: str, k: int, percent: int, need: fl
     return sizes & enough & F.when(F.greatest(n_a, n_b) <= k, exact).otherwise(estimate)
 
 
-def cross_pairs(lists: DataFrame, parts: DataFrame, heads: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+def refined(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (value, rep, component) over the `FINE` least values, and those sketches (rep, n_shingles, fine).
+
+    A set below percent of FINE values is whole here, like any similar one: then the exact bound holds, and documents
+    that are too different from all others are in no list any more.
+    """
+    reps = lists.select("rep", "component").distinct()
+    fine = sets.join(reps, sets["doc_id"] == reps["rep"]).select(
+        "rep", "component", F.size("shingles").alias("n_shingles"), F.slice(F.array_sort("shingles"), 1, FINE).alias("fine")
+    )
+    fine = stored(fine, "fine")
+    need = F.when(F.col("kept") < FINE * percent // 100, percent / 100 - 1e-9).otherwise(NEED_FINE)
+    found = inverted_lists(fine.select("rep", F.col("fine").alias("sketch")), need).join(reps, "rep")
+    return stored(found.select("value", "rep", "component"), "refined"), fine
+
+
+def cross_pairs(lists: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """All promising pairs of a list that are in different components.
 
     A list's members outside its largest component meet all others; those inside don't meet each other. A pair is
-    made in one of the lists it shares, the one with the least value. Here a sketch of `FINE` values decides.
+    made in one of the lists it shares, the one with the least value.
     """
-    main = parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    parts = lists.groupBy("value", "component").agg(F.count("*").alias("n"))
+    main = parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+    lists = lists.join(main.filter("parts > 1").drop("parts"), "value")
     own = lists.groupBy("rep").agg(F.collect_set("value").alias("open"))
-    fine = sets.join(own, sets["doc_id"] == own["rep"]).select(
-        "rep", "open", F.size("shingles").alias("n_shingles"), F.slice(F.array_sort("shingles"), 1, FINE).alias("fine")
-    )
-    rich = lists.join(main, "value").join(fine, "rep").join(heads.select("rep", "sketch"), "rep")
-    rich = stored(rich, "rich")
-    names = ("rep", "component", "open", "n_shingles", "sketch", "fine")
+    rich = stored(lists.join(own, "rep").join(fine.drop("component"), "rep"), "rich")
+    names = ("rep", "component", "open", "n_shingles", "fine")
     a = rich.filter("component <> main").select("value", *[F.col(c).alias(f"{c}_a") for c in names])
     b = rich.select("value", "main", *[F.col(c).alias(f"{c}_b") for c in names])
     once = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
     first = F.array_min(F.array_intersect("open_a", "open_b"))
-    coarse = promising("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b", k, percent)
     close = promising("fine_a", "fine_b", "n_shingles_a", "n_shingles_b", FINE, percent, NEED_FINE)
-    pairs = a.join(b, (a["value"] == b["value"]) & once & ~(first < a["value"]) & coarse & close)
+    pairs = a.join(b, (a["value"] == b["value"]) & once & ~(first < a["value"]) & close)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 
@@ -150,7 +166,7 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75) -> DataFram
     classes = stored(usable.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     heads = usable.join(classes.select(F.col("rep")).distinct(), F.col("doc_id") == F.col("rep"), "left_semi")
     heads = heads.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep", "n_shingles", "sketch"])
-    lists = stored(inverted_lists(heads), "lists")
+    lists = stored(inverted_lists(heads, F.lit(NEED)), "lists")
     wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
     heads = stored(heads.join(wanted, F.col("rep") == F.col("doc_id"), "left_semi"), "heads")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
@@ -171,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 64, percent: int = 75) -> DataFram
             break
         last = pairs <= 4 * entries or before is not None and pairs > 0.9 * before
         if last:
-            met = cross_pairs(now, parts, heads, sets, k, percent)
+            met = cross_pairs(*refined(now, sets, percent), percent)
         else:
             met = pass_sketches(pivot_pairs(now, turn), heads, k, percent)
         found = stored(confirm(met, sets, percent), "links")
