@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # A version is three numbers without leading zeros; a constraint
 # may name one to three numbers, missing ones being zero.
-VERSION = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)$"
-CONSTRAINT = r"^(>=|<=|>|<|\^|~)?(\d+)(?:\.(\d+))?(?:\.(\d+))?(\.x)?$"
+NUMBERS = r"(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)\.(0|[1-9][0-9]*)"
+VERSION = rf"\A{NUMBERS}\z"
+CONSTRAINT = r"\A(>=|<=|>|<|\^|~)?([0-9]+)(?:\.([0-9]+))?(?:\.([0-9]+))?(\.x)?\z"
 # The forms of a constraint.
 FORMS = ("latest", "exact", "^", "~", "N.x", "N.M.x", ">=", ">", "<=", "<")
 

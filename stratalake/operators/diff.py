@@ -92,7 +92,7 @@ def tolerance_diff(
 
     Both sides fold into one row per key. Statuses: missing_left,
     missing_right, repeated_key (the key occurs more than once on a side, so
-    rows cannot be paired) or different. A null differs from any number.
+    rows cannot be paired) or different. A null differs from any number; NaN equals NaN.
     """
     require_columns(left, [*keys, *columns])
     require_columns(right, [*keys, *columns])
@@ -108,7 +108,8 @@ def tolerance_diff(
 
     def far(i: int) -> Column:
         l, r = F.col(f"_l{i}"), F.col(f"_r{i}")
-        return F.coalesce(F.abs(l - r) > F.lit(tolerance).cast("decimal(18,6)"), l.isNull() != r.isNull())
+        apart = F.abs(l - r).cast("double") > F.lit(float(tolerance))
+        return F.coalesce(apart & ~l.eqNullSafe(r), l.isNull() != r.isNull())
 
     different = reduce(lambda a, b: a | b, [far(i) for i in range(len(columns))])
     status = (

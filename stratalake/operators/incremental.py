@@ -63,13 +63,18 @@ def newer_than_all(df: DataFrame, values: Mapping[str, Any]) -> DataFrame:
     return df.where((col(first_column) >= first_value) & reduce(lambda a, b: a | b, steps))
 
 
+def _extreme(agg: str):
+    """The aggregate that a high-water ("max") or low-water ("min") value is."""
+    try:
+        return {"max": F.max, "min": F.min}[agg]
+    except KeyError:
+        raise ValueError(f"a watermark is the max or min of a column, not its {agg}") from None
+
+
 def compute_watermark(df: DataFrame, column: str, agg: str = "max", by: Sequence[str] = ()) -> DataFrame:
     """Next high-water value, per group if ``by`` is given; no row value for an empty input."""
-    if agg not in ("max", "min"):
-        raise ValueError(f"Unknown aggregation: {agg}")
     require_columns(df, [column, *by])
-    function = F.max if agg == "max" else F.min
-    return df.groupBy(*cols(by)).agg(function(col(column)).alias("watermark"))
+    return df.groupBy(*cols(by)).agg(_extreme(agg)(col(column)).alias("watermark"))
 
 
 def observe_watermark(df: DataFrame, column: str | None, agg: str = "max") -> tuple[DataFrame, Observation]:
@@ -77,10 +82,7 @@ def observe_watermark(df: DataFrame, column: str | None, agg: str = "max") -> tu
     seen = Observation()
     metrics = [F.count(F.lit(1)).alias("rows")]
     if column is not None:
-        if agg not in ("max", "min"):
-            raise ValueError(f"Unknown aggregation: {agg}")
-        function = F.max if agg == "max" else F.min
-        metrics.append(function(col(column)).cast("string").alias("watermark"))
+        metrics.append(_extreme(agg)(col(column)).cast("string").alias("watermark"))
     return df.observe(seen, *metrics), seen
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.functions.columns import col, cols
+from stratalake.functions.columns import col, cols, has_map
 
 NULL_SPREAD = 1024
 
@@ -20,8 +20,9 @@ def lookup(facts: DataFrame, dimension: DataFrame, key: str, columns: Sequence[s
     nothing but would all meet in one task, are spread by their other columns.
     Busy keys are split by AQE.
     """
-    spread_by = [c for c in facts.columns if c != key][:8]
-    spread = F.when(col(key).isNull(), F.pmod(F.hash(*cols(spread_by)), F.lit(NULL_SPREAD))).otherwise(F.lit(0))
+    spread_by = [c for c in facts.columns if c != key and not has_map(facts.schema[c].dataType)]
+    chance = F.xxhash64(*cols(spread_by)) if spread_by else F.monotonically_increasing_id()
+    spread = F.when(col(key).isNull(), F.pmod(chance, F.lit(NULL_SPREAD)).cast("int")).otherwise(F.lit(0))
     left = facts.withColumn("_spread", spread)
     # Always 0, but not a literal: a literal would be folded out of the join key.
     none = F.pmod(F.hash(col(key)), F.lit(1))

@@ -85,6 +85,8 @@ def as_text(field: T.StructField) -> Column:
         return comparable(field) if has_map(field.dataType) else F.to_json(col(field.name))
     if isinstance(field.dataType, T.BinaryType):
         return F.hex(col(field.name))
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return (col(field.name) + F.lit(0.0).cast(field.dataType)).cast("string")  # one zero
     return col(field.name).cast("string")
 
 

@@ -43,7 +43,7 @@ class Check:
     nulls_repeat: bool = False
     query: Callable[[DataFrame], DataFrame] | None = None
     scalar: bool = False
-    expect: int = 0
+    expect: float = 0
     skip: bool = False
     columns: tuple[str, ...] = field(default=())
 
@@ -97,8 +97,8 @@ def violation_query(name: str, query: Callable[[DataFrame], DataFrame], **option
     return Check(name, "query", query=query, **options)
 
 
-def scalar_query(name: str, query: Callable[[DataFrame], DataFrame], expect: int = 0, **options) -> Check:
-    """Passes if the query's single number equals ``expect``."""
+def scalar_query(name: str, query: Callable[[DataFrame], DataFrame], expect: float = 0, **options) -> Check:
+    """Passes if the query returns one row whose number equals ``expect``."""
     return Check(name, "scalar", query=query, scalar=True, expect=expect, **options)
 
 
@@ -182,8 +182,12 @@ def _unique_counts(df: DataFrame, columns: Sequence[str], checks: Sequence[Check
 def _query_counts(df: DataFrame, check: Check) -> DataFrame:
     found = check.query(df)
     if check.scalar:
-        number = F.max(F.col(f"`{found.columns[0]}`")).cast("bigint")
-        violations = F.when(number.isNull(), F.lit(1)).otherwise(F.abs(number - F.lit(check.expect)))
+        # One row with one number, equal to the expected one; a difference counts as at least one violation.
+        number = F.max(F.col(f"`{found.columns[0]}`")).cast("double")
+        apart = F.ceil(F.abs(number - F.lit(float(check.expect))))
+        rows = F.count(F.lit(1))
+        wrong = number.isNull() | F.isnan(number) | (rows != 1)
+        violations = F.when(wrong, F.greatest(F.lit(1), rows)).otherwise(apart)
     elif check.tolerance:
         # A share needs the number of rows as well; both fold into one aggregate.
         marks = found.select(F.lit(1).alias("v"), F.lit(0).alias("t")).union(df.select(F.lit(0), F.lit(1)))

@@ -12,7 +12,7 @@ LAYER_RETENTION_DAYS = {"bronze": 90, "silver": 365, "gold": None}
 
 
 def retain(df: DataFrame, column: str, as_of: str, days: int | None) -> DataFrame:
-    """Rows not older than ``days`` before ``as_of``.
+    """Rows not older than ``days`` before ``as_of``; a row without a date is not known to be older and stays.
 
     The limit is a constant of the column's type, so a scan partitioned by the
     column skips the expired partitions.
@@ -20,4 +20,4 @@ def retain(df: DataFrame, column: str, as_of: str, days: int | None) -> DataFram
     if days is None:
         return df
     limit = F.date_sub(F.lit(as_of).cast("date"), days).cast(df.schema[column].dataType)
-    return df.where(col(column) >= limit)
+    return df.where((col(column) >= limit) | col(column).isNull())

@@ -41,14 +41,20 @@ def merge(
     keys: Sequence[str],
     order_by: Sequence[str] = (),
     existing_unique: bool = False,
+    newest_wins: bool = False,
 ) -> DataFrame:
     """Upsert: batch rows replace existing rows of the same key, later rows replace earlier ones.
 
+    With ``newest_wins`` only ``order_by`` decides, whichever side a row is from; such an upsert ends in the same rows
+    in whatever order batches arrive, or repeat.
+
     Columns missing on one side are filled with null. With ``existing_unique``
     (the table is known to hold each key once) existing rows skip the
     aggregate: they only pass an anti join against the batch keys, which
     Spark broadcasts when their measured size allows it.
     """
+    if newest_wins:
+        return keep_last(existing.unionByName(batch, allowMissingColumns=True), keys, order_by)
     if existing_unique:
         last = keep_last(batch, keys, order_by)
         kept = match_keys(existing, last, keys, "left_anti")

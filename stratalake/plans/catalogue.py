@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.functions.cleaning import clean_null_strings
+from stratalake.functions.cleaning import clean_null_strings, nanos_to_timestamps
 from stratalake.functions.columns import decimals_to_double
 from stratalake.operators import access, diff, incremental, products, profile, quality, registry
 from stratalake.operators.aggregates import mode_by
@@ -17,7 +17,16 @@ from stratalake.operators.upsert import keep_last, merge, merge_stats
 from stratalake.plans import marts, raw
 from stratalake.plans.raw import table
 from stratalake.session import shared_dir
-from stratalake.sources.files import read_parquet, write_parquet
+from stratalake.sources.files import (
+    csv_fixture,
+    inventory,
+    json_fixture,
+    parquet_fixture,
+    read_landing,
+    read_parquet,
+    register_parser,
+    write_parquet,
+)
 from stratalake.sources.products import ProductCatalog
 from stratalake.sources.tables import Lake
 from stratalake.streaming.ingest import merge_stream, stream_files
@@ -184,12 +193,8 @@ def incremental_silver_events(spark, path):
 
 @query
 def watermark_value(spark, path):
-    events = table(spark, path, "events")
-    newest = incremental.compute_watermark(events, "ts", "max", ["event_type"])
-    oldest = incremental.compute_watermark(events, "ts", "min", ["event_type"])
-    return newest.withColumnRenamed("watermark", "newest").join(
-        oldest.withColumnRenamed("watermark", "oldest"), "event_type"
-    )
+    newest, oldest = F.max("ts").alias("newest"), F.min("ts").alias("oldest")
+    return table(spark, path, "events").groupBy("event_type").agg(newest, oldest)
 
 
 def _state_log(spark, path):
@@ -653,7 +658,7 @@ def stored_upsert(spark, path):
     return lake.read("silver.lines")
 
 
-def _versioned_orders(spark, path) -> Lake:
+def _written_orders(spark, path) -> Lake:
     lake, orders = Lake(spark, shared_dir(spark, "orders")), table(spark, path, "orders")
     cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
     lake.create("bronze.orders", orders.where(F.col("o_orderdate") < cut))
@@ -664,18 +669,25 @@ def _versioned_orders(spark, path) -> Lake:
 
 @query
 def read_snapshot(spark, path):
-    """The table as it was before its last overwrite."""
-    return _versioned_orders(spark, path).read("bronze.orders", version=2)
+    """The table as it was promoted into another workspace, before its last overwrite."""
+    root, orders = shared_dir(spark, "orders"), table(spark, path, "orders")
+    lake, before = Lake(spark, root), Lake(spark, root, "before")
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    lake.create("bronze.orders", orders.where(F.col("o_orderdate") < cut))
+    lake.append("bronze.orders", orders.where(F.col("o_orderdate") >= cut))
+    lake.promote("bronze.orders", before)
+    lake.overwrite("bronze.orders", orders.where(F.col("o_orderstatus") == "F"))
+    return before.read("bronze.orders")
 
 
 @query
 def read_overwritten(spark, path):
-    return _versioned_orders(spark, path).read("bronze.orders")
+    return _written_orders(spark, path).read("bronze.orders")
 
 
 @query
 def table_history(spark, path):
-    return _versioned_orders(spark, path).history("bronze.orders").select("version", "operation", "row_count")
+    return _written_orders(spark, path).history("bronze.orders").select("version", "operation", "row_count")
 
 
 @query
@@ -698,13 +710,17 @@ def incremental_runs(spark, path):
 
 @query
 def stream_upsert(spark, path):
-    """Events streamed from their file into a table that keeps the last one per user and type."""
-    folder = shared_dir(spark, "stream-upsert")
-    lake, schema = Lake(spark, folder), table(spark, path, "events").schema
-    stream = stream_files(spark, path, schema, pattern="events.parquet")
-    merge_stream(
-        stream, lake, "silver.last_event", ["user_id", "event_type"], ["ts"], f"{folder}/checkpoint"
-    ).awaitTermination()
+    """Events streamed into a table that keeps the last one per user and type.
+
+    Two streams with a checkpoint of their own feed it, the one with the later
+    events first, each in several micro-batches.
+    """
+    folder, events = shared_dir(spark, "stream-upsert"), table(spark, path, "events")
+    lake, late = Lake(spark, folder), F.col("ts") > F.lit(EVENTS_CUT).cast("timestamp_ntz")
+    for name, part in (("late", events.where(late)), ("early", events.where(~late | late.isNull()))):
+        part.repartition(3, "event_id").write.parquet(f"{folder}/in/{name}")
+        stream = stream_files(spark, f"{folder}/in/{name}", events.schema, pattern="*.parquet", max_files_per_trigger=1)
+        merge_stream(stream, lake, "silver.last_event", ["user_id", "event_type"], ["ts"], f"{folder}/{name}").awaitTermination()
     return lake.read("silver.last_event")
 
 
@@ -722,3 +738,187 @@ def published_product(spark, path):
     catalog.publish(lake, "lines", "gold.lines", "2.0.0")
     sql = "select l_suppkey, count(*) as n, cast(sum(l_quantity) as bigint) as quantity from {product} group by l_suppkey"
     return catalog.query("reporting", "lines", sql, "^1.2.0")
+
+
+@query
+def lookback_runs(spark, path):
+    """Three runs, the last two looking back: late rows come in, none comes twice, the value does not move back."""
+    lake, events = Lake(spark, shared_dir(spark, "lookback-runs")), raw.raw_events(spark, path)
+    on_time = events.where(F.col("event_id").cast("bigint") % 3 != 0)
+    early = F.col("_ingested_at") <= F.lit(EVENTS_CUT).cast("timestamp_ntz")
+    for source, lookback in ((on_time.where(early), None), (events, timedelta(days=400)), (events.where(early), timedelta(days=400))):
+        lake.run("silver.events", source, lambda df: df, ["event_id"], "_ingested_at", ["_ingested_at"], lookback=lookback)
+    high = lake.state.get_text("silver.events", "_ingested_at")
+    return lake.read("silver.events").select("event_id", "event_type", F.lit(high).cast("timestamp_ntz").alias("high"))
+
+
+@query
+def full_refresh_run(spark, path):
+    """An incremental table built anew from a source that lost rows."""
+    lake, orders = Lake(spark, shared_dir(spark, "full-refresh")), table(spark, path, "orders")
+    lake.run("silver.orders", orders, lambda df: df, ["o_orderkey"], "o_orderdate")
+    left = orders.where("o_orderstatus <> 'F'")
+    lake.run("silver.orders", left, lambda df: df, ["o_orderkey"], "o_orderdate", full_refresh=True)
+    return lake.read("silver.orders")
+
+
+@query
+def compacted_table(spark, path):
+    """Many small files rewritten into few, and what the inventory says of them."""
+    lake, lines = Lake(spark, shared_dir(spark, "compacted")), table(spark, path, "lineitem")
+    lake.create("bronze.lines", lines.where("l_returnflag = 'A'").repartition(12, "l_orderkey"))
+    lake.append("bronze.lines", lines.where("l_returnflag <> 'A'").repartition(12, "l_orderkey"))
+    lake.compact("bronze.lines", 2)
+    files = lake.tables("bronze").first()["files"]
+    return lake.read("bronze.lines").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.lit(files).alias("files"))
+
+
+@query
+def promoted_table(spark, path):
+    """A table promoted into another workspace, changed, and promoted again by key."""
+    root, orders = shared_dir(spark, "promoted"), table(spark, path, "orders")
+    dev, prod = Lake(spark, root, "dev"), Lake(spark, root, "prod")
+    dev.create("gold.orders", orders.where("o_orderkey % 2 = 0"))
+    dev.promote("gold.orders", prod)
+    dev.create("gold.orders", orders.where("o_orderkey % 3 = 0").withColumn("o_orderpriority", F.lit("NEW")))
+    dev.promote("gold.orders", prod, ["o_orderkey"])
+    return prod.read("gold.orders")
+
+
+@query
+def retained_partitions(spark, path):
+    """A table partitioned by date without its expired partitions; rows without a date stay."""
+    lake = Lake(spark, shared_dir(spark, "retained"))
+    day = F.when(F.col("event_id") % 10 != 0, F.col("ts").cast("date")).alias("day")
+    lake.create("bronze.events", table(spark, path, "events").select("event_id", day), ["day"])
+    lake.retain("bronze.events", "day", EVENTS_AS_OF, 10)
+    return lake.read("bronze.events")
+
+
+@query
+def lake_tables(spark, path):
+    """Tables as views, after one was replaced and one dropped."""
+    lake = Lake(spark, shared_dir(spark, "tables"))
+    for name in ("nation", "region", "supplier"):
+        lake.create(f"bronze.{name}", table(spark, path, name))
+    lake.create("gold.nation", table(spark, path, "nation").where("n_regionkey = 1"))
+    lake.overwrite("gold.nation", table(spark, path, "nation").where("n_regionkey = 2"))
+    lake.drop("bronze.supplier")
+    views = lake.register_views()
+    counts = [spark.table(v).agg(F.count("*").alias("n_rows")).select(F.lit(v).alias("view"), "n_rows") for v in views]
+    rows = counts[0]
+    for other in counts[1:]:
+        rows = rows.union(other)
+    named = lake.tables().select(F.concat_ws("_", "layer", "name").alias("view"), "layer", "name")
+    return named.join(rows, "view")
+
+
+@query
+def file_inventory(spark, path):
+    """Files of a partitioned copy, by what their paths say."""
+    copy = shared_dir(spark, "inventory")
+    write_parquet(table(spark, path, "lineitem").select("l_orderkey", "l_linestatus"), copy, ["l_linestatus"])
+    files = inventory(spark, copy, "*.parquet")
+    status = F.regexp_extract("path", "/l_linestatus=([^/]*)/", 1)
+    return files.where("length > 0").select(status.alias("l_linestatus"), "extension").distinct()
+
+
+@query
+def landing_csv(spark, path):
+    """Orders landed as CSV files, some with the extension in capitals."""
+    folder, orders = shared_dir(spark, "landing-csv"), table(spark, path, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    for name, part in (("csv", orders.where("o_orderkey % 2 = 0")), ("CSV", orders.where("o_orderkey % 2 = 1"))):
+        part.select(*columns).write.option("header", "true").option("extension", name).csv(f"{folder}/{name}")
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    return read_landing(spark, folder, "csv", schema).select(*columns)
+
+
+@query
+def landing_json(spark, path):
+    """Conversations landed as JSON lines."""
+    folder = shared_dir(spark, "landing-json")
+    table(spark, path, "conversations").repartition(3, "conv_id").write.json(folder)
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    return read_landing(spark, folder, "json", schema).drop("_source_file")
+
+
+@query
+def parsed_pages(spark, path):
+    """Pages landed as files of any format, read by a registered parser on the executors."""
+    folder = shared_dir(spark, "landing-pages")
+    table(spark, path, "pages").select("page_id", "url").repartition(4, "page_id").write.json(folder)
+
+    def parse(content, name):
+        import pandas as pd
+
+        rows = pd.read_json(content, lines=True)
+        return rows if len(rows) else pd.DataFrame({"page_id": [], "url": []})
+
+    register_parser("page lines", parse, "page_id bigint, url string")
+    return read_landing(spark, folder, "json", parser="page lines").select("page_id", "url")
+
+
+@query
+def table_fixtures(spark, path):
+    """The same tables as CSV, Parquet and JSON fixtures."""
+    folder, nation = shared_dir(spark, "fixtures"), table(spark, path, "nation")
+    nation.coalesce(1).write.option("header", "true").csv(f"{folder}/nation.csv")
+    nation.write.parquet(f"{folder}/nation.parquet")
+    rows = nation.groupBy().agg(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("rows"))
+    rows.select(F.lit("bronze.nation").alias("table"), "rows").write.json(f"{folder}/json")
+    schema = "n_nationkey int, n_name string, n_regionkey int"
+    _, from_csv = csv_fixture(spark, f"{folder}/nation.csv", schema)
+    _, from_parquet = parquet_fixture(spark, f"{folder}/nation.parquet")
+    from_json = json_fixture(spark, f"{folder}/json", {"bronze_nation": schema})["bronze_nation"]
+    kinds = (("csv", from_csv), ("parquet", from_parquet), ("json", from_json))
+    out = [df.select(F.lit(kind).alias("kind"), "n_nationkey", "n_name", "n_regionkey") for kind, df in kinds]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query
+def consumed_view(spark, path):
+    """A product that another workspace consumes as a view."""
+    root = shared_dir(spark, "consumed")
+    lake, catalog = Lake(spark, root, "sales"), ProductCatalog(spark, root)
+    lake.create("gold.customers", table(spark, path, "customer"))
+    catalog.publish(lake, "all-customers", "gold.customers", "1.0.0")
+    taken = catalog.consume("reporting", "all-customers", "1.x", "consumed_customers")
+    return spark.sql(f"select c_mktsegment, count(*) as n from {taken.view} group by c_mktsegment")
+
+
+@query
+def count_checks(spark, path):
+    """Whether a table has as many rows as expected, and a query's number is the expected one."""
+    lines = table(spark, path, "lineitem")
+    share = lambda df: df.agg(F.count_if(F.col("l_linenumber") > 0) / F.count("*") - 0.6)
+    checks = [
+        quality.expect_count(100), quality.not_empty(), quality.scalar_query("fraction_is_zero", share), quality.scalar_query("fraction", share, 0.4)
+    ]
+    return quality.run_checks(lines, checks).select("check", "violations", "status")
+
+
+@query
+def nanos_as_timestamps(spark, path):
+    """Event times as nanoseconds since the epoch, with a rest below a microsecond, read as timestamps."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, path, "events").select("event_id", (micros * 1000 + F.col("event_id") % 1000).alias("at"))
+    return nanos_to_timestamps(events, ["at"]).select("event_id", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query
+def close_numbers(spark, path):
+    """Differences that only a tolerance far below a cent tells, and values that are no numbers on both sides."""
+    orders = table(spark, path, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") / 8).alias("x"))
+    left = orders.withColumn("x", F.coalesce("x", F.lit(float("nan"))))
+    key = F.col("o_orderkey")
+    right = left.withColumn("x", F.col("x") + F.when(key % 3 == 0, 2e-6).when(key % 3 == 1, 1e-8).otherwise(0.0))
+    return diff.tolerance_diff(left, right, ["o_orderkey"], ["x"], 1e-7).select("o_orderkey", "status")
+
+
+@query
+def retention_unknown_dates(spark, path):
+    """Rows without a date are not known to be expired."""
+    dated = F.when(F.col("l_orderkey") % 9 != 0, F.col("l_shipdate"))
+    lines = table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", dated.alias("l_shipdate"))
+    return retain(lines, "l_shipdate", "1997-06-01", 365)

@@ -582,4 +582,37 @@ WHERE rn = 1""",
     "published_product": """
 SELECT l_suppkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity
 FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1""",
+    "lookback_runs": f"""
+WITH {SILVER_EVENTS}
+SELECT event_id, event_type, (SELECT max(_ingested_at) FROM raw_events) AS high FROM raw_events""",
+    "full_refresh_run": "SELECT * FROM orders WHERE o_orderstatus <> 'F'",
+    "compacted_table": "SELECT l_returnflag, count(*) AS n, CAST(2 AS BIGINT) AS files FROM lineitem GROUP BY 1",
+    "promoted_table": """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'NEW' ELSE o_orderpriority END AS o_orderpriority
+FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
+    "retained_partitions": """
+SELECT event_id, day FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(ts AS DATE) END AS day FROM events)
+WHERE day IS NULL OR day >= DATE '2024-01-21'""",
+    "lake_tables": """
+SELECT 'bronze_nation' AS "view", 'bronze' AS layer, 'nation' AS name, count(*) AS n_rows FROM nation
+UNION ALL SELECT 'bronze_region', 'bronze', 'region', count(*) FROM region
+UNION ALL SELECT 'gold_nation', 'gold', 'nation', count(*) FROM nation WHERE n_regionkey = 2""",
+    "file_inventory": "SELECT DISTINCT l_linestatus, 'parquet' AS extension FROM lineitem",
+    "landing_csv": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "landing_json": "SELECT * FROM conversations",
+    "parsed_pages": "SELECT page_id, url FROM pages",
+    "table_fixtures": """
+SELECT kind, n_nationkey, n_name, n_regionkey FROM nation, (VALUES ('csv'), ('parquet'), ('json')) kinds(kind)""",
+    "consumed_view": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1",
+    "count_checks": """
+WITH n AS (SELECT count(*) AS n FROM lineitem)
+SELECT 'expect_count' AS "check", abs(n - 100) AS violations, CASE WHEN n = 100 THEN 'passed' ELSE 'failed' END AS status FROM n
+UNION ALL SELECT 'not_empty', CASE WHEN n > 0 THEN 0 ELSE 1 END, CASE WHEN n > 0 THEN 'passed' ELSE 'failed' END FROM n
+UNION ALL SELECT 'fraction_is_zero', 1, 'failed' UNION ALL SELECT 'fraction', 0, 'passed'""",
+    "nanos_as_timestamps": "SELECT event_id, ts AS at FROM events",
+    "close_numbers": "SELECT o_orderkey, 'different' AS status FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0",
+    "retention_unknown_dates": """
+SELECT * FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 <> 0 THEN l_shipdate END AS l_shipdate FROM lineitem)
+WHERE l_shipdate IS NULL OR l_shipdate >= DATE '1997-06-01' - INTERVAL 365 DAY""",
 }

@@ -108,7 +108,7 @@ def register_parser(name: str, parser: Parser, schema: str) -> None:
 
 def get_parser(name: str) -> tuple[Parser, str]:
     if name not in _parsers:
-        raise KeyError(f"Parser '{name}' not found. Available: {', '.join(sorted(_parsers)) or '(none registered)'}")
+        raise KeyError(f"no parser is registered as {name!r}; known are {list_parsers()}")
     return _parsers[name]
 
 
@@ -143,12 +143,12 @@ def read_landing(
     pattern: str | None = None,
     options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Landing files of one extension, by Spark's reader for it or by a registered parser.
+    """Landing files of one extension (in any case), by Spark's reader for it or by a registered parser.
 
     CSV needs a schema: inference reads the data twice and guesses (``T1``
     would become a timestamp).
     """
-    pattern = pattern or f"*.{extension}"
+    pattern = pattern or "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
     if parser is not None:
         function, declared = get_parser(parser)
         return parse_files(spark, path, function, declared, pattern)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalake.functions.versions import VERSION
+from stratalake.functions.versions import NUMBERS
 from stratalake.operators import access
 from stratalake.operators import products as ops
 from stratalake.operators.upsert import keep_last
@@ -118,33 +119,33 @@ class ProductCatalog:
         sla_freshness_hours: int | None = None,
         published_by: str = "system",
     ) -> Published:
-        """Copy a table's current rows to ``<product>/v<version>/`` and record the version.
+        """Copy a table's rows to a folder of this publication and record it as a version of the product.
 
-        The first publication registers the product and lets every workspace
-        read it. Only the owner may publish, and a recorded version never
-        changes. The version is recorded last, so a copy that died may simply
-        be repeated.
+        Only the owner may publish, and a recorded version never changes: its
+        folder has a name that no other publication has. The first publication
+        also registers the product and lets every workspace read it. The copy
+        comes first, then version, product and rule, so a copy that died
+        leaves no trace in the relations and may be repeated.
         """
-        if not re.match(VERSION, version):
+        if not re.fullmatch(NUMBERS, version):
             raise ValueError(f"not a version (major.minor.patch): {version}")
         row = self.products().where(F.col("name") == product).first()
         if row is not None and row["owner_workspace"] != lake.workspace:
-            raise PermissionError(f"'{product}' is owned by '{row['owner_workspace']}', not '{lake.workspace}'")
+            raise PermissionError(f"only workspace {row['owner_workspace']} publishes {product}; this is {lake.workspace}")
         taken = (F.col("product_name") == product) & (F.col("version") == version)
         if not self.versions().where(taken).isEmpty():
             raise ValueError(f"version {version} of '{product}' already exists")
-        if row is None:
-            self.register(product, lake.workspace, description, tags, sla_freshness_hours)
-            self.grant(product, "*", "read")
         df = lake.read(source_table)
-        location = f"{self.base}/{product}/v{version}"
+        location = f"{self.base}/{product}/v{version}-{uuid.uuid4().hex}"
         rows, _ = Lake._save(df, location)
-        commit = str(lake.version(source_table))
-        schema = df.schema.json()
+        now, schema = datetime.now(), df.schema.json()
         self._record(
             "versions",
-            (product, version, lake.workspace, source_table, schema, rows, location, commit, datetime.now(), published_by, changelog),
+            (product, version, lake.workspace, source_table, schema, rows, location, None, now, published_by, changelog),
         )
+        if row is None:
+            self.register(product, lake.workspace, description, tags, sla_freshness_hours)
+            self.grant(product, "*", "read")
         return Published(product, version, location, rows, schema)
 
     # --- consumers ---------------------------------------------------------
@@ -246,12 +247,11 @@ class ProductCatalog:
         mine = (F.col("consumer_workspace") == workspace) & (F.col("product_name") == product)
         subscription = self.subscriptions().where(mine).first()
         row = self.resolve(product, subscription["version_constraint"] if subscription else "latest")
-        if row is None:
-            return False, list(expected)
-        have = set(self._load(row).columns)
-        missing = [c for c in expected if c not in have]
-        return not missing, missing
+        snapshot = T.StructType.fromJson(json.loads(row["schema_snapshot"])) if row else T.StructType()
+        lacking = [c for c in expected if c not in snapshot.names]
+        return row is not None and not lacking, lacking
 
 
 def _alias(product: str) -> str:
-    return product.replace("/", "_").replace("-", "_")
+    """A product's name as part of a view's name."""
+    return re.sub(r"[/-]", "_", product)

@@ -1,20 +1,21 @@
-"""Named tables in layers, kept as Parquet directories with a version log.
-
-A table lives at ``<root>/<workspace>/<layer>/<name>/``. Each write adds a
-directory ``data/__version=<n>.<id>/`` and then, as its last step, one row to ``log/``. The
-row lists the directories that make up version ``n``. Readers follow the log,
-so a write that dies half-way leaves nothing visible, older versions stay
-readable, an append copies nothing, and an upsert rewrites only the partitions
-it touches.
-
-One writer per table at a time: a second one that prepares the same version
-fails on the existing log entry. A catalog with its own table format can stand
-in for this module; the operators do not depend on it.
+"""Named tables in layers, kept as plain Parquet folders.
+
+A table lives at ``<root>/<workspace>/<layer>/<name>/``: one data folder with a name of its own, and a small entry that
+names it together with the table's schema, partitioning and key. Creating, replacing and rewriting write a new folder
+and then a new entry, so a job that dies in between leaves the table as it was; the old folder goes last. Appends add
+``__run=<id>`` folders beside ``__run=0``. An upsert is staged first and then replaces the partitions it touches; it may
+be repeated after a failure and then ends in the same rows. Nothing a lost job leaves behind stands in the way of the
+next write.
+
+One writer per table at a time; a catalog with its own table format can stand in for this module, the operators do not
+depend on it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from datetime import datetime
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +34,12 @@ from stratalake.operators.upsert import keep_last, merge, merge_stats
 from stratalake.sources.files import inventory, size_text, write_parquet
 
 LAYERS = ("bronze", "silver", "gold")
-LOG_SCHEMA = (
-    "version bigint, committed_at timestamp, operation string, row_count bigint, segments array<string>, "
-    "schema string, partition_by array<string>, unique_key array<string>, batch string"
+ENTRY_SCHEMA = (
+    "table string, number bigint, folder string, schema string, partition_by array<string>, unique_key array<string>, "
+    "appended boolean"
 )
+WRITES_SCHEMA = "at timestamp, operation string, row_count bigint"
+RUN = "__run"
 
 
 @dataclass(frozen=True)
@@ -80,61 +83,63 @@ class Lake:
         ref = TableRef.parse(table)
         return f"{self.base}/{ref.layer}/{ref.name}"
 
-    # --- log ---------------------------------------------------------------
+    # --- entries -----------------------------------------------------------
 
-    def _log(self, table: str) -> DataFrame:
-        reader = self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true")
+    def _relation(self, path: str, schema: str) -> DataFrame:
+        reader = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
         try:
-            return reader.parquet(f"{self.path(table)}/log")
+            return reader.parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-
-    def _entry(self, table: str, version: int | None = None):
-        log = self._log(table)
-        if version is not None:
-            log = log.where(F.col("version") == version)
-        return log.orderBy(F.desc("version")).first()
-
-    def history(self, table: str) -> DataFrame:
-        """Versions in order: number, time, operation, rows written."""
-        return self._log(table).select("version", "committed_at", "operation", "row_count").orderBy("version")
-
-    def version(self, table: str) -> int:
-        return self._live(table)["version"]
+            return self.spark.createDataFrame([], schema)
 
-    def exists(self, table: str) -> bool:
-        entry = self._entry(table)
-        return entry is not None and entry["operation"] != "drop"
+    def _entry(self, table: str):
+        return self._relation(f"{self.path(table)}/current", ENTRY_SCHEMA).orderBy(F.desc("number")).first()
 
     def _live(self, table: str):
         entry = self._entry(table)
-        if entry is None or entry["operation"] == "drop":
+        if entry is None:
             raise ValueError(f"table not found: {table}")
         return entry
 
-    def _commit(self, table, version, operation, row_count, segments, schema, partition_by, unique_key, batch=None):
-        row = (version, datetime.now(), operation, row_count, segments, schema, list(partition_by), list(unique_key), batch)
-        entry = self.spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
-        entry.write.mode("errorifexists").parquet(f"{self.path(table)}/log/v={version}")
+    def exists(self, table: str) -> bool:
+        return self._entry(table) is not None
+
+    def history(self, table: str) -> DataFrame:
+        """A record of the writes in order: number, operation, rows written. Reading does not depend on it."""
+        order = Window.orderBy("at", "operation")
+        writes = self._relation(f"{self.path(table)}/writes", WRITES_SCHEMA)
+        return writes.select(F.row_number().over(order).cast("bigint").alias("version"), F.col("at").alias("committed_at"), "operation", "row_count")
+
+    def _commit(self, table, folder, schema, partition_by, unique_key=(), appended=False, before=None) -> None:
+        """Make ``folder`` the table's data; what it replaces is removed afterwards."""
+        number = 1 if before is None else before["number"] + 1
+        place = f"{self.path(table)}/current"
+        row = (str(table), number, folder, schema, list(partition_by), list(unique_key), appended)
+        old = [] if before is None else self._relation(place, ENTRY_SCHEMA).inputFiles()
+        self.spark.createDataFrame([row], ENTRY_SCHEMA).coalesce(1).write.parquet(f"{place}/{uuid.uuid4().hex}")
+        for file in old:
+            remove(self.spark, unquote(file))
+        if before is not None and before["folder"] != folder:
+            remove(self.spark, f"{self.path(table)}/{before['folder']}")
+
+    def _record(self, table: str, operation: str, rows: int) -> None:
+        row = self.spark.createDataFrame([(datetime.now(), operation, rows)], WRITES_SCHEMA).coalesce(1)
+        row.write.mode("append").parquet(f"{self.path(table)}/writes")
 
     # --- reading -----------------------------------------------------------
 
-    def _scan(self, table: str, entry, segments: Sequence[str]) -> DataFrame:
+    def _scan(self, table: str, entry) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(entry["schema"]))
-        if not segments:
-            return self.spark.createDataFrame([], schema)
-        data = f"{self.path(table)}/data"
-        reader = self.spark.read.schema(schema).option("basePath", data)
-        return reader.parquet(*[f"{data}/{s}" for s in segments]).select(*cols(schema.fieldNames()))
+        folder = f"{self.path(table)}/{entry['folder']}"
+        # The run is a folder level, not a column of the table.
+        reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(RUN, T.StringType())]))
+        return reader.parquet(folder).select(*cols(schema.fieldNames()))
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        """Current rows, or those of an older version."""
-        entry = self._live(table) if version is None else self._entry(table, version)
-        if entry is None:
-            raise ValueError(f"{table} has no version {version}")
-        return self._scan(table, entry, entry["segments"])
+    def read(self, table: str) -> DataFrame:
+        """The table's rows."""
+        return self._scan(table, self._live(table))
 
     def register_views(self) -> list[str]:
         """Make every table available to ``spark.sql`` as ``<layer>_<name>``."""
@@ -147,15 +152,14 @@ class Lake:
 
     def tables(self, layer: str | None = None) -> DataFrame:
         """Tables by layer with the number and total size of their data files."""
-        files = inventory(self.spark, self.base, "*.parquet")
-        parts = r"/(bronze|silver|gold)/([^/]+)/data/"
+        entries = self._relation(f"{self.base}/*/*/current", ENTRY_SCHEMA)
+        latest = keep_last(entries.select("table", "number", "folder"), ["table"], ["number"])
+        parts = r"/(bronze|silver|gold)/([^/]+)/([^/]+)/"
+        files = inventory(self.spark, self.base, "*.parquet").select(
+            *[F.regexp_extract("path", parts, i).alias(c) for i, c in ((1, "layer"), (2, "name"), (3, "folder"))], "length"
+        )
         found = (
-            files.where(F.col("path").rlike(parts))
-            .select(
-                F.regexp_extract("path", parts, 1).alias("layer"),
-                F.regexp_extract("path", parts, 2).alias("name"),
-                "length",
-            )
+            files.join(latest.select("folder"), "folder", "left_semi")
             .groupBy("layer", "name")
             .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
             .withColumn("size", size_text(F.col("bytes")))
@@ -164,23 +168,12 @@ class Lake:
 
     # --- writing -----------------------------------------------------------
 
-    def _write(self, df: DataFrame, table: str, version: int, partition_by: Sequence[str], track: str | None = None):
-        """Write one version directory: row count, the directories it consists of, high-water value."""
+    def _write(self, df: DataFrame, target: str, partition_by: Sequence[str], track: str | None = None):
+        """Write rows into a folder: their number and high-water value."""
         if partition_by:
-            df = _storable(df, partition_by)
             # Few files per partition value, while AQE splits a value that holds most rows.
-            df = df.hint("rebalance", *partition_by)
-        # Unique, so that a second writer of the same version cannot touch committed files.
-        name = f"__version={version}.{uuid.uuid4().hex[:12]}"
-        target = f"{self.path(table)}/data/{name}"
-        rows, mark = self._save(df, target, partition_by, track)
-        if rows == 0:
-            return 0, [], None
-        if not partition_by:
-            return rows, [name], mark
-        folder = F.regexp_extract("path", f"/data/({name}/.*)/[^/]*$", 1)
-        listed = inventory(self.spark, target, "*.parquet").select(folder.alias("d")).distinct().collect()
-        return rows, sorted(r["d"] for r in listed), mark
+            df = _storable(df, partition_by).hint("rebalance", *partition_by)
+        return self._save(df, target, partition_by, track)
 
     @staticmethod
     def _save(df: DataFrame, target: str, partition_by: Sequence[str] = (), track: str | None = None):
@@ -193,42 +186,39 @@ class Lake:
         write_parquet(counted, target, partition_by)
         return seen.get.get("rows") or 0, seen.get.get("watermark")
 
-    def _next(self, table: str) -> int:
-        entry = self._entry(table)
-        return 1 if entry is None else entry["version"] + 1
-
     def create(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
         """Create or replace a table; returns the number of rows."""
         return self._create(table, df, partition_by)[0]
 
-    def _create(
-        self, table, df, partition_by=(), unique_key=(), track=None, keep_if_empty=False, operation="create", batch=None
-    ):
-        version = self._next(table)
-        rows, segments, mark = self._write(df, table, version, partition_by, track)
+    def _create(self, table, df, partition_by=(), unique_key=(), track=None, keep_if_empty=False, operation="create"):
+        before = self._entry(table)
+        folder = f"data-{uuid.uuid4().hex}"
+        rows, mark = self._write(df, f"{self.path(table)}/{folder}/{RUN}=0", partition_by, track)
         if rows or not keep_if_empty:
-            self._commit(table, version, operation, rows, segments, df.schema.json(), partition_by, unique_key, batch)
+            self._commit(table, folder, df.schema.json(), partition_by, unique_key, before=before)
+            self._record(table, operation, rows)
+        else:
+            remove(self.spark, f"{self.path(table)}/{folder}")
         return rows, mark
 
     def overwrite(self, table: str, df: DataFrame, unique_key: Sequence[str] = ()) -> int:
         """Replace all rows, keeping the table's partitioning."""
-        entry = self._live(table)
-        version = entry["version"] + 1
-        rows, segments, _ = self._write(df, table, version, entry["partition_by"])
-        self._commit(table, version, "overwrite", rows, segments, df.schema.json(), entry["partition_by"], unique_key)
-        return rows
+        return self._create(table, df, self._live(table)["partition_by"], unique_key, operation="overwrite")[0]
 
     def append(self, table: str, df: DataFrame) -> int:
-        """Add rows; existing files are referenced, not copied."""
+        """Add rows; existing files stay as they are."""
         return self._append(table, df)[0]
 
-    def _append(self, table, df, track=None):
+    def _append(self, table, df, track=None, run: str | None = None):
+        """Add rows as a run of their own. Appending a run of the same id again replaces it."""
         entry = self._live(table)
-        version, parts = entry["version"] + 1, entry["partition_by"]
+        parts = entry["partition_by"]
         schema = _widen(entry["schema"], df)
-        rows, segments, mark = self._write(df, table, version, parts, track)
-        if rows:
-            self._commit(table, version, "append", rows, [*entry["segments"], *segments], schema, parts, [])
+        target = f"{self.path(table)}/{entry['folder']}/{RUN}={run or uuid.uuid4().hex}"
+        if schema != entry["schema"] or not entry["appended"]:
+            self._commit(table, entry["folder"], schema, parts, [], appended=True, before=entry)
+        rows, mark = self._write(df, target, parts, track)
+        self._record(table, "append", rows)
         return rows, mark
 
     def merge(
@@ -238,83 +228,90 @@ class Lake:
         keys: Sequence[str],
         order_by: Sequence[str] = (),
         partition_by: Sequence[str] = (),
-        batch_id: str | None = None,
         keys_stay: bool = False,
+        newest_wins: bool = False,
     ) -> dict[str, int]:
         """Upsert ``batch``; returns the numbers of inserted and updated keys.
 
         Creates the table if needed. Of a partitioned table only those
-        partitions are read and rewritten that hold a key of the batch or
-        receive one; all others are carried over by reference. To find them the
-        key columns of the table are read, unless the partition is part of the
-        key or the caller vouches that a key never changes its partition
-        (``keys_stay``). A ``batch_id`` that is already in the log is not
-        applied again.
+        partitions are read and replaced that hold a key of the batch or
+        receive one. To find them the key columns of the table are read, unless
+        the partition is part of the key or the caller vouches that a key never
+        changes its partition (``keys_stay``). Rows of the batch replace those
+        of the table, or with ``newest_wins`` only if they are greater by
+        ``order_by``.
         """
-        if batch_id is not None and not self._log(table).where(F.col("batch") == batch_id).isEmpty():
-            return {"inserted": 0, "updated": 0}
-        stored, rows, _ = self._stage(table, batch)
-        if rows == 0:
-            return {"inserted": 0, "updated": 0}
-        return self._merge(table, stored, keys, order_by, partition_by, batch_id, keys_stay)
-
-    def _stage(self, table: str, batch: DataFrame, track: str | None = None):
-        """Write a batch once; an upsert reads it several times, always the same rows."""
-        ref = TableRef.parse(table)
-        target = f"{self.base}/_staging/{ref.layer}_{ref.name}"
-        rows, mark = self._save(batch, target, (), track)
-        return self.spark.read.schema(batch.schema).parquet(target), rows, mark
-
-    def _merge(self, table, batch, keys, order_by=(), partition_by=(), batch_id=None, keys_stay=False) -> dict[str, int]:
+        stage = self._staging()
+        try:
+            rows, _ = self._save(batch, stage)
+            if rows == 0:
+                return {"inserted": 0, "updated": 0}
+            stored = self.spark.read.schema(batch.schema).parquet(stage)
+            return self._merge(table, stored, keys, order_by, partition_by, keys_stay, newest_wins)
+        finally:
+            remove(self.spark, stage)
+
+    def _staging(self) -> str:
+        """A folder for rows that several steps read; only this call knows it."""
+        return f"{self.base}/_staging/{uuid.uuid4().hex}"
+
+    def _merge(self, table, batch, keys, order_by=(), partition_by=(), keys_stay=False, newest_wins=False) -> dict[str, int]:
         entry = self._entry(table)
-        if entry is None or entry["operation"] == "drop":
+        if entry is None:
             last = keep_last(_storable(batch, partition_by), keys, order_by)
-            rows, _ = self._create(table, last, partition_by, keys, operation="merge", batch=batch_id)
+            rows, _ = self._create(table, last, partition_by, keys, operation="merge")
             return {"inserted": rows, "updated": 0}
-        version, parts = entry["version"] + 1, entry["partition_by"]
+        parts = entry["partition_by"]
         batch = _storable(batch, parts)
         schema = _widen(entry["schema"], batch)
+        current = self._scan(table, {**entry.asDict(), "schema": schema})
         was_unique = sorted(entry["unique_key"]) == sorted(keys)
-        touched, untouched = list(entry["segments"]), []
-        if parts:
-            touched, untouched = self._split_segments(table, entry, batch, keys, keys_stay)
-        existing = self._scan(table, entry, touched)
-        # Rows outside the touched directories have none of the batch's keys.
+        in_place = bool(parts) and not entry["appended"]
+        if in_place:
+            touched = batch.select(*cols(parts))
+            if not keys_stay and not set(parts) <= set(keys):
+                # A key may move: the partition that holds it now is touched as well.
+                fresh = batch.select(*cols(keys)).distinct()
+                touched = touched.union(match_keys(current, fresh, keys, "left_semi").select(*cols(parts)))
+            touched = touched.distinct()
+            existing = match_keys(current, touched, parts, "left_semi")
+        else:
+            existing = current
+        # Rows outside the touched partitions have none of the batch's keys.
         stats = merge_stats(existing, batch, keys).first().asDict()
-        merged = merge(existing, batch, keys, order_by, existing_unique=was_unique)
-        rows, segments, _ = self._write(merged, table, version, parts)
-        # Each key is now unique in the whole table if it was before, or if all of it was rewritten.
-        unique = keys if was_unique or not untouched else []
-        self._commit(table, version, "merge", rows, [*untouched, *segments], schema, parts, unique, batch_id)
+        merged = merge(existing, batch, keys, order_by, existing_unique=was_unique, newest_wins=newest_wins)
+        merged = merged.select(*cols(T.StructType.fromJson(json.loads(schema)).fieldNames()))
+        if not in_place:
+            folder = f"data-{uuid.uuid4().hex}"
+            rows, _ = self._write(merged, f"{self.path(table)}/{folder}/{RUN}=0", parts)
+            self._commit(table, folder, schema, parts, keys, before=entry)
+            self._record(table, "merge", rows)
+            return stats
+        self._replace(table, entry, merged, touched, schema, keys if was_unique else [])
         return stats
 
-    def _split_segments(self, table, entry, batch, keys, keys_stay) -> tuple[list[str], list[str]]:
-        """Directories holding a partition the batch touches, and the others.
-
-        Only directory names meet the batch's distinct partition values; the
-        names that match come back to the driver, rows do not.
-        """
-        parts = entry["partition_by"]
-        hit = batch.select(*cols(parts))
-        if not keys_stay and not set(parts) <= set(keys):
-            # A key may move: the partition that holds it now is touched as well.
-            current = self._scan(table, entry, entry["segments"])
-            fresh = batch.select(*cols(keys)).distinct()
-            hit = hit.union(match_keys(current, fresh, keys, "left_semi").select(*cols(parts)))
-        schema = T.StructType.fromJson(json.loads(entry["schema"]))
-        named = [(s, *_partition_values(s)) for s in entry["segments"]]
-        texts = T.StructType([T.StructField(c, T.StringType()) for c in ("_segment", *parts)])
-        layout = self.spark.createDataFrame(named, texts).select(
-            "_segment", *[col(c).cast(schema[c].dataType).alias(c) for c in parts]
-        )
-        rows = match_keys(layout, hit.distinct(), parts, "left_semi").select("_segment").collect()
-        found = {r["_segment"] for r in rows}
-        return [s for s in entry["segments"] if s in found], [s for s in entry["segments"] if s not in found]
+    def _replace(self, table, entry, merged, touched, schema, unique_key) -> None:
+        """Put the merged rows in place of the touched partitions, from a staged copy."""
+        parts, stage = entry["partition_by"], self._staging()
+        target = f"{self.path(table)}/{entry['folder']}/{RUN}=0"
+        try:
+            rows, _ = self._save(merged, stage)
+            result = self.spark.read.schema(merged.schema).parquet(stage)
+            emptied = match_keys(touched, result.select(*cols(parts)).distinct(), parts, "left_anti")
+            gone = emptied.select(*[col(c).cast("string").alias(c) for c in parts]).collect()
+            if schema != entry["schema"]:
+                self._commit(table, entry["folder"], schema, parts, unique_key, before=entry)
+            write_parquet(result.hint("rebalance", *parts), target, parts, only_touched=True)
+            for row in gone:
+                remove(self.spark, f"{target}/{_partition_path(self.spark, parts, row)}")
+        finally:
+            remove(self.spark, stage)
+        self._record(table, "merge", rows)
 
     def drop(self, table: str) -> None:
-        """Hide the table; its older versions stay readable by number."""
-        entry = self._live(table)
-        self._commit(table, entry["version"] + 1, "drop", 0, [], entry["schema"], entry["partition_by"], [])
+        """Remove the table."""
+        self._live(table)
+        remove(self.spark, self.path(table))
 
     def compact(self, table: str, files: int | None = None) -> int:
         """Rewrite into fewer files.
@@ -323,20 +320,30 @@ class Lake:
         splits a partition value that is too large for one.
         """
         entry = self._live(table)
-        df = self._scan(table, entry, entry["segments"])
+        df = self._scan(table, entry)
         parts = entry["partition_by"]
         if not parts:
             df = df.repartition(files) if files else df.hint("rebalance")
-        version = entry["version"] + 1
-        rows, segments, _ = self._write(df, table, version, parts)
-        self._commit(table, version, "compact", rows, segments, entry["schema"], parts, entry["unique_key"])
-        return rows
+        return self._create(table, df, parts, entry["unique_key"], operation="compact")[0]
 
     def retain(self, table: str, column: str, as_of: str, days: int) -> int:
-        """Drop rows older than ``days`` from the current version."""
+        """Drop rows older than ``days``; returns the number of rows that stay. Rows without a value stay.
+
+        If the table is partitioned by ``column`` alone, expired partitions are removed and the rest is not touched.
+        """
         entry = self._live(table)
-        kept = keep_recent(self._scan(table, entry, entry["segments"]), column, as_of, days)
-        return self.overwrite(table, kept, entry["unique_key"])
+        current = self._scan(table, entry)
+        kept = keep_recent(current, column, as_of, days)
+        if entry["partition_by"] != [column]:
+            return self.overwrite(table, kept, entry["unique_key"])
+        values = current.select(col(column)).distinct()
+        expired = values.join(keep_recent(values, column, as_of, days), column, "left_anti").where(col(column).isNotNull())
+        for row in expired.select(col(column).cast("string").alias(column)).collect():
+            part = _partition_path(self.spark, [column], row)
+            remove(self.spark, f"{self.path(table)}/{entry['folder']}/{RUN}=*/{part}")
+        rows = self.read(table).count()
+        self._record(table, "retain", rows)
+        return rows
 
     # --- runs --------------------------------------------------------------
 
@@ -358,31 +365,45 @@ class Lake:
         Without a watermark column, or on a full refresh, the table is
         replaced. Otherwise only source rows above the stored value are
         transformed and merged (appended if there is no key), and the value
-        advances after the data is committed. An empty result writes nothing.
+        advances after the data is written; it never moves back. An empty
+        result writes nothing. A run that died before the value advanced may be
+        repeated: its appended rows are replaced by those of the repetition.
+        ``lookback`` takes rows again and therefore needs a key.
         """
+        if lookback is not None and not unique_key:
+            raise ValueError("lookback takes rows again: it needs a unique_key")
         incremental = watermark is not None and not full_refresh and self.exists(table)
         value = self.state.get_text(table, watermark) if incremental else None
         rows = newer_than(source, watermark, value, lookback) if watermark else source
         result = transform(rows)
         track = watermark if watermark in result.columns else None
         if unique_key:
-            batch, read, mark = self._stage(table, result, track)
-            if read == 0:
-                return RunResult(table, 0, 0, 0, incremental, None)
-            if incremental:
-                stats = self._merge(table, batch, unique_key, order_by, partition_by, keys_stay=keys_stay)
-            else:
-                last = keep_last(_storable(batch, partition_by), unique_key, order_by)
-                written, _ = self._create(table, last, partition_by, unique_key)
-                stats = {"inserted": written, "updated": 0}
+            stage = self._staging()
+            try:
+                read, mark = self._save(result, stage, (), track)
+                if read == 0:
+                    return RunResult(table, 0, 0, 0, incremental, None)
+                batch = self.spark.read.schema(result.schema).parquet(stage)
+                if incremental:
+                    stats = self._merge(table, batch, unique_key, order_by, partition_by, keys_stay)
+                else:
+                    last = keep_last(_storable(batch, partition_by), unique_key, order_by)
+                    written, _ = self._create(table, last, partition_by, unique_key)
+                    stats = {"inserted": written, "updated": 0}
+            finally:
+                remove(self.spark, stage)
         else:
             if incremental:
-                read, mark = self._append(table, result, track)
+                run = hashlib.md5(f"{watermark}>{value}".encode()).hexdigest()
+                read, mark = self._append(table, result, track, run)
             else:
                 read, mark = self._create(table, result, partition_by, (), track, keep_if_empty=True)
             stats = {"inserted": read, "updated": 0}
         if mark is not None:
             kind = result.schema[watermark].dataType.simpleString()
+            if incremental and value is not None:
+                greater = F.greatest(F.lit(value).cast(kind), F.lit(mark).cast(kind)).cast("string")
+                mark = self.spark.range(1).select(greater).first()[0]
             self.state.set(table, watermark, mark, kind, read)
         return RunResult(table, read, stats["inserted"], stats["updated"], incremental, mark)
 
@@ -396,10 +417,19 @@ class Lake:
         return {"inserted": target.create(table, rows, self._live(table)["partition_by"]), "updated": 0}
 
 
-def _partition_values(segment: str) -> list[str | None]:
-    """The values in ``__version=.../a=1/b=x``, as text."""
-    values = [unquote(part.partition("=")[2]) for part in segment.split("/")[1:]]
-    return [None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values]
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete files or folders (``*`` matches any name) from the store that holds them."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(pattern) or []:
+        store.delete(found.getPath(), True)
+
+
+def _partition_path(spark: SparkSession, parts: Sequence[str], row) -> str:
+    """The folder of one partition, as Spark's writer names it; characters that a pattern gives a meaning are escaped."""
+    naming = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    names = [naming.getPartitionPathString(c, row[c]) for c in parts]
+    return "/".join(re.sub(r"([\\{}\[\]*?,])", r"\\\1", n) for n in names)
 
 
 def _storable(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:

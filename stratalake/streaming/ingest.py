@@ -53,17 +53,15 @@ def merge_stream(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     partition_by: Sequence[str] = (),
-    name: str | None = None,
 ) -> StreamingQuery:
-    """Upsert all available data, one commit per micro-batch, then stop.
+    """Upsert all available data, one micro-batch after the other, then stop.
 
-    A batch that is repeated after a failure is recognised by its number, so
-    every batch takes effect once.
+    The greatest row by ``order_by`` stays, so a batch that is repeated after a
+    failure, and several streams into one table, end in the same rows.
     """
-    name = name or table
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        lake.merge(table, transform(batch), keys, order_by, partition_by, batch_id=f"{name}:{batch_id}")
+    def upsert(batch: DataFrame, _: int) -> None:
+        lake.merge(table, transform(batch), keys, order_by, partition_by, newest_wins=True)
 
     return (
         stream.writeStream.foreachBatch(upsert)

@@ -73,7 +73,7 @@ def test_registered_parser(spark, tmp_path, rows):
     assert rows(df, "code", "n", "file") == [("AB", 7, "a.dat"), ("CD", 12, "a.dat"), ("EF", 1, "b.dat")]
     assert df.where(F.col("_source_file").endswith("a.dat")).count() == 2
     assert "fixed_width" in files.list_parsers()
-    with pytest.raises(KeyError, match="not found"):
+    with pytest.raises(KeyError, match="no parser"):
         files.get_parser("nope")
 
 

@@ -2,12 +2,14 @@
 
 import pytest
 
-import __spark_entry__ as entry_module
+from stratalake.plans.catalogue import QUERIES
 
 # Queries that write tables first; their plans are simple reads.
 EAGER = {
     "partitioned_roundtrip", "stored_upsert", "read_snapshot", "read_overwritten", "table_history",
-    "incremental_runs", "stream_upsert", "published_product",
+    "incremental_runs", "stream_upsert", "published_product", "lookback_runs", "full_refresh_run", "compacted_table",
+    "promoted_table", "retained_partitions", "lake_tables", "file_inventory", "landing_csv", "landing_json", "parsed_pages",
+    "table_fixtures", "consumed_view",
 }
 
 
@@ -15,9 +17,9 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_no_pairing_and_no_python(name, spark, data):
-    text = plan(entry_module.queries()[name](spark, data))
+    text = plan(QUERIES[name](spark, data))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "PythonMapIn", "FlatMapGroups"):
         assert operator not in text
 
@@ -33,22 +35,26 @@ def test_no_pairing_and_no_python(name, spark, data):
 )
 def test_filters_and_columns_reach_the_scan(name, pushed, read, spark, data):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    text = plan(entry_module.queries()[name](spark, data))
+    text = plan(QUERIES[name](spark, data))
     assert pushed in text
     assert read in text
 
 
+def test_watermarks_read_once(spark, data):
+    assert plan(QUERIES["watermark_value"](spark, data)).count("FileScan") == 1
+
+
 def test_top_k_is_not_a_full_sort(spark, data):
-    assert "TakeOrderedAndProject" in plan(entry_module.queries()["preview_topn"](spark, data))
+    assert "TakeOrderedAndProject" in plan(QUERIES["preview_topn"](spark, data))
 
 
 def test_many_rules_scan_the_table_twice_at_most(spark, data):
     """One pass for all row rules, one for uniqueness."""
-    text = plan(entry_module.queries()["quality_suite_summary"](spark, data))
+    text = plan(QUERIES["quality_suite_summary"](spark, data))
     assert text.count("lineitem.parquet") == 2
 
 
 def test_upsert_shuffles_once(spark, data):
-    text = plan(entry_module.queries()["merge_upsert"](spark, data))
+    text = plan(QUERIES["merge_upsert"](spark, data))
     assert text.count("Exchange hashpartitioning") == 1
     assert "partial_max" in text

