@@ -45,7 +45,7 @@ def test_compute_watermark(events, spark):
     assert incremental.compute_watermark(events, "id").first()[0] == 47
     assert incremental.compute_watermark(events, "id", "min").first()[0] == 0
     assert incremental.compute_watermark(events.where("id < 0"), "id").first()[0] is None
-    with pytest.raises(ValueError, match="Unknown aggregation"):
+    with pytest.raises(ValueError, match="max or min"):
         incremental.compute_watermark(events, "id", "avg")
     with pytest.raises(ValueError):
         incremental.compute_watermark(events, "nope")
