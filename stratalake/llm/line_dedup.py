@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ COMMON = 256
 _HASH_BITS = np.uint64((1 << 40) - 1)
 
 LINE = "doc_id long, copy long, line int, n int, id long, set2 long, sign1 long, sign2 long, at int, word long, common boolean"
-KNOWN = 300_000
+KNOWN, TURNS = 300_000, 6
 
 
 class Lines:
@@ -279,8 +280,13 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
 
     # Other words stand in few lines: all their classes meet.
     light = entries.filter(~F.col("common")).select("word", "id", "n", "at", "sign1", "sign2")
-    few = _meet(light, light, F.col("x.id") < F.col("y.id"), similarity)
-    pairs = stored(left_over.union(few).distinct().join(early, ["a", "b"], "left_anti"), "pairs")
+    found = [stored(left_over, "pairs")]
+    for turn in range(TURNS):
+        # Words take turns, so that the lists on disk at a time are a part of all.
+        part = light.filter(F.pmod("word", F.lit(TURNS)) == turn)
+        found.append(stored(_meet(part, part, F.col("x.id") < F.col("y.id"), similarity), "pairs"))
+    pairs = reduce(lambda a, b: a.union(b), found).distinct().join(early, ["a", "b"], "left_anti")
+    pairs = stored(pairs, "pairs")
     gone = done.union(_later(docs, pairs, classes, similarity)).distinct().withColumnRenamed("id", "gone").withColumnRenamed("first", "at_place")
 
     marked = classes.join(gone, (F.col("id") == F.col("gone")) & (F.col("first") == F.col("at_place")), "left")
