@@ -2,7 +2,8 @@
 
 From a bounded sample (`SAMPLE` vectors, in the order of a hash of their ids) a rotation is learned that turns centred
 vectors into balanced binary codes: principal axes, then alternating between the nearest codes and the rotation that
-fits them best; a bit is set above its median. Every vector is coded. Codes are cut into substrings of about log2 of the
+fits them best. The fit takes one vector of each group of alike ones, so that a large group neither pulls the centre
+into itself nor bends the axes. Every vector is coded. Codes are cut into substrings of about log2 of the
 number of vectors, so that tables stay selective as the input grows; each vector is stored under its substrings and
 asks for them and for all substrings one bit away. Pairs within a Hamming radius are reranked: linked if the cosine of
 the original vectors, in double precision, reaches the threshold.
@@ -34,34 +35,43 @@ SAMPLE, ROUNDS = 10_000, 40
 
 @dataclass(frozen=True)
 class Coder:
-    """Mean, projection and medians that turn a vector into bits."""
+    """Centre and projection that turn a vector into bits."""
 
     mean: np.ndarray
     axes: np.ndarray
-    medians: np.ndarray
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """Up to 64 bits per row as an unsigned number."""
-        bits = (unit - self.mean) @ self.axes > self.medians
+        bits = (unit - self.mean) @ self.axes > 0
         padded = np.zeros((len(unit), 64), np.uint8)
         padded[:, : bits.shape[1]] = bits
         return np.packbits(padded, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def spread(unit: np.ndarray, alike: float = 0.8, most: int = 2000) -> np.ndarray:
+    """Of the first `most` vectors those that no earlier kept one is alike."""
+    unit = unit[:most]
+    near = unit @ unit.T >= alike
+    free = np.ones(len(unit), bool)
+    for i in range(len(unit)):
+        if free[i]:
+            free[i + 1 :] &= ~near[i, i + 1 :]
+    return unit[free]
+
+
 def fit(unit: np.ndarray, seed: int) -> Coder:
-    """Iterative quantisation of unit vectors to min(64, length) bits."""
-    mean = unit.mean(axis=0)
+    """Iterative quantisation of unit vectors to min(64, length) bits; few different vectors are not centred."""
+    unit = spread(unit)
+    mean = unit.mean(axis=0) if len(unit) >= 32 else np.zeros(unit.shape[1])
     centred = unit - mean
     bits = min(64, unit.shape[1])
     _, _, axes = np.linalg.svd(centred.T @ centred)
     projected = centred @ axes[:bits].T
-    random = np.random.default_rng(seed).normal(size=(bits, bits))
-    rotation = np.linalg.qr(random)[0]
+    rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
     for _ in range(ROUNDS):
         left, _, right = np.linalg.svd(np.where(projected @ rotation > 0, 1.0, -1.0).T @ projected)
         rotation = (left @ right).T
-    axes = axes[:bits].T @ rotation
-    return Coder(mean, axes, np.median(centred @ axes, axis=0))
+    return Coder(mean, axes[:bits].T @ rotation)
 
 
 def plan(n: int, bits: int, cosine: float, recall: float) -> tuple[int, int, int]:
