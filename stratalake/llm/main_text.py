@@ -6,7 +6,9 @@ ratios follow, text per node and punctuation per node, both lowered by the share
 neighbouring nodes in page order, they are fused by their product, and paths whose fused value reaches a part of the
 page's deviation are content, as are short blocks (headings, short paragraphs) inside the container that holds most
 content. Page furniture that names itself (nav, footer, forms, or a class or id such as "sidebar" or "comments") is
-left out before; the elements scripts, styles and the like never hold text.
+left out before; the elements scripts, styles and the like never hold text. A form or an element named by class, id or
+role stays if it holds most of the page's text outside links or its only main, article or h1 (comments only stay where
+no article is beside them), and if nothing else has text; inline elements only go if they are hidden.
 
 Blocks are joined by two line feeds; white space inside a block becomes one space; character references are decoded.
 Null, empty and broken HTML: what text it has, else "". Each row is extracted by itself, also if it repeats; all
@@ -33,7 +35,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-FURNITURE = frozenset("nav footer aside form button menu dialog head header".split())
+FURNITURE = frozenset("nav footer aside button menu dialog head header".split())
+#: What may stand in a head; any other element, or text, ends it.
+HEAD = frozenset("html head title base link meta style script noscript template".split())
 #: Elements that an opening tag of the same kind of place closes.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -45,13 +49,17 @@ BREAKS_P = frozenset(
 )
 #: Elements that are parts of a text rather than hold one.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disqus"
+_NAMES = (
+    r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disqus"
     r"|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|recommend\w*"
     r"|related|replies|reply|respond|share|sharing|sidebar|signup|site-header|page-header|skip|social|sponsor\w*|subscribe|tags?"
-    r"|toc|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"|toc|toolbar|widget)"
 )
+#: Words that a name may be joined with and still name the same thing.
+_JOINED = r"(?:area|bar|block|bottom|box|buttons?|container|left|links?|list|main|posts?|primary|right|secondary|section|site|slot|top|wrap|wrapper)"
+#: A class or id that is such a name as a whole, or made of nothing else; "tag-x" and "has-sidebar" say something of an article.
+NAMED = re.compile(rf"(?!tag[_-](?!list$|links?$))(?:{_JOINED}[_-])*{_NAMES}(?:[_-](?:{_NAMES}|{_JOINED}))*", re.IGNORECASE)
+COMMENTS = re.compile(r"(?:.*[_-])?(?:comments?|commentlist|disqus|replies|reply|respond)(?:[_-].*)?", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
@@ -60,13 +68,14 @@ _PUNCTUATION = re.compile(r"[.,;:!?、。，！？…]")
 
 @dataclass
 class Node:
-    """An open element: its tag, its path, whether it is furniture, and the block that its text belongs to."""
+    """An open element: its tag, its path, whether it is furniture or in what may be, and the block that its text belongs to."""
 
     tag: str
     path: tuple[str, ...]
     skip: bool
     link: bool
     inside: tuple[int, ...]
+    doubted: tuple[tuple[int, bool], ...] = ()
 
 
 @dataclass
@@ -75,6 +84,8 @@ class Block:
 
     path: tuple[str, ...]
     inside: tuple[int, ...]
+    #: The open forms and named elements, by number, and whether each holds comments by its name.
+    doubted: tuple[tuple[int, bool], ...] = ()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -83,6 +94,7 @@ class Block:
 
 
 def _furniture(tag: str, attributes: str, path: tuple[str, ...]) -> bool:
+    """Whether an element is furniture or hidden, whatever it holds."""
     if tag == "header":  # an article's own header holds its headline
         return "article" not in path and "main" not in path
     if tag in FURNITURE:
@@ -91,17 +103,58 @@ def _furniture(tag: str, attributes: str, path: tuple[str, ...]) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and NAMED.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
     return False
 
 
+def _doubted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is a form or named as furniture, and whether it is named as comments."""
+    if tag in ("html", "body", "article", "main"):
+        return False, False
+    named, comments = tag == "form", False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            for token in value.split():
+                if NAMED.fullmatch(token):
+                    named, comments = True, comments or bool(COMMENTS.fullmatch(token))
+        elif name == "role" and value.lower() in ROLES:
+            named = True
+    return named, comments
+
+
+def _spared(found: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
+    """The blocks outside forms and named elements, and those in such as hold the page's text."""
+    if not any(b.doubted for b, _ in found):
+        return found
+    kind = {"article": "article", "main": "article", "h1": "h1"}
+    total, spared = 0, set()
+    plain: dict[tuple[int, bool], int] = {}
+    holds: dict[tuple[int, bool], set[str]] = {}
+    for b, t in found:
+        n = max(0, len(t) - b.linked)
+        total += n
+        for element in b.doubted:
+            plain[element] = plain.get(element, 0) + n
+            below = b.path[b.inside.index(element[0]) + 1 :]
+            holds.setdefault(element, set()).update(kind[x] for x in below if x in kind)
+    left = lambda: [(b, t) for b, t in found if spared.issuperset(b.doubted)]
+    shown = lambda: {kind[x] for b, _ in left() for x in b.path if x in kind}
+    most = [e for e in sorted(plain) if 2 * plain[e] > total]
+    spared.update(e for e in most if not e[1])
+    there = shown()
+    for element in sorted(plain):
+        if element not in spared and (holds[element] - there or element in most and not there):
+            spared.add(element)
+            there = shown()
+    return left() or found
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, without furniture."""
+    """The text blocks of a page in order, without furniture; what only may be furniture is marked."""
     found: list[Block] = []
     stack = [Node("", (), False, False, ())]
     number, at, block = 0, 0, None
@@ -117,14 +170,18 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str, decode: bool = True) -> None:
         nonlocal block
+        if not raw:
+            return
+        if stack[-1].tag == "head" and raw.strip():
+            stack.pop()
         top = stack[-1]
-        if top.skip or not raw:
+        if top.skip:
             return
         text = entities.unescape(raw) if decode and "&" in raw else raw
         if block is None:
             if not text.strip():
                 return
-            block = Block(top.path, top.inside)
+            block = Block(top.path, top.inside, top.doubted)
             found.append(block)
         block.parts.append(text)
         if top.link:
@@ -160,6 +217,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             block = None
+        if stack[-1].tag == "head" and tag not in HEAD:
+            stack.pop()
         if tag in VOID:
             continue
         if tag in BREAKS_P:
@@ -173,11 +232,14 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             if not whole.endswith("/>"):
                 skip = top.skip or _furniture(tag, match[2] or "", top.path)
-                stack.append(Node(tag, top.path, skip, top.link or tag == "a", top.inside))
+                stack.append(Node(tag, top.path, skip, top.link or tag == "a", top.inside, top.doubted))
             continue
         number += 1
         path = (*top.path, tag)
-        stack.append(Node(tag, path, top.skip or _furniture(tag, match[2] or "", top.path), top.link, (*top.inside, number)))
+        named, comments = (False, False) if top.skip else _doubted(tag, match[2] or "")
+        doubted = (*top.doubted, (number, comments)) if named else top.doubted
+        skip = top.skip or _furniture(tag, match[2] or "", top.path)
+        stack.append(Node(tag, path, skip, top.link, (*top.inside, number), doubted))
 
 
 def _smooth(values: np.ndarray, width: int = 1) -> np.ndarray:
@@ -190,7 +252,7 @@ def _smooth(values: np.ndarray, width: int = 1) -> np.ndarray:
 
 def extract(page: str | None, part: float = 0.5) -> str:
     """The main text of one page; `part` of the deviation of the fused ratio is the threshold."""
-    found = [(b, t) for b in blocks(page or "") if (t := b.text())]
+    found = _spared([(b, t) for b in blocks(page or "") if (t := b.text())])
     if not found:
         return ""
     paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b, _ in found))}

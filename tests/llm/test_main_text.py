@@ -43,6 +43,28 @@ def test_layouts(page):
     assert extract(page) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{PARTS}</html>",
+        f"<html><head><title>T</title><div>{PARTS}</div></html>",
+        f"<body><nav>Home</nav><div class='post type-post tag-python tag-news'>{PARTS}</div>",
+        f"<body><div id=content class='has-sidebar no-comments'>{PARTS}</div><div class=sidebar><p>Popular posts, and. such, things.</p></div>",
+        f"<body><div class=related>{PARTS}</div><div class=share>Share, it.</div>",
+        f"<body><div class='notice-box'><article>{PARTS}</article></div><div class=comments><p>{'Long talk, with no end. ' * 40}</p></div>",
+        f"<form id=aspnetForm><div class=menu><p>Home, and more.</p></div><div>{PARTS}</div><div class=site-footer>(c), all rights.</div></form>",
+        f"<body><div class=related><article>A teaser, short.</article></div><article>{PARTS}</article><form><p>Your name, please.</p></form>",
+        f"<div class=menu><p>Home, and more.</p></div><div class='main'>{PARTS.replace('some text', '<span class=notice>some</span> <em class=share>text</em>')}</div>",
+    ],
+)
+def test_named_elements_that_hold_the_article(page):
+    assert extract(page) == TEXT
+
+
+def test_text_that_is_all_in_named_elements():
+    assert extract("<div class=ad><p>One, two.</p></div><div class=promo><p>Six, ten.</p></div>") == "One, two.\n\nSix, ten."
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
