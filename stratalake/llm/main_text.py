@@ -4,8 +4,10 @@ A page becomes its text nodes, each with its root-to-leaf tag path (tag names; t
 count). Per path the characters of text, the text nodes, the punctuation and the text inside links are added up. Two
 ratios follow, text per node and punctuation per node, both lowered by the share of link text; each is smoothed over
 neighbouring nodes in page order, they are fused by their product, and paths whose fused value reaches a part of the
-page's deviation are content, as are short blocks (headings, short paragraphs) inside the container that holds most
-content. Page furniture that names itself (nav, footer, forms, or a class or id such as "sidebar" or "comments") is
+page's deviation are content, as are short blocks (headings, short paragraphs) inside the container: the smallest
+element that holds all content and the headline, and no smaller than the article, the main element or the text that
+stands in paragraphs beside it. There headings, list items and paragraphs stay even if they are all link; if nothing
+smaller than the body is the container, from the first content block to the last. Page furniture that names itself (nav, footer, forms, or a class or id such as "sidebar" or "comments") is
 left out before; the elements scripts, styles and the like never hold text. A form or an element named by class, id or
 role stays if it holds most of the page's text outside links or its only main, article or h1 (comments only stay where
 no article is beside them), and if nothing else has text; inline elements only go if they are hidden.
@@ -49,6 +51,12 @@ BREAKS_P = frozenset(
 )
 #: Elements that are parts of a text rather than hold one.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that belong to an article even if all their text is link.
+PARTS = HEADINGS | frozenset("p li dt dd".split())
+#: Elements that are a part of an article and never hold the whole of it, and those that do by their name.
+PARTIAL = (LEAVES - {"td", "th"}) | frozenset("ul ol dl table thead tbody tfoot tr section".split())
+WHOLE = frozenset(("article", "main"))
 _NAMES = (
     r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disqus"
     r"|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|recommend\w*"
@@ -250,6 +258,44 @@ def _smooth(values: np.ndarray, width: int = 1) -> np.ndarray:
     return (total[high] - total[low]) / (high - low)
 
 
+def _heading(block: Block) -> bool:
+    return any(t in HEADINGS for t in block.path[-1:])
+
+
+def _container(found: list[Block], content: np.ndarray, plain: np.ndarray) -> tuple[int, ...]:
+    """The smallest element that holds the whole article, as the numbers of the elements down to it."""
+
+    def common(blocks: list[Block]) -> int:
+        a, b = min(x.inside for x in blocks), max(x.inside for x in blocks)
+        return next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+
+    def fitting(depth: int) -> int:
+        """Not a paragraph, a list, a table or a section, which are parts of an article."""
+        while depth and (path[depth - 1] in PARTIAL or any(len(x.inside) == depth and path[depth - 1] not in WHOLE for x in held)):
+            depth -= 1
+        return depth
+
+    held = [b for b, yes in zip(found, content, strict=True) if yes]
+    start, path = found.index(held[0]), held[0].path
+    depth = fitting(common(held))
+    within = lambda depth: [b for b in found if b.inside[:depth] == held[0].inside[:depth]]
+    # The headline: the last h1 before the content, or h2 on a page without h1, unless one is inside.
+    level = "h1" if any("h1" in b.path for b in found) else "h2"
+    if not any(level in b.path for b in within(depth)):
+        above = [b for b in found[:start] if level in b.path]
+        if above:
+            depth = fitting(common([above[-1], *held]))
+    for i in range(depth, 0, -1):
+        if path[i - 1] in WHOLE:
+            return held[0].inside[:i]
+    # Paragraphs directly beside the container are parts of the same text.
+    beside = {b.inside[:-1] for b, yes in zip(found, plain, strict=True) if yes and b.path and b.path[-1] in ("p", *HEADINGS)}
+    for i in range(depth - 1, 0, -1):
+        if path[i - 1] not in ("html", "body") and path[i - 1] not in PARTIAL and held[0].inside[:i] in beside:
+            depth = i
+    return held[0].inside[:depth]
+
+
 def extract(page: str | None, part: float = 0.5) -> str:
     """The main text of one page; `part` of the deviation of the fused ratio is the threshold."""
     found = _spared([(b, t) for b in blocks(page or "") if (t := b.text())])
@@ -269,19 +315,20 @@ def extract(page: str | None, part: float = 0.5) -> str:
     content = (np.sqrt(fused * own) >= level) & (linked < 0.5 * length)
     if not content.any():
         content = own >= own.max()
-    # The smallest element that holds nearly all content: its other blocks belong to the article.
-    weight: dict[int, float] = {}
-    for (b, _), n, yes in zip(found, length, content, strict=True):
-        for element in (b.inside[: -1 if b.path and b.path[-1] in LEAVES else None]) if yes else ():
-            weight[element] = weight.get(element, 0.0) + n
-    total = length[content].sum()
-    container = max((e for e, n in weight.items() if n >= 0.8 * total), default=None)
+    parts = [b for b, _ in found]
+    inside = _container(parts, content, linked < 0.5 * length)
+    holder = next(b.path for b in parts if b.inside[: len(inside)] == inside)[: len(inside)]
+    narrow = bool(holder) and holder[-1] not in ("html", "body")
+    # Where link-heavy list items and paragraphs belong to the article: after its headline or first text.
+    shown = [i for i, b in enumerate(parts) if b.inside[: len(inside)] == inside and (content[i] or narrow and _heading(b))]
+    first, last = (shown[0], shown[-1]) if shown else (0, -1)
     kept = []
-    for (b, t), n, yes, links in zip(found, length, content, linked, strict=True):
-        if container is None or container in b.inside:
-            if yes or links < 0.5 * n:
-                kept.append(t)
-        elif yes and "article" in b.path:
+    for i, (b, t) in enumerate(found):
+        if b.inside[: len(inside)] != inside:
+            continue
+        own_link = _heading(b) or any(x in PARTS for x in b.path[-1:])
+        within = "article" in b.path or "main" in b.path or first <= i and (narrow or i <= last)
+        if content[i] or linked[i] < 0.5 * length[i] or own_link and within:
             kept.append(t)
     return "\n\n".join(kept)
 

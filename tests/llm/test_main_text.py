@@ -65,6 +65,34 @@ def test_text_that_is_all_in_named_elements():
     assert extract("<div class=ad><p>One, two.</p></div><div class=promo><p>Six, ten.</p></div>") == "One, two.\n\nSix, ten."
 
 
+LONG = ("A long paragraph, with many words. It goes on, and on, without an end, for a while. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div id=content><h1>Title</h1><p>Intro.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div><p>End.</p></div>", ["Title", "Intro.", LONG, LONG, "End."]),
+        (f"<main><section><p>{LONG}</p><p>{LONG}</p></section><section><p>Second.</p></section></main>", [LONG, LONG, "Second."]),
+        (f"<main><section>{f'<p>{LONG}</p>' * 6}</section><section><p>{LONG}</p></section></main>", [LONG] * 7),
+        (f"<article><h1>T</h1><div class=body><p>{LONG}</p><p>{LONG}</p></div></article>", ["T", LONG, LONG]),
+        (f"<div class=x><h1>T</h1><p>Intro.</p><ul><li>{LONG}<li>{LONG}</ul><p>End.</p></div>", ["T", "Intro.", LONG, LONG, "End."]),
+        (f"<div class=x><h2>T</h2><div>{LONG}</div><div>End.</div></div>", ["T", LONG, "End."]),
+        (f"<div class=x><p>Intro.</p><table><tr><td>{LONG}<td>{LONG}</table><p>End.</p></div>", ["Intro.", LONG, LONG, "End."]),
+        (f"<div class=x><p>Intro.</p><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>", ["Intro.", LONG, LONG]),
+        (
+            f"<div><div><a href=/>Home</a></div><div class=x><h2><a href=x>Title</a></h2><p>{LONG}</p><p><a href=y>All link</a></p>"
+            f"<ul><li><a href=z>Item</a></ul><p>{LONG}</p></div></div>", ["Title", LONG, "All link", "Item", LONG],
+        ),
+        (
+            f"<body><div><ul><li><a href=/>Home</a><li><a href=/n>News</a></ul></div><div><p>{LONG}</p><p>{LONG}</p></div>"
+            "<div><ul><li><a href=/>Top</a></ul></div>", [LONG, LONG],
+        ),
+    ],
+)
+def test_whole_article(page, text):
+    assert extract(page) == "\n\n".join(text)
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
