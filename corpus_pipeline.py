@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later matches of lines; a document goes if this leaves it no words."""
-    cut = line_dedup.dedup_lines(docs, count="__lines__", removed="__removed__")
+    cut = line_dedup.dedup_lines(docs, least=1, count="__lines__", removed="__removed__")
     same = F.size("__removed__") == 0
     kept = cut.filter(same | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)

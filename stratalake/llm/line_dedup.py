@@ -2,7 +2,8 @@
 
 A line is the set of its words (split at white space, A-Z lower-cased). Lines are ordered by (doc_id, line number). A
 line with at least `least` distinct words is removed if an earlier such line has a Jaccard similarity of `similarity`
-or more; it does not matter whether the earlier one is itself removed. Shorter lines always stay.
+or more; it does not matter whether the earlier one is itself removed. Shorter lines, and lines without words, always
+stay; `op7_line_dedup` and the pipeline take every line with words (`least` 1).
 
 Lines with equal sets become a class; only its first line can stay. For the others: words are ordered by rarity (from
 counts over all documents, kept in a table of fixed size, which only ever merges counts), and two similar sets share a

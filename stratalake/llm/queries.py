@@ -92,7 +92,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deduped = line_dedup.dedup_lines(read(ship(spark), sf_dir, "documents").select("doc_id", "text"))
+    deduped = line_dedup.dedup_lines(read(ship(spark), sf_dir, "documents").select("doc_id", "text"), least=1)
     return deduped.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), F.array_join("removed", ",").alias("removed"), "text")
 
 

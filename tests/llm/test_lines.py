@@ -2,7 +2,8 @@
 
 import random
 
-from stratalake.llm import line_dedup
+import corpus_pipeline
+from stratalake.llm import line_dedup, queries
 from tests.llm.conftest import EDGES, words
 
 
@@ -66,3 +67,18 @@ def test_same_id_with_different_texts(docs):
     line = "a b c d e f g h"
     found = line_dedup.dedup_lines(docs([(1, line + "\nx"), (1, line + "\ny")])).collect()
     assert sorted(len(r["removed"]) for r in found) == [0, 1]
+
+
+def test_query_and_stage_take_short_lines(spark, docs, tmp_path):
+    """Lines of one to four words, also of scripts without spaces, by the registered query and the pipeline's stage."""
+    rng = random.Random(3)
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(60)] + ["这是一行很长的文字没有空格", "  "]
+    rows = [(i, "\n".join(rng.choices(lines, k=3))) for i in range(40)] + [(40, "p q r s\np q r\np q"), (41, "new 这是\nSHORT\nshort")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows, least=1)
+    found = queries.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.removed for r in found} == {i: ",".join(map(str, gone)) for i, gone in want.items()}
+    assert want[40][-1:] == [1] and want[41] == [2]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs(rows), str(tmp_path)).collect()}
+    cut = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
+    assert kept == {i: t for i, t in cut.items() if t.strip() or not want[i]}
