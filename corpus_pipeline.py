@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item; rows without an id stay."""
-    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    found = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark"), short_inside=True).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(found, F.col("doc_id") == F.col("_leak"), "left_anti")
 
 

@@ -11,7 +11,9 @@ The items are the bounded side: their index is sent to the tasks in blocks of `B
 per block. A task reads its documents one after another, whole, and holds fingerprints for a few thousand windows.
 
 Null or empty texts contain nothing; null or empty items, and null item ids, are in nothing. An item of one to four
-words is one shingle, which only a document of just these words has. A document shorter than an item is one window.
+words is one shingle, which only a document of just these words has; with `short_inside` (as in `op9_decontamination`
+and the pipeline) it is looked for in windows of its own number of words, of which only copies match, and the first one
+is given. A document shorter than an item is one window.
 Repeated rows and repeated items each give their pairs. Other columns are ignored. Empty tables give no rows.
 """
 
@@ -95,6 +97,16 @@ def build(ids: list[int], texts: list[str]) -> Index | None:
     return Index(kept, words, runs, distinct, np.append(starts, len(order)), items[order], seen, prints, blocks, tables)
 
 
+def build_short(ids: list[int], texts: list[str]) -> dict[int, dict[int, list[int]]]:
+    """The ids of items of one to four words, by their number of words and the hash of all of them."""
+    hashes, cuts = document_words([t.encode() for t in texts])
+    tables: dict[int, dict[int, list[int]]] = {}
+    for i, a, b in zip(ids, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if 0 < b - a < SHINGLE:
+            tables.setdefault(b - a, {}).setdefault(int(fold(hashes[a:b], b - a)[0]), []).append(i)
+    return tables
+
+
 def _bits(prints: np.ndarray, low: int, width: int) -> np.ndarray:
     return (prints >> np.uint64(low)) & np.uint64((1 << width) - 1)
 
@@ -156,8 +168,26 @@ def search(index: Index, n_words: int, shingles: np.ndarray, similarity: float)
     return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75) -> DataFrame:
-    """Pairs doc_id, item_id with the best window: start (its first word, from 0), n_words, similarity."""
+def search_short(table: dict[int, list[int]], n: int, hashes: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """Where items of n words first stand in each document: (document, item id, first word, words, similarity)."""
+    rolled = fold(hashes, n)
+    at = np.flatnonzero(np.isin(rolled, np.fromiter(table, np.uint64, len(table))))
+    doc = np.searchsorted(cuts, at, side="right") - 1
+    inside = at + n <= cuts[doc + 1]
+    seen, found = set(), []
+    for d, place in zip(doc[inside].tolist(), at[inside].tolist(), strict=True):
+        value = int(rolled[place])
+        if (d, value) not in seen:
+            seen.add((d, value))
+            found += [(d, item, place - int(cuts[d]), n, 1.0) for item in table[value]]
+    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, short_inside: bool = False) -> DataFrame:
+    """Pairs doc_id, item_id with the best window: start (its first word, from 0), n_words, similarity.
+
+    With `short_inside`, items of one to four words are also found inside longer documents.
+    """
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -168,23 +198,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75
         if row is not None:
             block.append(row)
         if block and (row is None or len(block) == BLOCK_ITEMS):
-            index = build([r["item_id"] for r in block], [r["text"] for r in block])
+            ids, texts = [r["item_id"] for r in block], [r["text"] for r in block]
+            short = build_short(ids, texts) if short_inside else {}
+            if short:
+                size = np.diff(document_words([t.encode() for t in texts])[1])
+                left = [(i, t) for i, t, n in zip(ids, texts, size, strict=True) if n >= SHINGLE]
+                ids, texts = [i for i, _ in left], [t for _, t in left]
+            index = build(ids, texts)
             block = []
-            if index is not None:
-                result = result.unionByName(narrow.mapInArrow(_scanner(index, similarity), FOUND))
+            if index is not None or short:
+                result = result.unionByName(narrow.mapInArrow(_scanner(index, similarity, short), FOUND))
     return result
 
 
-def _scanner(index: Index, similarity: float):
+def _scanner(index: Index | None, similarity: float, short: dict[int, dict[int, list[int]]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "item_id", "start", "n_words", "similarity"]
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, cuts = document_words(as_bytes(part.column("text")))
-                rolled = fold(hashes, SHINGLE)
-                any_hit = np.concatenate(([0], np.cumsum(index.seen[_slot(rolled)])))
                 out, ids = [], part.column("doc_id").to_pylist()
-                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                for n, table in short.items():
+                    out += [(ids[d], *f) for d, *f in search_short(table, n, hashes, cuts)]
+                rolled = fold(hashes, SHINGLE)
+                any_hit = np.concatenate(([0], np.cumsum(index.seen[_slot(rolled)]))) if index else None
+                for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if index else ()):
                     if b - a >= SHINGLE:
                         if any_hit[b - SHINGLE + 1] == any_hit[a]:
                             continue

@@ -101,7 +101,7 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short_inside=True)
 
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import random
 from collections import Counter
 
-from stratalake.llm import decontaminate
+import corpus_pipeline
+from stratalake.llm import decontaminate, queries
 from tests.llm.conftest import EDGES, words
 
 ITEMS = "item_id long, text string, doc_id int"
@@ -82,3 +83,24 @@ def test_blocks_of_items(spark, docs, monkeypatch):
     rows = [(j, f"before {t} after") for j, t in items]
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(rows), spark.createDataFrame([(*x, 0) for x in items], ITEMS)).collect()}
     assert got == {(j, j) for j in range(5)}
+
+
+def test_short_items_inside_documents(spark, docs, tmp_path):
+    """By the registered query and the pipeline's stage, against all windows of an item's number of words."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(12)}" for _ in range(n))
+    items = [(j, text(j % 4 + 1)) for j in range(12)] + [(12, "这是没有空格的项目"), (13, "one two"), (13, " ".join(f"i{k}" for k in range(9))), (14, "nowhere")]
+    rows = [(i, text(rng.randrange(0, 14))) for i in range(60)]
+    rows += [(60, "前 这是没有空格的项目 后 a b c"), (61, "we say One two here, one two"), (62, " ".join(f"i{k}" for k in range(9))), (63, None), (64, "nothing of it")]
+    want = set()
+    for i, body in rows:
+        for j, item in items:
+            mine, theirs = words(body), words(item)
+            places = [a for a in range(len(mine) - len(theirs) + 1) if mine[a : a + len(theirs)] == theirs]
+            want |= {(i, j, places[0], len(theirs))} if places else set()
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*x, 0) for x in items], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries.op9_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.n_words) for r in found) == sorted(want) and {r.similarity for r in found} == {1.0}
+    kept = {r.doc_id for r in corpus_pipeline.drop_leaks(spark, docs(rows), str(tmp_path)).collect()}
+    assert kept == {i for i, _ in rows} - {x[0] for x in want} and {63, 64} <= kept
