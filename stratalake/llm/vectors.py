@@ -8,8 +8,10 @@ number of vectors, so that tables stay selective as the input grows; each vector
 asks for them and for all substrings one bit away. Pairs within a Hamming radius are reranked: linked if the cosine of
 the original vectors, in double precision, reaches the threshold.
 
-A pair at the threshold has about one differing bit in `1 / share` (its angle over pi). From that follows how many
-rotations (each with all its tables) are needed for the wanted recall; a test measures it against brute force.
+How many rotations (each with all its tables) are needed for the wanted recall is measured: pairs just at the threshold
+are made from vectors of the sample and coded, and rotations are added until the tables find as many of them as wanted.
+So a direction that all vectors share, which centring takes away and which widens their angles, is counted in. If
+`MOST` rotations are not enough, the tables get narrower. A test measures recall against brute force.
 
 Equal vectors are one class with a multiplicity: copies meet nothing in pairs. Vectors that are null, empty, zero, or
 hold null or non-finite components link with nothing, nor do vectors of different lengths. Rows with a null vec_id
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from stratalake.llm.tables import components, stored
 from stratalake.llm.words import mix
 
-SAMPLE, ROUNDS = 10_000, 40
+SAMPLE, ROUNDS, PAIRS, MOST = 10_000, 40, 1000, 24
 
 
 @dataclass(frozen=True)
@@ -75,7 +77,7 @@ def fit(unit: np.ndarray, seed: int) -> Coder:
 
 
 def plan(n: int, bits: int, cosine: float, recall: float) -> tuple[int, int, int]:
-    """Tables per rotation, rotations, and the Hamming radius of candidates."""
+    """Tables per rotation, rotations, and the Hamming radius of candidates, for vectors that share no direction."""
     width = max(8, min(32, bits, math.ceil(math.log2(max(2, n)))))
     tables = max(1, bits // width)
     width = bits // tables
@@ -86,6 +88,44 @@ def plan(n: int, bits: int, cosine: float, recall: float) -> tuple[int, int, int
     return tables, rotations, min(bits, radius)
 
 
+def threshold_pairs(unit: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the cosine: from the sample, moved in any direction, and towards others of the sample."""
+    rng = np.random.default_rng(0)
+    one = unit[np.arange(PAIRS) % len(unit)]
+    pairs = []
+    for move in (rng.normal(size=one.shape), unit[rng.integers(len(unit), size=PAIRS)] - unit.mean(axis=0)):
+        move = move - (move * one).sum(axis=1, keepdims=True) * one
+        size = np.linalg.norm(move, axis=1, keepdims=True)
+        some = size[:, 0] > 1e-6
+        if some.any():
+            pairs.append((one[some], cosine * one[some] + math.sqrt(max(0.0, 1 - cosine**2)) * move[some] / size[some]))
+    return pairs
+
+
+def coded(unit: np.ndarray, n: int, cosine: float, recall: float) -> tuple[list[Coder], int, int]:
+    """Coders, tables per rotation and radius with which the wanted part of threshold pairs meets."""
+    bits = min(64, unit.shape[1])
+    tables, least, radius = plan(n, bits, cosine, recall)
+    pairs, coders, differ = threshold_pairs(unit, cosine), [], []
+    while True:
+        width = bits // tables
+        mask = np.uint64((1 << width) - 1)
+        met = [np.zeros(len(a), bool) for a, _ in pairs]
+        for r in range(max(least, MOST)):
+            if r == len(coders):
+                coders.append(fit(unit, r))
+                differ.append([coders[r].codes(a) ^ coders[r].codes(b) for a, b in pairs])
+            for found, bits_off in zip(met, differ[r], strict=True):
+                radius = max(radius, int(np.bitwise_count(bits_off).max()))
+                for t in range(tables):
+                    found |= np.bitwise_count((bits_off >> np.uint64(t * width)) & mask) <= 1
+            if r + 1 >= least and all(found.mean() >= recall for found in met):
+                return coders[: r + 1], tables, min(bits, radius)
+        if width == 1:  # all pairs meet
+            return coders[:1], tables, bits
+        tables = bits // (width - 1)
+
+
 def _unit(values: pa.Array) -> np.ndarray:
     matrix = np.asarray(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(values), -1)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -142,8 +182,8 @@ def linked_pairs(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98)
         same = classes.filter(F.size("v") == size)
         sample = same.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
         unit = _unit(sample)
-        tables, rotations, radius = plan(same.count(), min(64, size), cosine, recall)
-        pairs = substrings(same, [fit(unit, seed) for seed in range(rotations)], tables, radius)
+        coders, tables, radius = coded(unit, same.count(), cosine, recall)
+        pairs = substrings(same, coders, tables, radius)
         side = lambda x, same=same: same.select(F.col("vec_id").alias(x), F.col("v").alias(f"v_{x}"))
         pairs = pairs.join(side("a"), "a").join(side("b"), "b")
         dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)

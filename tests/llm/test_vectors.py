@@ -56,3 +56,17 @@ def test_edge_cases(spark):
     assert got[None] == (0, None, True)
     assert got[7][1:] == (7, True) and got[8][1:] == (7, False)
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_recall_with_a_shared_direction(spark):
+    """Vectors of a mean cosine of about 0.72, and pairs just above the threshold."""
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    shared = unit(rng.normal(size=(1, 64)))
+    ones = unit(0.72**0.5 * shared + 0.28**0.5 * unit(rng.normal(size=(800, 64))))
+    move = rng.normal(size=ones.shape)
+    move = unit(move - (move * ones).sum(axis=1, keepdims=True) * ones)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack((ones, 0.951 * ones + (1 - 0.951**2) ** 0.5 * move)).astype("f4"))]
+    _, links = vectors.linked_pairs(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA))
+    got, want = {(r.a, r.b) for r in links.collect()}, brute(rows)
+    assert len(want) >= 800 and len(got & want) >= 0.95 * len(want) and got <= want
