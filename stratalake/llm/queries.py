@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bottom_k, decontaminate, licenses, line_dedup, main_text, packing, revisits, toxicity, url_rules, vectors
+from stratalake.llm import bottom_k, conversations, decontaminate, licenses, line_dedup, main_text, packing, revisits, toxicity, url_rules, vectors
 from stratalake.llm.tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(read(ship(spark), sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_near_duplicates": op2_near_duplicates,
@@ -120,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_vectors": op8_vectors,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op13_conversations": op13_conversations,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
