@@ -1,7 +1,8 @@
 """The registered queries of this subpackage, and the SQL that gives the same rows where SQL can.
 
 Without SQL: op3 and op5 (a tokenizer, a trained classifier), op7 and op9 (SQL would pair all lines, or all windows with
-all items), op10 (a parser), op4 (tests/llm hold a version in plain Python, as for all the others).
+all items), op10 (a parser), op12 (SQL would make a row of every byte), op13 (DuckDB has no crc32), op4 (tests/llm hold a
+version in plain Python, as for all the others).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalake.llm import bottom_k, conversations, decontaminate, licenses, line_dedup, main_text, packing, revisits, toxicity, url_rules, vectors
+from stratalake.llm import bottom_k, conversations, decontaminate, licenses, line_dedup, main_text, packing, ranking, revisits, suffixes, toxicity, url_rules, vectors
 from stratalake.llm.tables import read, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +110,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(read(ship(spark), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(read(ship(spark), sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(read(ship(spark), sf_dir, "conversations"))
 
@@ -124,10 +133,13 @@ QUERIES: dict[str, Query] = {
     "op8_vectors": op8_vectors,
     "op9_decontamination": op9_decontamination,
     "op10_main_text": op10_main_text,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_repeated_bytes": op12_repeated_bytes,
     "op13_conversations": op13_conversations,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"""regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
 _FALL = """
     edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
     reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
@@ -195,4 +207,20 @@ TWINS: dict[str, str] = {
         coalesce(part, vec_id) = vec_id AS kept
     FROM embeddings LEFT JOIN parts ON node = vec_id
     """,
+    "op11_ranked_search": f"""
+    WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS words FROM documents),
+    filled AS (SELECT id, doc_id, words, len(words) AS n FROM d WHERE len(words) > 0),
+    stats AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM filled),
+    counted AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(words) AS word FROM filled) GROUP BY id, word),
+    weights AS (SELECT word, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM counted, stats GROUP BY word),
+    asked AS (SELECT item_id, text, unnest({_TERMS}) AS word FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+    q AS (SELECT item_id, text, word, count(*) AS qtf FROM asked GROUP BY ALL),
+    scored AS (SELECT item_id, text, id, any_value(doc_id) AS doc_id,
+                sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM q JOIN weights USING (word) JOIN counted USING (word) JOIN filled USING (id), stats GROUP BY item_id, text, id),
+    ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+            FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
 }

@@ -22,11 +22,16 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table into the shared folder and read it back: later steps survive lost executors and never recompute it."""
+    return stored_by(df, purpose, [])
+
+
+def stored_by(df: DataFrame, purpose: str, by: list[str]) -> DataFrame:
+    """As `stored`, with a folder for each value of some columns, so that later steps read the values they need."""
     spark = df.sparkSession
     path, before = shared_dir(spark, purpose), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
