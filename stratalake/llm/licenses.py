@@ -4,7 +4,9 @@ Each text becomes words ([0-9a-z] and everything beyond ASCII, A-Z lower-cased).
 are joined to the positions they have in the templates (a small, bounded table; the words are compared too, so a hash
 never decides). A hit votes for a diagonal: the word at which the template would start. Hits are counted per diagonal;
 neighbouring diagonals of one template merge (words inserted or left out between them), and a merged span counts if
-its distinct template positions cover enough of the template within a span of its length.
+its distinct template positions cover enough of the template within a span of its length. Spans are verified: words that
+decide which licence it is (a version, or that nothing stands between "attribution" and its version) must be matched
+as they stand, whatever the rest covers.
 
 Phrases are templates that must match whole, on one diagonal: their places are exact.
 
@@ -46,13 +48,16 @@ TEMPLATES = {
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 
+#: Words of templates that tell the licence from its relatives: every k-gram that holds them must be found.
+DECISIVE = {"apache-2": "version 2", "gpl-3": "version 3", "cc-by": "attribution 4", "mpl-2": "v 2"}
+
 
 def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
 
 
-def template_rows(phrases: Mapping[str, str], templates: Mapping[str, str]) -> list[tuple]:
-    """(template, label, is a phrase, its words, its grams, position, gram) for each k-gram of each template."""
+def template_rows(phrases: Mapping[str, str], templates: Mapping[str, str], decisive: Mapping[str, str]) -> list[tuple]:
+    """(template, label, is a phrase, its words, its grams, decisive grams, position, gram, is decisive) for each k-gram."""
     rows = []
     items = [(t, label, True) for t, label in phrases.items()] + [(t, label, False) for label, t in templates.items()]
     for number, (text, label, phrase) in enumerate(items):
@@ -60,11 +65,16 @@ def template_rows(phrases: Mapping[str, str], templates: Mapping[str, str]) -> l
         if len(words) < K:
             raise ValueError(f"a template needs {K} words: {text!r}")
         count = len(words) - K + 1
-        rows += [(number, label, phrase, len(words), count, i, words[i : i + K]) for i in range(count)]
+        decides = [] if phrase else words_of(decisive.get(label, ""))
+        starts = [i for i in range(len(words)) if decides and words[i : i + len(decides)] == decides]
+        if decides and (not starts or len(decides) > K):
+            raise ValueError(f"{label}: {decisive[label]!r} is not in the template, or has more than {K} words")
+        must = {i for s in starts for i in range(max(0, s + len(decides) - K), min(s, count - 1) + 1)}
+        rows += [(number, label, phrase, len(words), count, len(must), i, words[i : i + K], i in must) for i in range(count)]
     return rows
 
 
-TEMPLATE = "template int, label string, phrase boolean, length int, grams int, at int, gram array<string>"
+TEMPLATE = "template int, label string, phrase boolean, length int, grams int, musts int, at int, gram array<string>, must boolean"
 
 
 def scan(
@@ -73,14 +83,16 @@ def scan(
     templates: Mapping[str, str] = TEMPLATES,
     least: float = 0.75,
     slack: int = 3,
+    decisive: Mapping[str, str] = DECISIVE,
 ) -> tuple[DataFrame, DataFrame]:
     """A summary per document, and the spans found.
 
     Summary: row, doc_id, n_words. Spans: row, doc_id, label, phrase, start (first word), stop (one past the last),
-    coverage. Neighbouring diagonals at most `slack` words apart merge; a template's span needs `least` of its grams.
+    coverage. Neighbouring diagonals at most `slack` words apart merge; a template's span needs `least` of its grams,
+    and all that hold its decisive words.
     """
     spark: SparkSession = docs.sparkSession
-    table = spark.createDataFrame(template_rows(phrases, templates), TEMPLATE)
+    table = spark.createDataFrame(template_rows(phrases, templates, decisive), TEMPLATE)
     table = table.withColumn("hash", F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(K)]))
 
     lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
@@ -96,11 +108,11 @@ def scan(
     joined = joined.filter((F.col("pos") == 0) | same)
     voted = joined.select(
         "row", "doc_id", F.when(F.col("pos") == 0, F.size("words")).cast("long").alias("n_words"), "template", "label", "phrase",
-        "length", "grams", "at", (F.col("pos") - 1 - F.col("at")).cast("long").alias("diagonal"),
+        "length", "grams", "musts", "at", "must", (F.col("pos") - 1 - F.col("at")).cast("long").alias("diagonal"),
     )
-    keys = ["row", "doc_id", "template", "label", "phrase", "length", "grams", "diagonal"]
+    keys = ["row", "doc_id", "template", "label", "phrase", "length", "grams", "musts", "diagonal"]
     votes = voted.groupBy(*keys).agg(
-        F.max("n_words").alias("n_words"), F.collect_set("at").alias("hit"), F.min("at").alias("low"), F.max("at").alias("high")
+        F.max("n_words").alias("n_words"), F.collect_set("at").alias("hit"), F.collect_set(F.when(F.col("must"), F.col("at"))).alias("decided"), F.min("at").alias("low"), F.max("at").alias("high")
     )
     votes = stored(votes, "votes")
     return votes.filter("template is null").select("row", "doc_id", "n_words"), _merged(votes.filter("template is not null"), least, slack)
@@ -113,14 +125,16 @@ def _merged(votes: DataFrame, least: float, slack: int) -> DataFrame:
     # Phrases stand on one diagonal; a template may bend.
     runs = votes.withColumn("new", (F.col("phrase") | gap.isNull() | (gap > slack)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(order))
-    spans = runs.groupBy("row", "doc_id", "template", "label", "phrase", "length", "grams", "run").agg(
+    spans = runs.groupBy("row", "doc_id", "template", "label", "phrase", "length", "grams", "musts", "run").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("covered"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("decided")))).alias("decided"),
         F.min(F.col("diagonal") + F.col("low")).alias("start"),
         (F.max(F.col("diagonal") + F.col("high")) + K).alias("stop"),
     )
     spans = spans.withColumn("coverage", F.col("covered") / F.col("grams"))
     fits = F.col("stop") - F.col("start") <= F.col("length") + slack * 4
-    spans = spans.filter(F.when(F.col("phrase"), F.col("covered") == F.col("grams")).otherwise((F.col("coverage") >= least) & fits))
+    whole = (F.col("coverage") >= least) & (F.col("decided") == F.col("musts")) & fits
+    spans = spans.filter(F.when(F.col("phrase"), F.col("covered") == F.col("grams")).otherwise(whole))
     return spans.select("row", "doc_id", "label", "phrase", "start", "stop", "coverage")
 
 

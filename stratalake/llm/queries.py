@@ -148,23 +148,27 @@ _FALL = """
 
 
 def _license_twin() -> str:
-    rows = licenses.template_rows(licenses.PHRASES, licenses.TEMPLATES)
-    values = ", ".join(f"({t}, '{label}', {phrase}, {n}, {grams}, {at}, '{' '.join(gram)}')" for t, label, phrase, n, grams, at, gram in rows)
+    rows = licenses.template_rows(licenses.PHRASES, licenses.TEMPLATES, licenses.DECISIVE)
+    values = ", ".join(
+        f"({t}, '{label}', {phrase}, {n}, {grams}, {musts}, {at}, '{' '.join(gram)}', {must})" for t, label, phrase, n, grams, musts, at, gram, must in rows
+    )
     return f"""
-    WITH t(template, label, phrase, length, grams, spot, gram) AS (VALUES {values}),
+    WITH t(template, label, phrase, length, grams, musts, spot, gram, must) AS (VALUES {values}),
     w AS (SELECT row_number() OVER () AS id, doc_id,
             regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
     g AS (SELECT id, i - 1 AS pos, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
             FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
-    votes AS (SELECT id, template, label, phrase, length, grams, pos - spot AS diagonal, list(DISTINCT spot) AS hit, min(pos) AS low, max(pos) AS high
+    votes AS (SELECT id, template, label, phrase, length, grams, musts, pos - spot AS diagonal, list(DISTINCT spot) AS hit,
+                list(DISTINCT spot) FILTER (must) AS decided, min(pos) AS low, max(pos) AS high
             FROM g JOIN t USING (gram) GROUP BY ALL),
     fresh AS (SELECT *, CASE WHEN phrase OR diagonal - lag(diagonal) OVER s <= 3 IS NOT TRUE THEN 1 ELSE 0 END AS new
             FROM votes WINDOW s AS (PARTITION BY id, template ORDER BY diagonal)),
     runs AS (SELECT *, sum(new) OVER (PARTITION BY id, template ORDER BY diagonal) AS run FROM fresh),
-    spans AS (SELECT id, template, label, phrase, length, grams, len(list_distinct(flatten(list(hit)))) AS covered,
-                min(low) AS start, max(high) + 3 AS stop FROM runs GROUP BY id, template, label, phrase, length, grams, run),
+    spans AS (SELECT id, template, label, phrase, length, grams, musts, len(list_distinct(flatten(list(hit)))) AS covered,
+                coalesce(len(list_distinct(flatten(list(decided) FILTER (decided IS NOT NULL)))), 0) AS decided,
+                min(low) AS start, max(high) + 3 AS stop FROM runs GROUP BY id, template, label, phrase, length, grams, musts, run),
     good AS (SELECT *, covered::DOUBLE / grams AS coverage FROM spans
-            WHERE CASE WHEN phrase THEN covered = grams ELSE covered::DOUBLE / grams >= 0.75 AND stop - start <= length + 12 END),
+            WHERE CASE WHEN phrase THEN covered = grams ELSE covered::DOUBLE / grams >= 0.75 AND decided = musts AND stop - start <= length + 12 END),
     found AS (SELECT id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
                 string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM good GROUP BY id)

@@ -35,6 +35,22 @@ def test_templates_bend(docs):
     assert all(got[i] == ("", 0.0) for i in (3, 4, 5))
 
 
+def test_deciding_words(docs):
+    """Relatives of a licence cover most of its statement, but not the words that tell it."""
+    rows = [
+        (1, "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+        (2, "this is not licensed under the GNU General Public License version 2"),
+        (3, "Licensed under a Creative Commons Attribution 4.0 International License"),
+        (4, "It is licensed under the GNU General Public License, version 3, or later"),
+        (5, "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License, and more words"),
+        (6, re.sub(r"\s+", " ", licenses.TEMPLATES["apache-2"]).replace("Version 2.0", "Version 1.1")),
+        (7, licenses.TEMPLATES["mpl-2"].replace("v. 2.0", "v. 1.1")),
+        (8, licenses.TEMPLATES["mpl-2"] + " " + licenses.TEMPLATES["apache-2"]),
+    ]
+    got = {r.doc_id: r.labels for r in report(docs(rows))}
+    assert got == {1: "", 2: "", 3: "cc-by", 4: "gpl-3", 5: "", 6: "", 7: "", 8: "apache-2,mpl-2"}
+
+
 def test_spans(docs):
     _, spans = licenses.scan(docs([(1, "a b under the MIT license c CC-BY-NC d under the mit License")]))
     assert sorted((r.label, r.start, r.stop, r.phrase) for r in spans.collect()) == [
