@@ -14,7 +14,8 @@ So a direction that all vectors share, which centring takes away and which widen
 `MOST` rotations are not enough, the tables get narrower. A test measures recall against brute force.
 
 Equal vectors are one class with a multiplicity: copies meet nothing in pairs. Vectors that are null, empty, zero, or
-hold null or non-finite components link with nothing, nor do vectors of different lengths. Rows with a null vec_id
+hold null or non-finite components link with nothing, nor do vectors of different lengths. Very small and very large
+components are no exception: such vectors are scaled before anything is squared. Rows with a null vec_id
 link with nothing. Rows that share a vec_id are one node, whose links are united. Other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm.tables import components, stored
@@ -123,20 +124,34 @@ def coded(unit: np.ndarray, n: int, cosine: float, recall: float) -> tuple[list[
                 return coders[: r + 1], tables, min(bits, radius)
         if width == 1:  # all pairs meet
             return coders[:1], tables, bits
-        tables = bits // (width - 1)
+        # The next narrower tables; what is left over of the bits stays unused.
+        while bits // tables == width:
+            tables += 1
 
 
 def _unit(values: pa.Array) -> np.ndarray:
     matrix = np.asarray(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(values), -1)
+    matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+#: Beyond these sizes squares leave the range of doubles; such vectors are first divided by their largest component.
+LEAST, LARGEST = 1e-100, 1e100
+
+
+def scaled(v: Column) -> Column:
+    """A vector of which squares can be added; of the usual sizes the vector itself."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    return F.when((top > 0) & ((top < LEAST) | (top > LARGEST)) & (top < float("inf")), F.transform(v, lambda x: x / top)).otherwise(v)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array<double>), for the vectors that can link."""
     typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     nonzero = F.exists("v", lambda x: x != 0)
-    return typed.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & nonzero)
+    typed = typed.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & nonzero)
+    return typed.select("vec_id", scaled(F.col("v")).alias("v"))
 
 
 def substrings(classes: DataFrame, coders: list[Coder], tables: int, radius: int) -> DataFrame:
@@ -207,7 +222,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.
     named = named.select(
         "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")
     )
-    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding").cast("array<double>")).alias("v"))
     result = typed.join(named, "v", "left").select(
         "vec_id",
         F.when(F.col("vec_id").isNotNull(), F.col("n_links")).alias("n_links"),

@@ -70,3 +70,42 @@ def test_recall_with_a_shared_direction(spark):
     _, links = vectors.linked_pairs(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA))
     got, want = {(r.a, r.b) for r in links.collect()}, brute(rows)
     assert len(want) >= 800 and len(got & want) >= 0.95 * len(want) and got <= want
+
+
+def test_planner_ends(monkeypatch):
+    """For every number of vectors and bits, and several shared directions, with the wanted part of pairs found."""
+    monkeypatch.setattr(vectors, "ROUNDS", 3)
+    monkeypatch.setattr(vectors, "PAIRS", 100)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for bits in (4, 16, 33, 64):
+        for share in (0.0, 0.5, 0.72, 0.9):
+            some = unit(share**0.5 * unit(rng.normal(size=(1, bits))) + (1 - share) ** 0.5 * unit(rng.normal(size=(300, bits))))
+            for n in (1000, 200_000, 4_000_000, 10**9):
+                coders, tables, radius = vectors.coded(some, n, 0.95, 0.98)
+                width = bits // tables
+                assert 1 <= tables <= bits and 0 < radius <= bits
+                for one, two in vectors.threshold_pairs(some, 0.95):
+                    met = np.zeros(len(one), bool)
+                    for coder in coders:
+                        differ = coder.codes(one) ^ coder.codes(two)
+                        for t in range(tables):
+                            met |= np.bitwise_count((differ >> np.uint64(t * width)) & np.uint64((1 << width) - 1)) <= 1
+                    assert met.mean() >= 0.98 or width == 1
+
+
+def test_tiny_and_huge_components(spark):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=8)
+    near = one + rng.normal(size=8) * 0.01
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate([(one, 1e-200), (near, 1e200), (one, 1.0), (-one, 1e200), (near, 1e-310), (one, 5e306)])]
+    rows += [(10 + i, (rng.normal(size=8) * 10.0 ** rng.integers(-250, 250)).tolist()) for i in range(20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plain = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows]
+    groups = Groups()
+    links = brute(plain)
+    for a, b in links:
+        groups.link(a, b)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()}
+    assert got == {i: (sum(i in x for x in links), groups.find(i)) for i, _ in rows}
+    assert {got[i][1] for i in (0, 1, 2, 4, 5)} == {0} and got[3][1] == 3
