@@ -37,7 +37,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-FURNITURE = frozenset("nav footer aside button menu dialog head header".split())
+FURNITURE = frozenset("nav footer aside button menu dialog head".split())
 #: What may stand in a head; any other element, or text, ends it.
 HEAD = frozenset("html head title base link meta style script noscript template".split())
 #: Elements that an opening tag of the same kind of place closes.
@@ -58,19 +58,29 @@ PARTS = HEADINGS | frozenset("p li dt dd".split())
 PARTIAL = (LEAVES - {"td", "th"}) | frozenset("ul ol dl table thead tbody tfoot tr section".split())
 WHOLE = frozenset(("article", "main"))
 _NAMES = (
-    r"(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disqus"
+    r"(?:ads?|advert\w*|adsense|alerts?|(?:about-)?author(?:-(?:bio|box|card|info))|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?|copyright|disqus"
     r"|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|recommend\w*"
-    r"|related|replies|reply|respond|share|sharing|sidebar|signup|site-header|page-header|skip|social|sponsor\w*|subscribe|tags?"
+    r"|related|replies|reply|respond|share|sharing|side-?bar|signup|site-header|page-header|skip|social|sponsor\w*|subscribe|tags?"
     r"|toc|toolbar|widget)"
 )
 #: Words that a name may be joined with and still name the same thing.
-_JOINED = r"(?:area|bar|block|bottom|box|buttons?|container|left|links?|list|main|posts?|primary|right|secondary|section|site|slot|top|wrap|wrapper)"
+_JOINED = r"(?:area|articles|bar|block|bottom|box|buttons?|container|left|links?|list|main|posts?|primary|reader|right|secondary|section|site|slot|stories|thread|top|user|wrap|wrapper)"
 #: A class or id that is such a name as a whole, or made of nothing else; "tag-x" and "has-sidebar" say something of an article.
 NAMED = re.compile(rf"(?!tag[_-](?!list$|links?$))(?:{_JOINED}[_-])*{_NAMES}(?:[_-](?:{_NAMES}|{_JOINED}))*", re.IGNORECASE)
 COMMENTS = re.compile(r"(?:.*[_-])?(?:comments?|commentlist|disqus|replies|reply|respond)(?:[_-].*)?", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+#: A name, then perhaps a value: a quote opens one only directly after "=" and white space.
+_VALUE = r"(?>\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)"
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|</?([a-zA-Z][^\s/>]*)((?>[\s/=]|[^\s/>=]+(?>\s*=\s*{_VALUE}?)?)*+)(?:>|\Z)", re.DOTALL,
+)
+_ATTRIBUTE = re.compile(rf"([^\s/>=]+)(?:\s*=\s*({_VALUE}))?", re.DOTALL)
+_TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
+#: Elements nested deeper count as standing side by side, as browsers have it.
+MOST_DEEP = 256
+#: So many forms, headers and named elements around a block are judged one by one; those inside go with the last of them.
+MOST_DOUBTED = 16
 _PUNCTUATION = re.compile(r"[.,;:!?、。，！？…]")
 
 
@@ -83,7 +93,7 @@ class Node:
     skip: bool
     link: bool
     inside: tuple[int, ...]
-    doubted: tuple[tuple[int, bool], ...] = ()
+    doubted: tuple[tuple[int, str], ...] = ()
 
 
 @dataclass
@@ -92,8 +102,8 @@ class Block:
 
     path: tuple[str, ...]
     inside: tuple[int, ...]
-    #: The open forms and named elements, by number, and whether each holds comments by its name.
-    doubted: tuple[tuple[int, bool], ...] = ()
+    #: The open forms, headers and named elements, by number and kind: "named", "comments" or "header".
+    doubted: tuple[tuple[int, str], ...] = ()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -101,16 +111,20 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _furniture(tag: str, attributes: str, path: tuple[str, ...]) -> bool:
+def _attributes(text: str) -> list[tuple[str, str]]:
+    """Names in lower case with their values, in order; only of tags that may tell what an element is."""
+    if not _TELLING.search(text):
+        return []
+    return [(name.lower(), value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value) for name, value in _ATTRIBUTE.findall(text)]
+
+
+def _furniture(tag: str, attributes: list[tuple[str, str]]) -> bool:
     """Whether an element is furniture or hidden, whatever it holds."""
-    if tag == "header":  # an article's own header holds its headline
-        return "article" not in path and "main" not in path
     if tag in FURNITURE:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in attributes:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -118,20 +132,20 @@ def _furniture(tag: str, attributes: str, path: tuple[str, ...]) -> bool:
     return False
 
 
-def _doubted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is a form or named as furniture, and whether it is named as comments."""
+def _doubted(tag: str, attributes: list[tuple[str, str]], path: tuple[str, ...]) -> str:
+    """What an element may be by its tag or names: "header", "comments", other "named" furniture, or ""."""
     if tag in ("html", "body", "article", "main"):
-        return False, False
-    named, comments = tag == "form", False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        return ""
+    kind = "named" if tag == "form" else ""
+    for name, value in attributes:
         if name in ("class", "id"):
             for token in value.split():
                 if NAMED.fullmatch(token):
-                    named, comments = True, comments or bool(COMMENTS.fullmatch(token))
+                    kind = "comments" if kind == "comments" or COMMENTS.fullmatch(token) else "named"
         elif name == "role" and value.lower() in ROLES:
-            named = True
-    return named, comments
+            kind = kind or "named"
+    # An article's own header holds its headline.
+    return kind or ("header" if tag == "header" and "article" not in path and "main" not in path else "")
 
 
 def _spared(found: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
@@ -140,22 +154,27 @@ def _spared(found: list[tuple[Block, str]]) -> list[tuple[Block, str]]:
         return found
     kind = {"article": "article", "main": "article", "h1": "h1"}
     total, spared = 0, set()
-    plain: dict[tuple[int, bool], int] = {}
-    holds: dict[tuple[int, bool], set[str]] = {}
+    plain: dict[tuple[int, str], int] = {}
+    holds: dict[tuple[int, str], set[str]] = {}
     for b, t in found:
         n = max(0, len(t) - b.linked)
         total += n
         for element in b.doubted:
             plain[element] = plain.get(element, 0) + n
-            below = b.path[b.inside.index(element[0]) + 1 :]
+            below = b.path[b.inside.index(element[0]) + 1 :] if element[0] in b.inside else ()
             holds.setdefault(element, set()).update(kind[x] for x in below if x in kind)
     left = lambda: [(b, t) for b, t in found if spared.issuperset(b.doubted)]
     shown = lambda: {kind[x] for b, _ in left() for x in b.path if x in kind}
     most = [e for e in sorted(plain) if 2 * plain[e] > total]
-    spared.update(e for e in most if not e[1])
+    spared.update(e for e in most if e[1] != "comments")
     there = shown()
     for element in sorted(plain):
-        if element not in spared and (holds[element] - there or element in most and not there):
+        if element[1] == "header":
+            # The page's only headline, unless the article stands elsewhere.
+            wanted = "h1" in holds[element] - there and "article" not in there
+        else:
+            wanted = holds[element] - there or element in most and not there
+        if element not in spared and wanted:
             spared.add(element)
             there = shown()
     return left() or found
@@ -165,13 +184,25 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, without furniture; what only may be furniture is marked."""
     found: list[Block] = []
     stack = [Node("", (), False, False, ())]
+    opened: dict[str, int] = {}
     number, at, block = 0, 0, None
 
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] = opened.get(node.tag, 0) + 1
+
+    def pop(start: int) -> None:
+        for node in stack[start:]:
+            opened[node.tag] -= 1
+        del stack[start:]
+
     def close(tags: tuple[str, ...], within: frozenset[str]) -> None:
         """Close the innermost open element among `tags`, unless one of `within` stands before it."""
+        if not any(opened.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                pop(i)
                 return
             if stack[i].tag in within:
                 return
@@ -181,7 +212,7 @@ def blocks(page: str) -> list[Block]:
         if not raw:
             return
         if stack[-1].tag == "head" and raw.strip():
-            stack.pop()
+            pop(len(stack) - 1)
         top = stack[-1]
         if top.skip:
             return
@@ -226,7 +257,7 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             block = None
         if stack[-1].tag == "head" and tag not in HEAD:
-            stack.pop()
+            pop(len(stack) - 1)
         if tag in VOID:
             continue
         if tag in BREAKS_P:
@@ -237,17 +268,17 @@ def blocks(page: str) -> list[Block]:
         if whole.endswith("/>") and tag not in INLINE:
             continue
         top = stack[-1]
+        attributes = [] if top.skip else _attributes(match[2] or "")
         if tag in INLINE:
             if not whole.endswith("/>"):
-                skip = top.skip or _furniture(tag, match[2] or "", top.path)
-                stack.append(Node(tag, top.path, skip, top.link or tag == "a", top.inside, top.doubted))
+                push(Node(tag, top.path, top.skip or _furniture(tag, attributes), top.link or tag == "a", top.inside, top.doubted))
             continue
         number += 1
-        path = (*top.path, tag)
-        named, comments = (False, False) if top.skip else _doubted(tag, match[2] or "")
-        doubted = (*top.doubted, (number, comments)) if named else top.doubted
-        skip = top.skip or _furniture(tag, match[2] or "", top.path)
-        stack.append(Node(tag, path, skip, top.link, (*top.inside, number), doubted))
+        skip = top.skip or _furniture(tag, attributes)
+        kind = "" if skip else _doubted(tag, attributes, top.path)
+        doubted = (*top.doubted, (number, kind)) if kind and len(top.doubted) < MOST_DOUBTED else top.doubted
+        deep = len(top.path) >= MOST_DEEP
+        push(Node(tag, top.path if deep else (*top.path, tag), skip, top.link, top.inside if deep else (*top.inside, number), doubted))
 
 
 def _smooth(values: np.ndarray, width: int = 1) -> np.ndarray:

@@ -105,6 +105,58 @@ def test_broken_pages(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><h1>Head</h1><img alt="5" tall"><p>One, two.</p><p>Three, four.</p></article>', "Head\n\nOne, two.\n\nThree, four."),
+        ("<p>a <a href=x title=don't>link</a> and more</p><p>second, one</p>", "a link and more\n\nsecond, one"),
+        ("<p title=a'b>one</p><p>two</p><p title='c'>three</p>", "one\n\ntwo\n\nthree"),
+        ("<p title = \"a>b\" x='>' y=/z>one</p><p =odd>two</p>", "one\n\ntwo"),
+        ("<p class='a'id=\"b\">one</p><p a=b/>two", "one\n\ntwo"),
+    ],
+)
+def test_quotes_in_tags(page, text):
+    assert extract(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class=post><header>{PARTS.replace('</h1>', '</h1></header>')}</div>",
+        f"<body><header>Site, all of it.</header><div id=page><div class=post><header>{PARTS.replace('</h1>', '</h1></header>')}</div></div>",
+        f"<body><header><h1>Site</h1></header><article>{PARTS}</article>",
+        f"<body><header><h1>Site</h1></header><article>{PARTS.replace('h1>', 'h2>')}</article>",
+    ],
+)
+def test_headlines_in_headers(page):
+    assert extract(page) == TEXT
+
+
+@pytest.mark.parametrize("name", ["comment-thread", "user-comment", "reader-comments", "comments"])
+def test_comments_as_long_as_the_article(name):
+    page = f"<article>{PARTS}<div class={name}><p>{LONG}</p><p>{LONG}</p></div></article>"
+    assert extract(page) == TEXT
+
+
+@pytest.mark.parametrize("name", ["side-bar", "related-articles", "alert", "author-bio", "author-box", "sidebar", "related-stories"])
+def test_boxes_inside_an_article(name):
+    assert extract(f"<article>{PARTS}<div class={name}><p>Some words here, of another kind. More of them.</p></div></article>") == TEXT
+
+
+def test_deep_nesting_is_bounded():
+    import time
+    import tracemalloc
+
+    for page in ("<div>" * 20_000 + "end", "<div>a" * 16_000, "<b>" * 30_000 + "x", "<ul><li>" * 10_000 + "y" + "</nope>" * 10_000, "<form>x" * 14_000):
+        tracemalloc.start()
+        start = time.perf_counter()
+        text = extract(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert text and peak < 300e6 and time.perf_counter() - start < 60
+    assert extract("<div>a" * 2000).count("a") == 2000
+
+
 def test_long_page():
     page = "<article>" + "<p>Some words, in a row. And more.</p>" * 30_000 + "</article>" + "<div>" * 5000
     assert extract(page).count("\n\n") == 29_999
