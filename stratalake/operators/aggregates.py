@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.functions.columns import col, cols
+from stratalake.functions.columns import col, cols, match_keys
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -111,3 +111,42 @@ def _in_one_pass(df, keys, plain, fold, distincts, modes) -> DataFrame:
 def mode_by(df: DataFrame, keys: Sequence[str], column: str, name: str) -> DataFrame:
     """The most frequent non-null value of ``column`` per group."""
     return grouped_measures(df, keys, modes={name: column})
+
+
+# --- modes by heavy hitters ---------------------------------------------------
+
+#: Fixed value of the sketch: an item's count is off by at most this share of all counts, over the size of its table.
+ERROR_FACTOR = 3.5
+
+
+def _count_error(tracked: int) -> float:
+    """The share of a group's rows by which a count of the sketch may be off, for so many tracked values."""
+    size = 8
+    while size * 3 // 4 < tracked:
+        size *= 2
+    return ERROR_FACTOR / size
+
+
+def mode_by_candidates(df: DataFrame, keys: Sequence[str], column: str, name: str, tracked: int = 64) -> DataFrame:
+    """``mode_by`` for columns of very many values: the most frequent non-null value per group, the lowest on a tie.
+
+    A first pass keeps at most ``tracked`` counters per group and task, merged over tasks; its values are the
+    candidates. A second pass counts them exactly. What is not a candidate occurs at most in the sketch's error bound of
+    the group's rows, so a candidate with more is proven to be the mode, ties included. Groups without such a value (no value
+    stands out) are counted as ``mode_by`` does. Only these shuffle all their values.
+    """
+    rows = df.select(*cols(keys), col(column).alias("_value"))
+    known = rows.where(F.col("_value").isNotNull())
+    sketch = F.call_function("approx_top_k", F.col("_value"), F.lit(tracked), F.lit(tracked))
+    found = known.groupBy(*cols(keys)).agg(sketch.alias("_top"), F.count(F.lit(1)).alias("_rows"))
+    listed = found.select(*cols(keys), "_rows", F.explode("_top").alias("_c")).select(*cols(keys), "_rows", F.col("_c.item").alias("_value"))
+    same = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    candidates = listed.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_rows", F.col("_value").alias("_candidate"))
+    on = reduce(lambda a, b: a & b, [*same, F.col("_value") == F.col("_candidate")])
+    counted = known.join(candidates, on).groupBy(*cols(keys), "_rows", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    best = counted.groupBy(*cols(keys)).agg(_most_frequent(F.col("_value"), F.col("_n")).alias(name), F.max("_n").alias("_n"), F.max("_rows").alias("_rows"))
+    proven = F.col("_n") > F.col("_rows") * F.lit(_count_error(tracked))
+    sure = best.where(proven).select(*cols(keys), name)
+    # The others: groups without a known value, and those in which no value stands out.
+    rest = match_keys(rows, sure, keys, "left_anti")
+    return sure.unionByName(mode_by(rest, keys, "_value", name))

@@ -9,12 +9,12 @@ from decimal import Decimal
 from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.functions.columns import col, cols, require_columns
 from stratalake.operators.upsert import keep_last
+from stratalake.session import path_exists
 
 STATE_SCHEMA = (
     "pipeline string, column string, value string, value_type string, "
@@ -71,10 +71,15 @@ def _extreme(agg: str):
         raise ValueError(f"a watermark is the max or min of a column, not its {agg}") from None
 
 
+def compute_watermarks(df: DataFrame, column: str, aggs: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """High- and low-water values in one aggregate, per group if ``by`` is given: ``aggs`` maps names to max or min."""
+    require_columns(df, [column, *by])
+    return df.groupBy(*cols(by)).agg(*[_extreme(agg)(col(column)).alias(name) for name, agg in aggs.items()])
+
+
 def compute_watermark(df: DataFrame, column: str, agg: str = "max", by: Sequence[str] = ()) -> DataFrame:
     """Next high-water value, per group if ``by`` is given; no row value for an empty input."""
-    require_columns(df, [column, *by])
-    return df.groupBy(*cols(by)).agg(_extreme(agg)(col(column)).alias("watermark"))
+    return compute_watermarks(df, column, {"watermark": agg}, by)
 
 
 def observe_watermark(df: DataFrame, column: str | None, agg: str = "max") -> tuple[DataFrame, Observation]:
@@ -109,12 +114,9 @@ class WatermarkStore:
         self.path = path
 
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(STATE_SCHEMA).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], STATE_SCHEMA)
+        return self.spark.read.schema(STATE_SCHEMA).parquet(self.path)
 
     def _append(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, STATE_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
@@ -144,8 +146,11 @@ class WatermarkStore:
         return default if state is None else state.value
 
     def get_all(self, pipeline: str) -> dict[str, Any]:
-        rows = current_state(self.log().where(F.col("pipeline") == pipeline)).select("column").collect()
-        return {row["column"]: self.get(pipeline, row["column"]) for row in rows}
+        rows = current_state(self.log().where(F.col("pipeline") == pipeline)).select("column", "value", "value_type").collect()
+        if not rows:
+            return {}
+        values = self.spark.range(1).select(*[F.lit(r["value"]).cast(r["value_type"]) for r in rows]).first()
+        return {r["column"]: v for r, v in zip(rows, values, strict=True)}
 
     def reset(self, pipeline: str, column: str | None = None) -> None:
         names = [column] if column else list(self.get_all(pipeline))

@@ -14,7 +14,7 @@ from datetime import timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,7 +264,11 @@ class QualityGateError(Exception):
 
 
 def gate(results: DataFrame) -> DataFrame:
-    """Raise if a check of severity ``error`` failed or could not be evaluated; warnings pass."""
+    """Raise if a check of severity ``error`` failed or could not be evaluated; warnings pass.
+
+    The checks run once: what is returned holds their results, at most one row per check.
+    """
+    results = results.sparkSession.createDataFrame(results.collect(), results.schema)
     blocking = (F.col("status") == "failed") | ((F.col("status") == "errored") & (F.col("severity") == "error"))
     broken = results.where(blocking).orderBy("check").collect()
     if broken:
@@ -294,6 +298,68 @@ def failing_sample(df: DataFrame, check: Check, order_by: Sequence[str], n: int
     return found.orderBy(*cols(order_by)).limit(n)
 
 
+#: Hex digits of a row's hash that tell apart the places of a sample: 65536 per check.
+PLACE_DIGITS = 4
+
+
+def failing_samples(df: DataFrame, checks: Sequence[Check], columns: Sequence[str], n: int = 5) -> DataFrame:
+    """Up to ``n`` failing rows of every check: ``check, kind, severity, position, occurrences, row``, from one scan.
+
+    ``row`` maps the chosen columns that are not null to their text; of a uniqueness check it holds the repeated values, with
+    the number of their occurrences. Which rows are shown depends on hashes of these columns alone and not on the order of the
+    data: failing rows fall into places by their hash, each place keeps the least one, and the ``n`` least places are shown.
+    One aggregate over (check, place or value) does this for all checks; it is combined before the shuffle, so a check
+    that every row breaks sends at most one row per place and task. Free-form queries add plans of their own.
+    """
+    require_columns(df, columns)
+    active = [c for c in checks if not c.skip and _fits(df, c)]
+    by_row = [c for c in active if c.violates is not None]
+    by_value = [c for c in active if c.unique_on]
+    shown = list(dict.fromkeys([*columns, *[c for check in by_value for c in check.unique_on]]))
+
+    def texts(names: Sequence[str]) -> Column:
+        return F.struct(*[(col(c).cast("string") if c in names else F.lit(None).cast("string")).alias(f"c{i}") for i, c in enumerate(shown)])
+
+    def digest(names: Sequence[str]) -> Column:
+        # The length before each text keeps apart what would read the same when joined.
+        parts = [F.coalesce(F.concat(F.length(col(c).cast("string")).cast("string"), F.lit(":"), col(c).cast("string")), F.lit("-")) for c in names]
+        return F.md5(F.concat_ws(",", *parts).cast("binary"))
+
+    marks = []
+    for i, check in enumerate(by_row):
+        mark = F.struct(F.lit(i).alias("i"), F.substring("_hash", -PLACE_DIGITS, PLACE_DIGITS).alias("place"), F.col("_hash").alias("hash"), texts(columns).alias("row"))
+        marks.append(F.when(check.violates, mark))
+    for i, check in enumerate(by_value, len(by_row)):
+        known = reduce(lambda a, b: a & b, [col(c).isNotNull() for c in check.unique_on])
+        hashed = digest(check.unique_on)
+        mark = F.struct(F.lit(i).alias("i"), hashed.alias("place"), hashed.alias("hash"), texts(check.unique_on).alias("row"))
+        marks.append(mark if check.nulls_repeat else F.when(known, mark))
+    parts = []
+    if marks:
+        every = df.withColumn("_hash", digest(columns)).select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*")
+        kept = every.groupBy("i", "place").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("hash", "row")).alias("first"))
+        # A value that occurs once breaks nothing.
+        kept = kept.where((F.col("i") < len(by_row)) | (F.col("n") > 1))
+        order = Window.partitionBy("i").orderBy("first.hash", "place")
+        top = kept.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
+        names = F.array(*[F.lit(c) for c in shown])
+        cells = F.map_from_arrays(names, F.array(*[F.col(f"first.row.c{i}") for i in range(len(shown))]))
+        labels = F.array(*[F.struct(*_label(c)[:3]) for c in [*by_row, *by_value]])
+        counted = F.when(F.col("i") >= len(by_row), F.col("n"))
+        row = F.map_filter(cells, lambda _, v: v.isNotNull()).alias("row")
+        parts.append(top.select(F.get(labels, F.col("i")).alias("l"), "position", counted.alias("occurrences"), row).select("l.*", "position", "occurrences", "row"))
+    for check in active:
+        if check.query is not None and not check.scalar:
+            found = check.query(df)
+            cells = F.map_filter(F.create_map(*[x for c in found.columns for x in (F.lit(c), col(c).cast("string"))]), lambda _, v: v.isNotNull())
+            listed = found.select(*_label(check)[:3], cells.alias("row"), F.md5(F.to_json(F.struct(*cols(found.columns)))).alias("hash"))
+            top = listed.orderBy("hash").limit(n).withColumn("position", F.row_number().over(Window.partitionBy("check").orderBy("hash")))
+            parts.append(top.select("check", "kind", "severity", "position", F.lit(None).cast("bigint").alias("occurrences"), "row"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "check string, kind string, severity string, position int, occurrences bigint, row map<string,string>")
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 # --- freshness and schema --------------------------------------------------
 
 

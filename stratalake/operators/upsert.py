@@ -65,6 +65,35 @@ def merge(
     return keep_last(both, keys, ["_from_batch", *order_by]).drop("_from_batch")
 
 
+def merge_marked(
+    existing: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str] = (),
+    newest_wins: bool = False,
+    mark: str = "_mark",
+) -> DataFrame:
+    """The rows of ``merge`` and, for each key, whether it was ``kept``, ``inserted`` or ``updated`` by the batch.
+
+    One aggregate over both sides gives the row and the mark, so neither side is read again to count them.
+    """
+    side = "_from_batch"
+    both = existing.withColumn(side, F.lit(0)).unionByName(batch.withColumn(side, F.lit(1)), allowMissingColumns=True)
+    require_columns(both, [*keys, *order_by])
+    fields = [f for f in both.schema.fields if f.name not in (*keys, side)]
+    rest = [f for f in fields if f.name not in order_by]
+    first = [] if newest_wins else [F.col(side)]
+    values = F.struct(*cols(f.name for f in fields)) if fields else F.struct(F.lit(0).alias("_none"))
+    if any(has_map(f.dataType) for f in fields):
+        last = F.max_by(values, F.struct(*first, *cols(order_by), *[comparable(f).alias(f.name) for f in rest], F.col(side).alias("_tie")))
+    else:
+        last = F.max(F.struct(*first, *cols(order_by), *cols(f.name for f in rest), F.lit(0).alias("_none")))
+    merged = both.groupBy(*cols(keys)).agg(last.alias("_last"), F.min(side).alias("_low"), F.max(side).alias("_high"))
+    state = F.when(F.col("_high") == 0, "kept").when(F.col("_low") == 1, "inserted").otherwise("updated")
+    columns = [c for c in both.columns if c != side]
+    return merged.select(*[col(c) if c in keys else F.col("_last").getField(c).alias(c) for c in columns], state.alias(mark))
+
+
 def merge_stats(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row ``inserted, updated``: distinct batch keys absent from / present in ``existing``.
 

@@ -193,8 +193,7 @@ def incremental_silver_events(spark, path):
 
 @query
 def watermark_value(spark, path):
-    newest, oldest = F.max("ts").alias("newest"), F.min("ts").alias("oldest")
-    return table(spark, path, "events").groupBy("event_type").agg(newest, oldest)
+    return incremental.compute_watermarks(table(spark, path, "events"), "ts", {"newest": "max", "oldest": "min"}, ["event_type"])
 
 
 def _state_log(spark, path):
@@ -687,7 +686,14 @@ def read_overwritten(spark, path):
 
 @query
 def table_history(spark, path):
-    return _written_orders(spark, path).history("bronze.orders").select("version", "operation", "row_count")
+    """What the stored files say of the writes that made a table: one full write, one append, one run of no rows."""
+    lake, orders = Lake(spark, shared_dir(spark, "orders")), table(spark, path, "orders")
+    cut = F.lit("1998-01-01 00:00:00").cast("timestamp_ntz")
+    lake.create("bronze.orders", orders.where(F.col("o_orderdate") < cut).repartition(3))
+    lake.append("bronze.orders", orders.where(F.col("o_orderdate") >= cut).repartition(2))
+    lake.append("bronze.orders", orders.limit(0))
+    kind = F.when(F.col("run") == "0", "create").otherwise("append")
+    return lake.writes("bronze.orders").select(kind.alias("operation"), "row_count", "files")
 
 
 @query
@@ -799,17 +805,17 @@ def retained_partitions(spark, path):
 def lake_tables(spark, path):
     """Tables as views, after one was replaced and one dropped."""
     lake = Lake(spark, shared_dir(spark, "tables"))
-    for name in ("nation", "region", "supplier"):
-        lake.create(f"bronze.{name}", table(spark, path, name))
-    lake.create("gold.nation", table(spark, path, "nation").where("n_regionkey = 1"))
-    lake.overwrite("gold.nation", table(spark, path, "nation").where("n_regionkey = 2"))
-    lake.drop("bronze.supplier")
+    for name in ("orders", "events", "customer"):
+        lake.create(f"bronze.{name}", table(spark, path, name).repartition(4))
+    lake.create("gold.orders", table(spark, path, "orders").where("o_orderstatus = 'F'"))
+    lake.overwrite("gold.orders", table(spark, path, "orders").where("o_orderstatus = 'P'"))
+    lake.drop("bronze.customer")
     views = lake.register_views()
     counts = [spark.table(v).agg(F.count("*").alias("n_rows")).select(F.lit(v).alias("view"), "n_rows") for v in views]
     rows = counts[0]
     for other in counts[1:]:
         rows = rows.union(other)
-    named = lake.tables().select(F.concat_ws("_", "layer", "name").alias("view"), "layer", "name")
+    named = lake.tables().select(F.concat_ws("_", "layer", "name").alias("view"), "layer", "name", (F.col("files") >= 1).alias("stored"))
     return named.join(rows, "view")
 
 
@@ -847,32 +853,36 @@ def landing_json(spark, path):
 def parsed_pages(spark, path):
     """Pages landed as files of any format, read by a registered parser on the executors."""
     folder = shared_dir(spark, "landing-pages")
-    table(spark, path, "pages").select("page_id", "url").repartition(4, "page_id").write.json(folder)
+    table(spark, path, "pages").select("page_id", "url", "html").repartition(4, "page_id").write.json(folder)
 
     def parse(content, name):
+        import json
+
         import pandas as pd
 
-        rows = pd.read_json(content, lines=True)
-        return rows if len(rows) else pd.DataFrame({"page_id": [], "url": []})
+        rows = [json.loads(line) for line in content]
+        return pd.DataFrame({c: [r.get(c) for r in rows] for c in ("page_id", "url", "html")})
 
-    register_parser("page lines", parse, "page_id bigint, url string")
-    return read_landing(spark, folder, "json", parser="page lines").select("page_id", "url")
+    register_parser("page lines", parse, "page_id bigint, url string, html string")
+    return read_landing(spark, folder, "json", parser="page lines").select("page_id", "url", "html")
 
 
 @query
 def table_fixtures(spark, path):
-    """The same tables as CSV, Parquet and JSON fixtures."""
-    folder, nation = shared_dir(spark, "fixtures"), table(spark, path, "nation")
-    nation.coalesce(1).write.option("header", "true").csv(f"{folder}/nation.csv")
-    nation.write.parquet(f"{folder}/nation.parquet")
-    rows = nation.groupBy().agg(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("rows"))
-    rows.select(F.lit("bronze.nation").alias("table"), "rows").write.json(f"{folder}/json")
-    schema = "n_nationkey int, n_name string, n_regionkey int"
-    _, from_csv = csv_fixture(spark, f"{folder}/nation.csv", schema)
-    _, from_parquet = parquet_fixture(spark, f"{folder}/nation.parquet")
-    from_json = json_fixture(spark, f"{folder}/json", {"bronze_nation": schema})["bronze_nation"]
+    """The same table as CSV, Parquet and JSON fixtures of several files each."""
+    folder = shared_dir(spark, "fixtures")
+    orders = table(spark, path, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").repartition(4, "o_orderkey")
+    orders.write.option("header", "true").csv(f"{folder}/orders.csv")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    # A fixture file is one object that lists its rows: a thousand keys each.
+    listed = orders.groupBy(F.floor(F.col("o_orderkey") / 1000)).agg(F.collect_list(F.struct(*orders.columns)).alias("rows"))
+    listed.select(F.lit("bronze.orders").alias("table"), "rows").write.option("maxRecordsPerFile", 1).json(f"{folder}/json")
+    schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
+    _, from_csv = csv_fixture(spark, f"{folder}/orders.csv", schema)
+    _, from_parquet = parquet_fixture(spark, f"{folder}/orders.parquet")
+    from_json = json_fixture(spark, f"{folder}/json", {"bronze_orders": schema})["bronze_orders"]
     kinds = (("csv", from_csv), ("parquet", from_parquet), ("json", from_json))
-    out = [df.select(F.lit(kind).alias("kind"), "n_nationkey", "n_name", "n_regionkey") for kind, df in kinds]
+    out = [df.select(F.lit(kind).alias("kind"), *orders.columns) for kind, df in kinds]
     return out[0].union(out[1]).union(out[2])
 
 
@@ -922,3 +932,7 @@ def retention_unknown_dates(spark, path):
     dated = F.when(F.col("l_orderkey") % 9 != 0, F.col("l_shipdate"))
     lines = table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", dated.alias("l_shipdate"))
     return retain(lines, "l_shipdate", "1997-06-01", 365)
+
+
+# The queries of stored, sketched and streamed tables build on those above.
+from stratalake.plans import extended as _extended  # noqa: E402, F401

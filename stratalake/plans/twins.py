@@ -571,9 +571,8 @@ FROM products LEFT JOIN latest ON name = product_name""",
     "read_snapshot": "SELECT * FROM orders",
     "read_overwritten": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
     "table_history": """
-SELECT CAST(1 AS BIGINT) AS version, 'create' AS operation, count(*) AS row_count FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00'
-UNION ALL SELECT 2, 'append', count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'
-UNION ALL SELECT 3, 'overwrite', count(*) FROM orders WHERE o_orderstatus = 'F'""",
+SELECT 'create' AS operation, count(*) AS row_count, CAST(3 AS BIGINT) AS files FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01 00:00:00'
+UNION ALL SELECT 'append', count(*), CAST(2 AS BIGINT) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""",
     "incremental_runs": f"WITH {SILVER_EVENTS} SELECT * REPLACE (CAST(session_duration_sec AS DOUBLE) AS session_duration_sec) FROM ev",
     "stream_upsert": """
 SELECT event_id, ts, user_id, event_type, value, props FROM (
@@ -595,15 +594,15 @@ FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
 SELECT event_id, day FROM (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN CAST(ts AS DATE) END AS day FROM events)
 WHERE day IS NULL OR day >= DATE '2024-01-21'""",
     "lake_tables": """
-SELECT 'bronze_nation' AS "view", 'bronze' AS layer, 'nation' AS name, count(*) AS n_rows FROM nation
-UNION ALL SELECT 'bronze_region', 'bronze', 'region', count(*) FROM region
-UNION ALL SELECT 'gold_nation', 'gold', 'nation', count(*) FROM nation WHERE n_regionkey = 2""",
+SELECT 'bronze_orders' AS "view", 'bronze' AS layer, 'orders' AS name, true AS stored, count(*) AS n_rows FROM orders
+UNION ALL SELECT 'bronze_events', 'bronze', 'events', true, count(*) FROM events
+UNION ALL SELECT 'gold_orders', 'gold', 'orders', true, count(*) FROM orders WHERE o_orderstatus = 'P'""",
     "file_inventory": "SELECT DISTINCT l_linestatus, 'parquet' AS extension FROM lineitem",
     "landing_csv": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
     "landing_json": "SELECT * FROM conversations",
-    "parsed_pages": "SELECT page_id, url FROM pages",
+    "parsed_pages": "SELECT page_id, url, html FROM pages",
     "table_fixtures": """
-SELECT kind, n_nationkey, n_name, n_regionkey FROM nation, (VALUES ('csv'), ('parquet'), ('json')) kinds(kind)""",
+SELECT kind, o_orderkey, o_custkey, o_orderstatus FROM orders, (VALUES ('csv'), ('parquet'), ('json')) kinds(kind)""",
     "consumed_view": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1",
     "count_checks": """
 WITH n AS (SELECT count(*) AS n FROM lineitem)
@@ -616,3 +615,8 @@ UNION ALL SELECT 'fraction_is_zero', 1, 'failed' UNION ALL SELECT 'fraction', 0,
 SELECT * FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 9 <> 0 THEN l_shipdate END AS l_shipdate FROM lineitem)
 WHERE l_shipdate IS NULL OR l_shipdate >= DATE '1997-06-01' - INTERVAL 365 DAY""",
 }
+
+# The twins of the extended queries share the tables defined above.
+from stratalake.plans import extended_twins as _extended  # noqa: E402
+
+TWINS |= _extended.TWINS

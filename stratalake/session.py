@@ -42,3 +42,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="stratalake-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder (``*`` matches any name) is there, by asking the store that holds it."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(store.globStatus(pattern))

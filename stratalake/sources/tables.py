@@ -7,6 +7,9 @@ and then a new entry, so a job that dies in between leaves the table as it was;
 be repeated after a failure and then ends in the same rows. Nothing a lost job leaves behind stands in the way of the
 next write.
 
+A table without a natural partition can be stored in buckets of its key's hash: a folder level of its own, invisible to
+readers, by which an upsert replaces only the buckets that its keys fall into.
+
 One writer per table at a time; a catalog with its own table format can stand in for this module, the operators do not
 depend on it.
 """
@@ -19,27 +22,31 @@ import re
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
 from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalake.functions.columns import col, cols, match_keys
+from stratalake.operators.checksums import bucket_of, checksum_diff
 from stratalake.operators.incremental import WatermarkStore, newer_than, observe_watermark
+from stratalake.operators.layout import clustered
 from stratalake.operators.retention import retain as keep_recent
-from stratalake.operators.upsert import keep_last, merge, merge_stats
+from stratalake.operators.schemas import wider
+from stratalake.operators.upsert import keep_last, merge_marked
+from stratalake.session import path_exists
 from stratalake.sources.files import inventory, size_text, write_parquet
 
 LAYERS = ("bronze", "silver", "gold")
 ENTRY_SCHEMA = (
     "table string, number bigint, folder string, schema string, partition_by array<string>, unique_key array<string>, "
-    "appended boolean"
+    "appended boolean, buckets int, bucket_by array<string>"
 )
-WRITES_SCHEMA = "at timestamp, operation string, row_count bigint"
 RUN = "__run"
+BUCKET = "__bucket"
+MARK = "__mark"
+RUN_ONLY = T.StructType([T.StructField(RUN, T.StringType())])
 
 
 @dataclass(frozen=True)
@@ -86,13 +93,9 @@ class Lake:
     # --- entries -----------------------------------------------------------
 
     def _relation(self, path: str, schema: str) -> DataFrame:
-        reader = self.spark.read.schema(schema).option("recursiveFileLookup", "true")
-        try:
-            return reader.parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
     def _entry(self, table: str):
         return self._relation(f"{self.path(table)}/current", ENTRY_SCHEMA).orderBy(F.desc("number")).first()
@@ -106,17 +109,22 @@ class Lake:
     def exists(self, table: str) -> bool:
         return self._entry(table) is not None
 
-    def history(self, table: str) -> DataFrame:
-        """A record of the writes in order: number, operation, rows written. Reading does not depend on it."""
-        order = Window.orderBy("at", "operation")
-        writes = self._relation(f"{self.path(table)}/writes", WRITES_SCHEMA)
-        return writes.select(F.row_number().over(order).cast("bigint").alias("version"), F.col("at").alias("committed_at"), "operation", "row_count")
+    def writes(self, table: str) -> DataFrame:
+        """What the stored data say of the writes that made them: run, rows, files, time of the first file.
 
-    def _commit(self, table, folder, schema, partition_by, unique_key=(), appended=False, before=None) -> None:
+        Run 0 is the last full write or upsert; every append since then is a run of its own.
+        """
+        entry = self._live(table)
+        file = F.col("_metadata.file_path")
+        rows = self.spark.read.schema(RUN_ONLY).parquet(f"{self.path(table)}/{entry['folder']}")
+        seen = rows.select(F.col(RUN).alias("run"), file.alias("file"), F.col("_metadata.file_modification_time").alias("at"))
+        return seen.groupBy("run").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("file").alias("files"), F.min("at").alias("written_at"))
+
+    def _commit(self, table, folder, schema, partition_by, unique_key=(), appended=False, before=None, buckets=None, bucket_by=()) -> None:
         """Make ``folder`` the table's data; what it replaces is removed afterwards."""
         number = 1 if before is None else before["number"] + 1
         place = f"{self.path(table)}/current"
-        row = (str(table), number, folder, schema, list(partition_by), list(unique_key), appended)
+        row = (str(table), number, folder, schema, list(partition_by), list(unique_key), appended, buckets, list(bucket_by))
         old = [] if before is None else self._relation(place, ENTRY_SCHEMA).inputFiles()
         self.spark.createDataFrame([row], ENTRY_SCHEMA).coalesce(1).write.parquet(f"{place}/{uuid.uuid4().hex}")
         for file in old:
@@ -124,10 +132,6 @@ class Lake:
         if before is not None and before["folder"] != folder:
             remove(self.spark, f"{self.path(table)}/{before['folder']}")
 
-    def _record(self, table: str, operation: str, rows: int) -> None:
-        row = self.spark.createDataFrame([(datetime.now(), operation, rows)], WRITES_SCHEMA).coalesce(1)
-        row.write.mode("append").parquet(f"{self.path(table)}/writes")
-
     # --- reading -----------------------------------------------------------
 
     def _scan(self, table: str, entry) -> DataFrame:
@@ -137,9 +141,16 @@ class Lake:
         reader = self.spark.read.schema(T.StructType([*schema.fields, T.StructField(RUN, T.StringType())]))
         return reader.parquet(folder).select(*cols(schema.fieldNames()))
 
-    def read(self, table: str) -> DataFrame:
-        """The table's rows."""
-        return self._scan(table, self._live(table))
+    def read(self, table: str, with_bucket: bool = False) -> DataFrame:
+        """The table's rows; ``with_bucket`` adds the number of the bucket that a table stored in buckets keeps them in."""
+        rows = self._scan(table, self._live(table))
+        return rows if with_bucket else rows.drop(BUCKET)
+
+    def layout(self, table: str) -> dict:
+        """How the table is stored: partition columns, number of buckets and the columns they come from."""
+        entry = self._live(table)
+        parts = [c for c in entry["partition_by"] if c != BUCKET]
+        return {"partition_by": parts, "buckets": entry["buckets"], "bucket_by": list(entry["bucket_by"] or [])}
 
     def register_views(self) -> list[str]:
         """Make every table available to ``spark.sql`` as ``<layer>_<name>``."""
@@ -186,24 +197,44 @@ class Lake:
         write_parquet(counted, target, partition_by)
         return seen.get.get("rows") or 0, seen.get.get("watermark")
 
-    def create(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
-        """Create or replace a table; returns the number of rows."""
-        return self._create(table, df, partition_by)[0]
-
-    def _create(self, table, df, partition_by=(), unique_key=(), track=None, keep_if_empty=False, operation="create"):
+    def create(
+        self, table: str, df: DataFrame, partition_by: Sequence[str] = (), buckets: int | None = None, bucket_by: Sequence[str] = ()
+    ) -> int:
+        """Create or replace a table; returns the number of rows. With ``buckets`` rows are stored by the hash of ``bucket_by``."""
+        if buckets and not bucket_by:
+            raise ValueError("buckets need the columns that they come from: bucket_by")
+        return self._create(table, df, partition_by, buckets=buckets, bucket_by=bucket_by)[0]
+
+    def _create(
+        self, table, df, partition_by=(), unique_key=(), track=None, keep_if_empty=False, buckets=None, bucket_by=()
+    ):
         before = self._entry(table)
         folder = f"data-{uuid.uuid4().hex}"
+        if buckets:
+            df, partition_by = _bucketed(df, buckets, bucket_by), [*[c for c in partition_by if c != BUCKET], BUCKET]
         rows, mark = self._write(df, f"{self.path(table)}/{folder}/{RUN}=0", partition_by, track)
         if rows or not keep_if_empty:
-            self._commit(table, folder, df.schema.json(), partition_by, unique_key, before=before)
-            self._record(table, operation, rows)
+            self._commit(table, folder, df.schema.json(), partition_by, unique_key, before=before, buckets=buckets, bucket_by=bucket_by)
         else:
             remove(self.spark, f"{self.path(table)}/{folder}")
         return rows, mark
 
+    def _like(self, entry) -> dict:
+        """Partitioning and buckets of a table, for a full write that keeps them."""
+        return {"partition_by": entry["partition_by"], "buckets": entry["buckets"], "bucket_by": entry["bucket_by"] or []}
+
     def overwrite(self, table: str, df: DataFrame, unique_key: Sequence[str] = ()) -> int:
         """Replace all rows, keeping the table's partitioning."""
-        return self._create(table, df, self._live(table)["partition_by"], unique_key, operation="overwrite")[0]
+        return self._create(table, df, unique_key=unique_key, **self._like(self._live(table)))[0]
+
+    def rebucket(self, table: str, buckets: int, bucket_by: Sequence[str] = ()) -> int:
+        """Store the table in another number of buckets, as it grows; returns the number of rows."""
+        entry = self._live(table)
+        parts = [c for c in entry["partition_by"] if c != BUCKET]
+        bucket_by = list(bucket_by or entry["bucket_by"] or entry["unique_key"])
+        if not bucket_by:
+            raise ValueError("buckets need the columns that they come from: bucket_by")
+        return self._create(table, self.read(table), parts, entry["unique_key"], buckets=buckets, bucket_by=bucket_by)[0]
 
     def append(self, table: str, df: DataFrame) -> int:
         """Add rows; existing files stay as they are."""
@@ -213,13 +244,13 @@ class Lake:
         """Add rows as a run of their own. Appending a run of the same id again replaces it."""
         entry = self._live(table)
         parts = entry["partition_by"]
+        df = _bucketed(df, entry["buckets"], entry["bucket_by"])
         schema = _widen(entry["schema"], df)
         target = f"{self.path(table)}/{entry['folder']}/{RUN}={run or uuid.uuid4().hex}"
         if schema != entry["schema"] or not entry["appended"]:
-            self._commit(table, entry["folder"], schema, parts, [], appended=True, before=entry)
-        rows, mark = self._write(df, target, parts, track)
-        self._record(table, "append", rows)
-        return rows, mark
+            kept = {"buckets": entry["buckets"], "bucket_by": entry["bucket_by"] or []}
+            self._commit(table, entry["folder"], schema, parts, [], appended=True, before=entry, **kept)
+        return self._write(df, target, parts, track)
 
     def merge(
         self,
@@ -230,12 +261,15 @@ class Lake:
         partition_by: Sequence[str] = (),
         keys_stay: bool = False,
         newest_wins: bool = False,
+        buckets: int | None = None,
     ) -> dict[str, int]:
         """Upsert ``batch``; returns the numbers of inserted and updated keys.
 
-        Creates the table if needed. Of a partitioned table only those
-        partitions are read and replaced that hold a key of the batch or
-        receive one. To find them the key columns of the table are read, unless
+        Creates the table if needed, with ``buckets`` stored by the hash of
+        ``keys``; of a table in buckets only those are read and replaced that
+        the batch's keys fall into, and their number is returned as well.
+        Of a partitioned table only those partitions are read and replaced
+        that hold a key of the batch or receive one. To find them the key columns of the table are read, unless
         the partition is part of the key or the caller vouches that a key never
         changes its partition (``keys_stay``). Rows of the batch replace those
         of the table, or with ``newest_wins`` only if they are greater by
@@ -247,7 +281,7 @@ class Lake:
             if rows == 0:
                 return {"inserted": 0, "updated": 0}
             stored = self.spark.read.schema(batch.schema).parquet(stage)
-            return self._merge(table, stored, keys, order_by, partition_by, keys_stay, newest_wins)
+            return self._merge(table, stored, keys, order_by, partition_by, keys_stay, newest_wins, buckets)
         finally:
             remove(self.spark, stage)
 
@@ -255,58 +289,71 @@ class Lake:
         """A folder for rows that several steps read; only this call knows it."""
         return f"{self.base}/_staging/{uuid.uuid4().hex}"
 
-    def _merge(self, table, batch, keys, order_by=(), partition_by=(), keys_stay=False, newest_wins=False) -> dict[str, int]:
+    def _merge(self, table, batch, keys, order_by=(), partition_by=(), keys_stay=False, newest_wins=False, buckets=None) -> dict[str, int]:
         entry = self._entry(table)
         if entry is None:
             last = keep_last(_storable(batch, partition_by), keys, order_by)
-            rows, _ = self._create(table, last, partition_by, keys, operation="merge")
+            rows, _ = self._create(table, last, partition_by, keys, buckets=buckets, bucket_by=keys if buckets else ())
             return {"inserted": rows, "updated": 0}
         parts = entry["partition_by"]
-        batch = _storable(batch, parts)
+        batch = _bucketed(_storable(batch, [c for c in parts if c != BUCKET]), entry["buckets"], entry["bucket_by"])
         schema = _widen(entry["schema"], batch)
         current = self._scan(table, {**entry.asDict(), "schema": schema})
         was_unique = sorted(entry["unique_key"]) == sorted(keys)
         in_place = bool(parts) and not entry["appended"]
+        touched = None
         if in_place:
             touched = batch.select(*cols(parts))
-            if not keys_stay and not set(parts) <= set(keys):
+            # A key's bucket can't change if it is made of the key.
+            fixed = set(keys) | ({BUCKET} if set(entry["bucket_by"] or []) <= set(keys) else set())
+            if not keys_stay and not set(parts) <= fixed:
                 # A key may move: the partition that holds it now is touched as well.
                 fresh = batch.select(*cols(keys)).distinct()
                 touched = touched.union(match_keys(current, fresh, keys, "left_semi").select(*cols(parts)))
             touched = touched.distinct()
-            existing = match_keys(current, touched, parts, "left_semi")
-        else:
-            existing = current
+            current = match_keys(current, touched, parts, "left_semi")
         # Rows outside the touched partitions have none of the batch's keys.
-        stats = merge_stats(existing, batch, keys).first().asDict()
-        merged = merge(existing, batch, keys, order_by, existing_unique=was_unique, newest_wins=newest_wins)
-        merged = merged.select(*cols(T.StructType.fromJson(json.loads(schema)).fieldNames()))
+        merged = merge_marked(current, batch, keys, order_by, newest_wins, MARK)
+        merged = merged.select(*cols(T.StructType.fromJson(json.loads(schema)).fieldNames()), MARK)
         if not in_place:
             folder = f"data-{uuid.uuid4().hex}"
-            rows, _ = self._write(merged, f"{self.path(table)}/{folder}/{RUN}=0", parts)
-            self._commit(table, folder, schema, parts, keys, before=entry)
-            self._record(table, "merge", rows)
+            stats = self._save_marked(merged, f"{self.path(table)}/{folder}/{RUN}=0", parts)
+            self._commit(table, folder, schema, parts, keys, before=entry, buckets=entry["buckets"], bucket_by=entry["bucket_by"] or [])
             return stats
-        self._replace(table, entry, merged, touched, schema, keys if was_unique else [])
-        return stats
+        return self._replace(table, entry, merged, touched, schema, keys if was_unique else [])
+
+    def _save_marked(self, merged: DataFrame, target: str, partition_by: Sequence[str] = ()) -> dict[str, int]:
+        """Write the rows of an upsert; the numbers of inserted and updated keys come out of the same job."""
+        if partition_by:
+            merged = merged.hint("rebalance", *partition_by)
+        seen = Observation()
+        kinds = [F.count_if(F.col(MARK) == kind).alias(kind) for kind in ("inserted", "updated")]
+        write_parquet(merged.observe(seen, *kinds).drop(MARK), target, partition_by)
+        return {kind: seen.get.get(kind) or 0 for kind in ("inserted", "updated")}
 
-    def _replace(self, table, entry, merged, touched, schema, unique_key) -> None:
+    def _replace(self, table, entry, merged, touched, schema, unique_key) -> dict[str, int]:
         """Put the merged rows in place of the touched partitions, from a staged copy."""
         parts, stage = entry["partition_by"], self._staging()
         target = f"{self.path(table)}/{entry['folder']}/{RUN}=0"
         try:
-            rows, _ = self._save(merged, stage)
-            result = self.spark.read.schema(merged.schema).parquet(stage)
-            emptied = match_keys(touched, result.select(*cols(parts)).distinct(), parts, "left_anti")
-            gone = emptied.select(*[col(c).cast("string").alias(c) for c in parts]).collect()
+            stats = self._save_marked(merged, stage)
+            result = self.spark.read.schema(merged.drop(MARK).schema).parquet(stage)
+            gone = []
+            if set(parts) != {BUCKET}:
+                # Keys that moved may leave a partition empty; no key leaves its bucket.
+                emptied = match_keys(touched, result.select(*cols(parts)).distinct(), parts, "left_anti")
+                gone = emptied.select(*[col(c).cast("string").alias(c) for c in parts]).collect()
+            kept = {"buckets": entry["buckets"], "bucket_by": entry["bucket_by"] or []}
             if schema != entry["schema"]:
-                self._commit(table, entry["folder"], schema, parts, unique_key, before=entry)
+                self._commit(table, entry["folder"], schema, parts, unique_key, before=entry, **kept)
             write_parquet(result.hint("rebalance", *parts), target, parts, only_touched=True)
             for row in gone:
                 remove(self.spark, f"{target}/{_partition_path(self.spark, parts, row)}")
+            if entry["buckets"]:
+                stats["buckets"] = result.select(*cols(parts)).distinct().count()
         finally:
             remove(self.spark, stage)
-        self._record(table, "merge", rows)
+        return stats
 
     def drop(self, table: str) -> None:
         """Remove the table."""
@@ -324,7 +371,14 @@ class Lake:
         parts = entry["partition_by"]
         if not parts:
             df = df.repartition(files) if files else df.hint("rebalance")
-        return self._create(table, df, parts, entry["unique_key"], operation="compact")[0]
+        return self._create(table, df.drop(BUCKET), unique_key=entry["unique_key"], **self._like(entry))[0]
+
+    def cluster(self, table: str, columns: Sequence[str], files: int) -> int:
+        """Rewrite an unpartitioned table along a space-filling curve of the columns, so box filters skip files."""
+        entry = self._live(table)
+        if entry["partition_by"]:
+            raise ValueError("a partitioned table already has an order of its own")
+        return self._create(table, clustered(self._scan(table, entry), columns, files), unique_key=entry["unique_key"])[0]
 
     def retain(self, table: str, column: str, as_of: str, days: int) -> int:
         """Drop rows older than ``days``; returns the number of rows that stay. Rows without a value stay.
@@ -332,7 +386,7 @@ class Lake:
         If the table is partitioned by ``column`` alone, expired partitions are removed and the rest is not touched.
         """
         entry = self._live(table)
-        current = self._scan(table, entry)
+        current = self.read(table)
         kept = keep_recent(current, column, as_of, days)
         if entry["partition_by"] != [column]:
             return self.overwrite(table, kept, entry["unique_key"])
@@ -341,9 +395,7 @@ class Lake:
         for row in expired.select(col(column).cast("string").alias(column)).collect():
             part = _partition_path(self.spark, [column], row)
             remove(self.spark, f"{self.path(table)}/{entry['folder']}/{RUN}=*/{part}")
-        rows = self.read(table).count()
-        self._record(table, "retain", rows)
-        return rows
+        return self.read(table).count()
 
     # --- runs --------------------------------------------------------------
 
@@ -359,6 +411,7 @@ class Lake:
         lookback=None,
         full_refresh: bool = False,
         keys_stay: bool = False,
+        buckets: int | None = None,
     ) -> RunResult:
         """Bring ``table`` up to date from ``source``.
 
@@ -388,7 +441,8 @@ class Lake:
                     stats = self._merge(table, batch, unique_key, order_by, partition_by, keys_stay)
                 else:
                     last = keep_last(_storable(batch, partition_by), unique_key, order_by)
-                    written, _ = self._create(table, last, partition_by, unique_key)
+                    by = unique_key if buckets else ()
+                    written, _ = self._create(table, last, partition_by, unique_key, buckets=buckets, bucket_by=by)
                     stats = {"inserted": written, "updated": 0}
             finally:
                 remove(self.spark, stage)
@@ -409,12 +463,23 @@ class Lake:
 
     def promote(self, table: str, target: Lake, keys: Sequence[str] = (), order_by: Sequence[str] = ()) -> dict[str, int]:
         """Copy a tested table into another workspace: replace it, or upsert by ``keys``."""
-        rows = self.read(table)
+        rows, layout = self.read(table), self.layout(table)
         if keys:
-            return target._merge(table, rows, keys, order_by, self._live(table)["partition_by"])
+            buckets = layout["buckets"] if sorted(layout["bucket_by"]) == sorted(keys) else None
+            return target._merge(table, rows, keys, order_by, layout["partition_by"], buckets=buckets)
         if target.exists(table):
             return {"inserted": target.overwrite(table, rows), "updated": 0}
-        return {"inserted": target.create(table, rows, self._live(table)["partition_by"]), "updated": 0}
+        return {"inserted": target.create(table, rows, **layout), "updated": 0}
+
+    def diff(self, table: str, other: Lake, keys: Sequence[str], columns: Sequence[str] | None = None, unchanged: bool = True) -> DataFrame:
+        """What changed, by key, from this workspace's table to another one's: added, removed, changed, unchanged.
+
+        By checksums; if both are stored in the same buckets of these keys, files of equal buckets are not read again.
+        """
+        mine, theirs = self.layout(table), other.layout(table)
+        same = mine["buckets"] and mine["buckets"] == theirs["buckets"] and mine["bucket_by"] == theirs["bucket_by"] == list(keys)
+        both = [lake.read(table, with_bucket=bool(same)) for lake in (self, other)]
+        return checksum_diff(*both, keys, columns, mine["buckets"] if same else 256, 64, BUCKET if same else None, unchanged)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -438,13 +503,21 @@ def _storable(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.nullif(col(c), F.lit("")) for c in texts}) if texts else df
 
 
+def _bucketed(df: DataFrame, buckets: int | None, bucket_by: Sequence[str] | None) -> DataFrame:
+    return df.withColumn(BUCKET, bucket_of(bucket_by, buckets)) if buckets else df
+
+
 def _widen(schema_json: str, df: DataFrame) -> str:
-    """The stored schema plus columns new in ``df``; a changed type is refused."""
+    """The stored schema plus columns new in ``df``; a type may only become wider, which old files are read as."""
     schema = T.StructType.fromJson(json.loads(schema_json))
+    fields = {f.name: f for f in schema.fields}
     for field in df.schema.fields:
-        if field.name not in schema.fieldNames():
-            schema = schema.add(field.name, field.dataType, True)
-        elif schema[field.name].dataType != field.dataType:
-            raise ValueError(f"{field.name}: table has {schema[field.name].dataType}, batch has {field.dataType}")
-    return schema.json()
-
+        if field.name not in fields:
+            fields[field.name] = T.StructField(field.name, field.dataType, True)
+            continue
+        have = fields[field.name]
+        kind = wider(have.dataType, field.dataType)
+        if kind is None:
+            raise ValueError(f"{field.name}: table has {have.dataType}, batch has {field.dataType}")
+        fields[field.name] = T.StructField(field.name, kind, have.nullable, have.metadata)
+    return T.StructType(list(fields.values())).json()

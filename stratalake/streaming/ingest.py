@@ -53,15 +53,18 @@ def merge_stream(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     partition_by: Sequence[str] = (),
+    buckets: int | None = None,
 ) -> StreamingQuery:
     """Upsert all available data, one micro-batch after the other, then stop.
 
     The greatest row by ``order_by`` stays, so a batch that is repeated after a
-    failure, and several streams into one table, end in the same rows.
+    failure, and several streams into one table, end in the same rows. With
+    ``buckets`` a new table is stored by the hash of its keys, and a micro-batch
+    rewrites the buckets of its keys and not the whole table.
     """
 
     def upsert(batch: DataFrame, _: int) -> None:
-        lake.merge(table, transform(batch), keys, order_by, partition_by, newest_wins=True)
+        lake.merge(table, transform(batch), keys, order_by, partition_by, newest_wins=True, buckets=buckets)
 
     return (
         stream.writeStream.foreachBatch(upsert)

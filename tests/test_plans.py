@@ -9,7 +9,9 @@ EAGER = {
     "partitioned_roundtrip", "stored_upsert", "read_snapshot", "read_overwritten", "table_history",
     "incremental_runs", "stream_upsert", "published_product", "lookback_runs", "full_refresh_run", "compacted_table",
     "promoted_table", "retained_partitions", "lake_tables", "file_inventory", "landing_csv", "landing_json", "parsed_pages",
-    "table_fixtures", "consumed_view",
+    "table_fixtures", "consumed_view", "checksum_diff", "bucketed_upsert", "rebucketed_table", "clustered_table", "monthly_distinct_customers",
+    "widened_table", "parsed_large_files", "parsed_large_stream", "stream_first_per_key", "stream_silence", "appended_stream",
+    "bucketed_stream_upsert", "watermark_history", "hashed_files", "filename_fields",
 }
 
 

@@ -201,3 +201,21 @@ def test_deprecated_products_resolve_but_are_not_listed(shop):
     assert products.list_products(catalog.products(), include_deprecated=True).count() == 1
     assert catalog.available("reporting").isEmpty()
     assert catalog.resolve("kpis")["version"] == "1.0.0"
+
+
+def test_strict_publications_declare_their_schema_changes(spark, shop, rows):
+    lake, catalog = shop
+    lake.create("gold.prices", spark.createDataFrame([(1, 2.0)], "id int, price double"))
+    catalog.publish(lake, "prices", "gold.prices", "1.0.0", strict=True)
+    lake.create("gold.prices", spark.createDataFrame([(1, 2.0, "x")], "id bigint, price double, note string"))
+    with pytest.raises(ValueError, match="patch step after 1.0.0"):
+        catalog.publish(lake, "prices", "gold.prices", "1.0.1", strict=True)
+    catalog.publish(lake, "prices", "gold.prices", "1.1.0", strict=True)
+    lake.create("gold.prices", spark.createDataFrame([(1, "2.0")], "id bigint, price string"))
+    with pytest.raises(ValueError, match="major"):
+        catalog.publish(lake, "prices", "gold.prices", "1.2.0", strict=True)
+    catalog.publish(lake, "prices", "gold.prices", "2.0.0", strict=True)
+    found = rows(catalog.schema_changes("prices"), "version", "path", "change", "level")
+    assert found == [
+        ("1.1.0", "id", "widened", "minor"), ("1.1.0", "note", "added", "minor"), ("2.0.0", "note", "removed", "major"), ("2.0.0", "price", "retyped", "major")
+    ]
