@@ -12,7 +12,7 @@ import struct
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,28 +33,39 @@ def number_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if _is_number(f.dataType)]
 
 
-def _float_key(value: Column) -> Column:
-    """A double's place among all doubles: exponent and fraction as one number, negative ones mirrored; NaN comes last."""
-    size = F.abs(value)
-    guess = F.floor(F.log2(size))
-    part = size / F.pow(F.lit(2.0), guess)
+def order_keys(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """The columns as 64-bit numbers ``k0``, ``k1``, ... that order as they do.
+
+    A double becomes its place among all doubles: exponent and fraction as one number, negative ones mirrored; NaN comes
+    last. Each step is a projection of its own, so that nothing is computed twice.
+    """
+    floats = [i for i, f in enumerate(fields) if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    whole = {}
+    for i, field in enumerate(fields):
+        value = col(field.name)
+        if i in floats:
+            whole[f"v{i}"] = value.cast("double")
+        elif isinstance(field.dataType, T.DecimalType):
+            whole[f"k{i}"] = (value.cast(f"decimal(38,{field.dataType.scale})") * F.lit(10**field.dataType.scale)).cast("long")
+        else:
+            whole[f"k{i}"] = value.cast("long")
+    out = df.select(*[c.alias(n) for n, c in whole.items()])
+    two = F.lit(2.0)
+    # Zero, the infinities and NaN have places of their own.
+    size = {i: F.abs(F.col(f"v{i}")) for i in floats}
+    out = out.withColumns({f"s{i}": F.when((size[i] > 0) & (size[i] < float("inf")), size[i]) for i in floats})
+    out = out.withColumns({f"g{i}": F.floor(F.log2(f"s{i}")) for i in floats})
+    out = out.withColumns({f"p{i}": F.col(f"s{i}") / F.pow(two, F.col(f"g{i}")) for i in floats})
     # The logarithm may be off by one next to a power of two.
-    exponent = F.greatest(F.when(part >= 2, guess + 1).when(part < 1, guess - 1).otherwise(guess), F.lit(-1022))
-    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(2**52)).cast("long")
-    key = (exponent + 1023) * F.lit(2**52) + fraction
+    off = {i: F.when(F.col(f"p{i}") >= 2, F.col(f"g{i}") + 1).when(F.col(f"p{i}") < 1, F.col(f"g{i}") - 1).otherwise(F.col(f"g{i}")) for i in floats}
+    out = out.withColumns({f"e{i}": F.when(off[i] < -1022, -1022).otherwise(off[i]) for i in floats})
+    out = out.withColumns({f"f{i}": ((F.col(f"s{i}") / F.pow(two, F.col(f"e{i}")) - 1) * float(2**52)).cast("long") for i in floats})
     top = F.lit(2047 * 2**52)
-    key = F.when(F.isnan(value), top + 1).when(size == float("inf"), top).when(size == 0, F.lit(0).cast("long")).otherwise(key)
-    return F.when(value < 0, -key).otherwise(key)
-
-
-def order_key(field: T.StructField) -> Column:
-    """A 64-bit number that orders as the column does."""
-    value = col(field.name)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return _float_key(value.cast("double"))
-    if isinstance(field.dataType, T.DecimalType):
-        return (value.cast(f"decimal(38,{field.dataType.scale})") * F.lit(10**field.dataType.scale)).cast("long")
-    return value.cast("long")
+    for i in floats:
+        value, key = F.col(f"v{i}"), (F.col(f"e{i}") + 1023) * F.lit(2**52) + F.col(f"f{i}")
+        key = F.when(F.isnan(value), top + 1).when(F.abs(value) == float("inf"), top).when(value == 0, F.lit(0).cast("long")).otherwise(key)
+        out = out.withColumn(f"k{i}", F.when(value < 0, -key).otherwise(key))
+    return out.select(*[f"k{i}" for i in range(len(fields))])
 
 
 def from_key(key: int, kind: T.DataType) -> str:
@@ -80,8 +91,8 @@ def table_quantiles(df: DataFrame, shares: Sequence[float] = QUARTILES, columns:
         raise TypeError(f"not numbers of up to 64 bits: {[f.name for f in kinds if not _is_number(f.dataType)]}")
     if not all(0 < s <= 1 for s in shares):
         raise ValueError("shares must be above 0 and at most 1")
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), order_key(f).alias("key")) for i, f in enumerate(kinds)])
-    keys = df.select(F.explode(pairs).alias("p")).select("p.i", "p.key").where("key is not null") if kinds else None
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("key")) for i in range(len(kinds))])
+    keys = order_keys(df, kinds).select(F.explode(pairs).alias("p")).select("p.i", "p.key").where("key is not null") if kinds else None
 
     # For each column and share: the leading bits found, and the rank that is left among the numbers that share them.
     wanted: dict[tuple[int, float], tuple[int, int]] = {}

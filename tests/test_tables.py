@@ -30,9 +30,10 @@ def test_create_append_overwrite_history(spark, lake, rows):
     assert lake.create("bronze.t", frame(spark, range(1, 11))) == 10
     assert lake.append("bronze.t", frame(spark, range(11, 21))) == 10
     assert lake.read("bronze.t").count() == 20
+    assert sorted((r["run"] == "0", r["row_count"]) for r in lake.writes("bronze.t").collect()) == [(False, 10), (True, 10)]
     assert lake.overwrite("bronze.t", frame(spark, [100, 200])) == 2
     assert lake.read("bronze.t").agg(F.sum("id")).first()[0] == 300
-    assert rows(lake.history("bronze.t"), "version", "operation") == [(1, "create"), (2, "append"), (3, "overwrite")]
+    assert rows(lake.writes("bronze.t"), "run", "row_count") == [("0", 2)]
     lake.drop("bronze.t")
     assert not lake.exists("bronze.t")
     with pytest.raises(ValueError):
