@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalake.functions.columns import col, cols, match_keys
+from stratalake.session import shared_dir
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -37,8 +39,10 @@ def grouped_measures(
 
     By default every counted column is a pass of its own that reads only that
     column and the keys: best for stored, columnar tables. ``one_pass`` reads
-    ``df`` once, as grouping sets, and copies each row per counted column
-    instead: best if ``df`` is itself the result of joins.
+    ``df`` once, stores what is counted and shuffles it once: best if ``df`` is
+    itself the result of joins. Only groups with so many rows that a task should
+    not get one whole are counted as grouping sets, which copy each row per
+    counted column.
     """
     sums, mins, maxs = dict(sums or {}), dict(mins or {}), dict(maxs or {})
     distincts, modes = dict(distincts or {}), dict(modes or {})
@@ -86,8 +90,27 @@ def _per_column(df, keys, plain, fold, distincts, modes) -> DataFrame:
     return merged.groupBy(*cols(keys)).agg(*[F.max(n).alias(n) for n in [*plain, *distincts, *modes]])
 
 
+#: A group with more than this share of all rows is busy; so many may be found.
+BUSY, BUSY_GROUPS = 0.001, 1024
+
+
+def _busy(rows: DataFrame, place: Column) -> list[int]:
+    """The places of groups that hold more than ``BUSY`` of all rows, by a bounded sketch: none is missed that holds 1.5 times as much."""
+    top = F.call_function("approx_top_k", place, F.lit(BUSY_GROUPS), F.lit(4 * BUSY_GROUPS))
+    found = rows.agg(top.alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [r["item"] for r in found["top"] or [] if r["count"] > BUSY * found["n"]]
+
+
+def _counts_as_grouped(kind: T.DataType) -> bool:
+    """Whether sets of such values tell them apart as grouping does."""
+    return kind == T.StringType() or isinstance(kind, (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType))
+
+
 def _in_one_pass(df, keys, plain, fold, distincts, modes) -> DataFrame:
-    """One grouping set per counted column; the first one carries the plain measures."""
+    """Rows are dealt by group and counted where they meet; those of busy groups as grouping sets, spread over all tasks.
+
+    A mode's or a set's memory is bounded by a group that is not busy.
+    """
     counted = [*modes.values(), *distincts.values()]
     values = [f"_v{i}" for i in range(len(counted))]
     rows = df.select(
@@ -95,6 +118,25 @@ def _in_one_pass(df, keys, plain, fold, distincts, modes) -> DataFrame:
         *[col(c).alias(v) for c, v in zip(counted, values)],
         *[v.alias(f"_m_{n}") for n, v in plain.items()],
     )
+    if not keys or not all(_counts_as_grouped(df.schema[c].dataType) for c in counted):
+        return _as_grouping_sets(rows, keys, values, plain, fold, distincts, modes)
+    folder = shared_dir(df.sparkSession, "measured")
+    rows.write.parquet(folder)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(folder)
+    place = F.xxhash64(*cols(keys))
+    busy = _busy(rows, place)
+    spread = rows.where(~place.isin(busy)) if busy else rows
+    out = [fold(n, col(f"_m_{n}")) for n in plain]
+    out += [F.mode(v, True).alias(name) for name, v in zip(modes, values)]
+    out += [F.size(F.collect_set(v)).cast("long").alias(name) for name, v in zip(distincts, values[len(modes) :])]
+    dealt = spread.repartition(*cols(keys)).groupBy(*cols(keys)).agg(*out)
+    if not busy:
+        return dealt
+    return dealt.unionByName(_as_grouping_sets(rows.where(place.isin(busy)), keys, values, plain, fold, distincts, modes))
+
+
+def _as_grouping_sets(rows, keys, values, plain, fold, distincts, modes) -> DataFrame:
+    """One grouping set per counted column; the first one carries the plain measures."""
     by_value = rows.groupingSets([[*cols(keys), col(v)] for v in values], *cols(keys), *cols(values)).agg(
         F.grouping("_v0").alias("_other"),
         F.count(F.lit(1)).alias("_n"),

@@ -37,3 +37,23 @@ def test_quantiles_outside_their_limits_are_found(spark, monkeypatch):
     want = sorted(map(str, quantiles.table_quantiles(df).collect()))
     monkeypatch.setattr(quantiles, "_limits", lambda values, fields, shares: ([100, 100], [[(20, 25), (74, 74)], [(100.0, None)]]))
     assert sorted(map(str, quantiles.table_quantiles(df).collect())) == want
+
+
+# --- measures ----------------------------------------------------------------
+
+
+def test_measures_of_many_groups_and_a_busy_one(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice("abc") if rng.random() < 0.9 else None, rng.randrange(3)) for g in range(1500) for _ in range(3)]
+    rows += [(None if i % 2 else 7, rng.choice("xyz"), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g int, c string, u int")
+    asked = {"sums": {"n": F.lit(1)}, "distincts": {"kinds": "c", "users": "u"}, "modes": {"top": "c"}}
+    got, want = (grouped_measures(df, ["g"], one_pass=one, **asked) for one in (True, False))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema.simpleString() == want.schema.simpleString()
+
+
+def test_measures_shuffle_rows_once(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 5).cast("string").alias("c"))
+    got = grouped_measures(df, ["id"], sums={"n": F.lit(1)}, distincts={"kinds": "c"}, modes={"top": "c"}, one_pass=True)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Expand" not in text
