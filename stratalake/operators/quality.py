@@ -329,17 +329,30 @@ def failing_samples(df: DataFrame, checks: Sequence[Check], columns: Sequence[st
     for i, check in enumerate(by_row):
         mark = F.struct(F.lit(i).alias("i"), F.substring("_hash", -PLACE_DIGITS, PLACE_DIGITS).alias("place"), F.col("_hash").alias("hash"), texts(columns).alias("row"))
         marks.append(F.when(check.violates, mark))
-    for i, check in enumerate(by_value, len(by_row)):
-        known = reduce(lambda a, b: a & b, [col(c).isNotNull() for c in check.unique_on])
-        hashed = digest(check.unique_on)
-        mark = F.struct(F.lit(i).alias("i"), hashed.alias("place"), hashed.alias("hash"), texts(check.unique_on).alias("row"))
-        marks.append(mark if check.nulls_repeat else F.when(known, mark))
+    # Checks of the same columns count their values once; a value's hash is its place and needs no copy.
+    on = list(dict.fromkeys(c.unique_on for c in by_value))
+    known = {names: reduce(lambda a, b: a & b, [col(c).isNotNull() for c in names]) for names in on}
+    for i, names in enumerate(on, len(by_row)):
+        nulls = any(c.nulls_repeat for c in by_value if c.unique_on == names)
+        mark = F.struct(F.lit(i).alias("i"), digest(names).alias("place"), F.lit(None).cast("string").alias("hash"), texts(names).alias("row"))
+        marks.append(mark if nulls else F.when(known[names], mark))
     parts = []
     if marks:
         every = df.withColumn("_hash", digest(columns)).select(F.explode(F.array_compact(F.array(*marks))).alias("m")).select("m.*")
         kept = every.groupBy("i", "place").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("hash", "row")).alias("first"))
         # A value that occurs once breaks nothing.
         kept = kept.where((F.col("i") < len(by_row)) | (F.col("n") > 1))
+        if by_value:
+            # What was counted for some columns goes to each of their checks; a null only to those in which it repeats.
+            cell = {c: F.col(f"first.row.c{shown.index(c)}") for names in on for c in names}
+            whole = {names: reduce(lambda a, b: a & b, [cell[c].isNotNull() for c in names]) for names in on}
+            to = []
+            for j, check in enumerate(by_value, len(by_row)):
+                mine = F.col("i") == len(by_row) + on.index(check.unique_on)
+                to.append(F.when(mine if check.nulls_repeat else mine & whole[check.unique_on], j))
+            targets = F.when(F.col("i") < len(by_row), F.array("i")).otherwise(F.array_compact(F.array(*to)))
+            first = F.struct(F.coalesce("first.hash", "place").alias("hash"), F.col("first.row").alias("row")).alias("first")
+            kept = kept.select(F.explode(targets).alias("i"), "place", "n", first)
         order = Window.partitionBy("i").orderBy("first.hash", "place")
         top = kept.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
         names = F.array(*[F.lit(c) for c in shown])

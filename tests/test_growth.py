@@ -57,3 +57,18 @@ def test_measures_shuffle_rows_once(spark):
     got = grouped_measures(df, ["id"], sums={"n": F.lit(1)}, distincts={"kinds": "c"}, modes={"top": "c"}, one_pass=True)
     text = got._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "Expand" not in text
+
+
+# --- failing samples ---------------------------------------------------------
+
+
+def test_checks_of_the_same_columns_count_once(spark, monkeypatch):
+    hashes, md5 = [], F.md5
+    monkeypatch.setattr(F, "md5", lambda c: hashes.append(c) or md5(c))
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), ("b", 5)], "k string, n int")
+    found = q.failing_samples(df, [q.unique("k"), q.unique("k", nulls_repeat=True, severity="warn"), q.unique("k", "n")], ["n"])
+    # The shown columns, and each set of columns that is to be unique.
+    assert len(hashes) == 3
+    assert sorted((r["severity"], r["position"], r["occurrences"], r["row"].get("k")) for r in found.collect()) in (
+        [("error", 1, 2, "a"), ("warn", 1, 2, "a"), ("warn", 2, 2, None)], [("error", 1, 2, "a"), ("warn", 1, 2, None), ("warn", 2, 2, "a")]
+    )
