@@ -853,7 +853,8 @@ def landing_json(spark, path):
 def parsed_pages(spark, path):
     """Pages landed as files of any format, read by a registered parser on the executors."""
     folder = shared_dir(spark, "landing-pages")
-    table(spark, path, "pages").select("page_id", "url", "html").repartition(4, "page_id").write.json(folder)
+    # A file reaches the parser as a whole: more pages make more files, not larger ones.
+    table(spark, path, "pages").select("page_id", "url", "html").write.option("maxRecordsPerFile", 1000).json(folder)
 
     def parse(content, name):
         import json

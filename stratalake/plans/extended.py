@@ -256,9 +256,9 @@ PAGE = "page_id bigint, url string, html string"
 
 @query
 def parsed_large_files(spark, path):
-    """All pages landed as one file, which a registered record parser reads in pieces."""
+    """All pages landed as large files, one per task that reads them, which a registered record parser reads in pieces."""
     folder = shared_dir(spark, "large-file")
-    table(spark, path, "pages").select("page_id", "url", "html").coalesce(1).write.json(folder)
+    table(spark, path, "pages").select("page_id", "url", "html").write.json(folder)
     register_records(spark, "page_records", _page, PAGE)
     pages = spark.read.format("page_records").option("pieceBytes", 200_000).load(folder)
     return pages.select("page_id", "url", "html", (F.col("_offset") >= 0).alias("placed"))
@@ -270,7 +270,7 @@ def parsed_large_stream(spark, path):
     folder, pages = shared_dir(spark, "record-stream"), table(spark, path, "pages").select("page_id", "url", "html")
     register_records(spark, "page_records", _page, PAGE)
     for number in (0, 1):
-        pages.where(F.col("page_id") % 2 == number).coalesce(1).write.mode("append").json(f"{folder}/in")
+        pages.where(F.col("page_id") % 2 == number).write.mode("append").json(f"{folder}/in")
         stream = spark.readStream.format("page_records").option("pieceBytes", 200_000).load(f"{folder}/in")
         append_stream(stream.drop("_source_file", "_offset"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(PAGE).parquet(f"{folder}/out")

@@ -72,3 +72,37 @@ def test_checks_of_the_same_columns_count_once(spark, monkeypatch):
     assert sorted((r["severity"], r["position"], r["occurrences"], r["row"].get("k")) for r in found.collect()) in (
         [("error", 1, 2, "a"), ("warn", 1, 2, "a"), ("warn", 2, 2, None)], [("error", 1, 2, "a"), ("warn", 1, 2, None), ("warn", 2, 2, "a")]
     )
+
+
+# --- landed files ----------------------------------------------------
+
+
+def _pages(spark, folder, n):
+    rows = spark.range(n, numPartitions=3).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.lit("<p>").alias("html"))
+    rows.write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def _lines(folder):
+    return [len(f.read_text().splitlines()) for f in folder.rglob("part-*.json")]
+
+
+def test_parsed_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    found = catalogue.parsed_pages(spark, _pages(spark, tmp_path, 4500))
+    assert found.select("page_id").distinct().count() == found.count() == 4500
+    assert max(_lines(tmp_path / "landing-pages")) <= 1000
+
+
+def test_large_files_are_landed_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(extended, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    path = _pages(spark, tmp_path, 30)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        assert extended.parsed_large_files(spark, path).count() == 30
+        assert extended.parsed_large_stream(spark, path).count() == 30
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(n > 0 for n in _lines(tmp_path / "large-file")) >= 3
+    assert sum(n > 0 for n in _lines(tmp_path / "record-stream" / "in")) >= 6
