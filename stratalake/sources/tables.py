@@ -370,7 +370,7 @@ class Lake:
         df = self._scan(table, entry)
         parts = entry["partition_by"]
         if not parts:
-            df = df.repartition(files) if files else df.hint("rebalance")
+            df = _in_files(df, files) if files else df.hint("rebalance")
         return self._create(table, df.drop(BUCKET), unique_key=entry["unique_key"], **self._like(entry))[0]
 
     def cluster(self, table: str, columns: Sequence[str], files: int) -> int:
@@ -507,6 +507,14 @@ def _bucketed(df: DataFrame, buckets: int | None, bucket_by: Sequence[str] | Non
     return df.withColumn(BUCKET, bucket_of(bucket_by, buckets)) if buckets else df
 
 
+def _in_files(df: DataFrame, files: int) -> DataFrame:
+    """A scan's rows in so many files: its tasks are joined, so that stored files are read where they are written again.
+
+    A scan of fewer tasks is dealt anew.
+    """
+    return df.coalesce(files) if df.rdd.getNumPartitions() >= files else df.repartition(files)
+
+
 def _widen(schema_json: str, df: DataFrame) -> str:
     """The stored schema plus columns new in ``df``; a type may only become wider, which old files are read as."""
     schema = T.StructType.fromJson(json.loads(schema_json))

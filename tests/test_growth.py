@@ -106,3 +106,13 @@ def test_large_files_are_landed_by_all_tasks(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(n > 0 for n in _lines(tmp_path / "large-file")) >= 3
     assert sum(n > 0 for n in _lines(tmp_path / "record-stream" / "in")) >= 6
+
+
+# --- compaction --------------------------------------------------------------
+
+
+def test_compaction_reads_files_where_it_writes_them(spark):
+    many, one = (spark.range(100, numPartitions=n) for n in (5, 1))
+    assert "Repartition 2, false" in plan(tables._in_files(many, 2))
+    for df in (many, one):
+        assert tables._in_files(df, 2).rdd.getNumPartitions() == 2
