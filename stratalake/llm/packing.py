@@ -31,6 +31,8 @@ PIECES = (
 )
 #: Texts of these characters alone are split alike by every Unicode version; others go through `tokenizers` whole.
 _PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-ɏ]*")
+#: Where words depend on the white space around them.
+_GAPS = ("\t", "\r", "  ", " \n", "\n ", "\n\n")
 _WORDS = 300_000
 _loaded: dict[tuple[str, int], Encoder] = {}
 
@@ -50,7 +52,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = [t["content"] for t in spec["added_tokens"]]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = special
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -66,9 +68,9 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return self.end
-        if not _PLAIN.fullmatch(text) or self.special and self.special.search(text):
+        if not _PLAIN.fullmatch(text) or any(token in text for token in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
-        if re.search(r"[\t\r]|[ \n][ \n]|^[ \n]|[ \n]\Z", text):
+        if text[0] in " \n" or text[-1] in " \n" or any(gap in text for gap in _GAPS):
             return self.plain(text) + self.end
         # Between single spaces and line feeds words don't depend on each other.
         parts = []

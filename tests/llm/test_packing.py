@@ -85,3 +85,10 @@ def test_placements_cover_every_piece():
 def test_power_of_two_is_not_padded(spark):
     packed = spark.createDataFrame([(0, 1024), (1, 1000), (2, 1024), (2, 1024)], "sequence_id long, length long")
     assert tuple(packing.padding(packed).first()) == (3, 4072, 1048)
+
+
+def test_white_space_next_to_words_as_the_tokenizer_has_it():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.Encoder(path, 1)
+    for text in (" a b", "a b ", "a  b", "a \nb", "a\n b", "a\n\nb", "\na b", "a b\n", "a\tb", "a\rb", "a b\nc d", "a<|endoftext|>b", "a", " "):
+        assert encoder.ids(text) == np.array([*encoder.whole.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
