@@ -55,7 +55,17 @@ def plain_values(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     return df.select(*out)
 
 
-def order_keys(rows: DataFrame) -> DataFrame:
+def order_keys(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
+    """The columns as 64-bit numbers ``k0``, ``k1``, ... that order as they do."""
+    out = plain_values(df, fields)
+    for i, field in enumerate(fields):
+        value, whole, real = F.col(f"v{i}"), F.lit(None).cast("long"), F.lit(None).cast("double")
+        whole, real = (whole, value) if _is_float(field) else (value, real)
+        out = _with_keys(out.withColumns({"whole": whole, "real": real})).withColumnRenamed("key", f"k{i}")
+    return out.select(*[f"k{i}" for i in range(len(fields))])
+
+
+def _with_keys(rows: DataFrame) -> DataFrame:
     """``key`` in place of ``whole`` and ``real`` (one of them is null): a 64-bit number that orders as they do.
 
     A double becomes its place among all doubles: exponent and fraction as one number, negative ones mirrored; NaN comes
@@ -143,7 +153,7 @@ def _slots(values: DataFrame, fields: Sequence[T.StructField], intervals: list[l
 
 def _kept(rows: DataFrame) -> DataFrame:
     """The rows with their keys, stored: each of the histograms reads them again."""
-    keys, place = order_keys(rows), shared_dir(rows.sparkSession, "quantiles")
+    keys, place = _with_keys(rows), shared_dir(rows.sparkSession, "quantiles")
     keys.write.parquet(place)
     return rows.sparkSession.read.schema(keys.schema).parquet(place)
 
