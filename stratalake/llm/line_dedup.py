@@ -30,15 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from stratalake.llm.tables import stored
-from stratalake.llm.words import as_bytes, hash_words, list_column, mix, slices
+from stratalake.llm.tables import drop_part, stored, stored_by
+from stratalake.llm.words import as_bytes, distinct, hash_words, list_column, mix, slices
 
 CELLS = 1 << 22
-COMMON = 256
+COMMON = 1024
 _HASH_BITS = np.uint64((1 << 40) - 1)
 
-LINE = "doc_id long, copy long, line int, n int, id long, set2 long, sign1 long, sign2 long, at int, word long, common boolean"
+#: Rows of three kinds: a line (`EVERY`), an entry of a common word's list (`HEAVY`), and the entries of other lists for a
+#: part of the words, packed (kind: the turn that joins them).
+LINE = "kind int, doc_id long, copy long, line int, n int, id long, set2 long, word long, at int, sign1 long, sign2 long, part int, data binary"
+_LINE = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in LINE.split(", ")])
+EVERY, HEAVY = -1, -2
+ENTRY, KINDS = ("word", "id", "n", "at", "sign1", "sign2"), (np.int64, np.int64, np.int32, np.int32, np.uint64, np.uint64)
 KNOWN, TURNS = 300_000, 6
+#: Cells whose counts travel as one row; words of text per part of the lists; entries that a task packs at a time; pairs
+#: that are looked at together.
+BLOCK, PART, HELD, PAIRS = 1 << 16, 1 << 19, 1 << 17, 1 << 20
 
 
 class Lines:
@@ -54,13 +62,13 @@ class Lines:
         rank = np.zeros(len(word), np.uint64) if rarity is None else rarity[_cell(word)].astype(np.uint64)
         self.n_lines = len(breaks) + 1
         # Lines with words, numbered as they come, so that line, rank and word fit 64 bits.
-        self.numbers, dense = np.unique(line, return_inverse=True)
+        new = np.concatenate(([True], line[1:] != line[:-1]))[: len(line)]
+        self.numbers, dense = line[new], np.cumsum(new) - 1
         parts = []
         cuts = np.searchsorted(dense, np.arange(0, len(self.numbers) + (1 << 16), 1 << 16))
         for block, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             key = ((dense[a:b] - (block << 16)).astype(np.uint64) << np.uint64(48)) | (rank[a:b] << np.uint64(40)) | word[a:b]
-            key = np.unique(key)
-            parts.append((block, key))
+            parts.append((block, distinct(key)))
         self.line = np.concatenate([(k >> np.uint64(48)).astype(np.int64) + (b << 16) for b, k in parts] or [np.zeros(0, np.int64)])
         self.rank = np.concatenate([(k >> np.uint64(40)).astype(np.uint8) for _, k in parts] or [np.zeros(0, np.uint8)])
         self.word = np.concatenate([k & _HASH_BITS for _, k in parts] or [np.zeros(0, np.uint64)])
@@ -88,29 +96,75 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _counts(docs: DataFrame, work, cells: int) -> np.ndarray:
-    """Counts per cell over all documents, on a logarithmic scale; `work` gives the cells that some texts add to."""
+def _counts(docs: DataFrame, work, cells: int) -> tuple[np.ndarray, int]:
+    """Counts per cell over all documents, on a logarithmic scale, and their sum; `work` gives the cells that some texts add to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(cells, np.uint32)
+        count, held, waiting = np.zeros(cells, np.int64), [], 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                at = work(as_bytes(part.column("text")))
-                if len(at):
-                    found, n = np.unique(at, return_counts=True)
-                    count[found] += n.astype(np.uint32)
-        some = np.flatnonzero(count)
-        for start in range(0, len(some), 1 << 18):
-            piece = some[start : start + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(count[piece].astype(np.int64))], ["cell", "n"])
-
-    summed = _narrow(docs).mapInArrow(rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    # One byte per cell tells all that is needed: a count's size on a logarithmic scale.
-    level = F.least(F.lit(255), F.floor(8 * F.log2(F.col("n").cast("double")))).cast("short").alias("level")
-    table = np.full(cells, 0, np.uint8)
-    for batch in summed.select("cell", (level + 1).cast("short").alias("level")).toArrow().to_batches():
-        table[batch.column("cell").to_numpy()] = np.minimum(batch.column("level").to_numpy(), 255).astype(np.uint8)
-    return table
+                held.append(work(as_bytes(part.column("text"))))
+                waiting += len(held[-1])
+                if waiting > cells:
+                    count += np.bincount(np.concatenate(held), minlength=cells)
+                    held, waiting = [], 0
+        if held:
+            count += np.bincount(np.concatenate(held), minlength=cells)
+        # A row holds the counts of a range of cells: places in it, then counts.
+        for block in range(0, cells, BLOCK):
+            some = np.flatnonzero(count[block : block + BLOCK])
+            if len(some):
+                data = _pack([some.astype(np.uint32), count[block + some]])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, pieces in _by_part(batches, "block"):
+            count = np.zeros(BLOCK, np.int64)
+            for piece in pieces:
+                some, n = _unpack(piece, (np.uint32, np.int64))
+                count[some] += n
+            # One byte per cell tells all that is needed: a count's size on a logarithmic scale.
+            level = np.minimum(np.floor(8 * np.log2(np.maximum(count, 1))) + 1, 255).astype(np.uint8) * (count > 0)
+            columns = [pa.array([block], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(count.sum())], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "level", "n"])
+
+    blocks = _narrow(docs).mapInArrow(rows, "block int, data binary").repartition("block").sortWithinPartitions("block")
+    table, total = np.zeros(cells, np.uint8), 0
+    for r in blocks.mapInArrow(summed, "block int, level binary, n long").collect():
+        level = np.frombuffer(r.level, np.uint8)[: cells - r.block]
+        table[r.block : r.block + len(level)] = level
+        total += r.n
+    return table, total
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers as bytes, first all lowest bytes of a column, so that its leading zeros compress."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    """The columns that `_pack` took."""
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n, start, columns = len(data) // sum(widths), 0, []
+    for kind, width in zip(kinds, widths, strict=True):
+        piece = np.frombuffer(data, np.uint8, n * width, start).reshape(width, n)
+        columns.append(np.ascontiguousarray(piece.T).view(kind).ravel())
+        start += n * width
+    return columns
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The data of each part of rows sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for part, data in zip(batch.column(column).to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append(data)
+    if held:
+        yield now, held
 
 
 def _level(n: int) -> int:
@@ -124,11 +178,13 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     def all_words(texts):
         return _cell(hash_words(texts)[0] >> np.uint64(24))
 
-    rarity = context.broadcast(_counts(docs, all_words, CELLS))
+    table, total = _counts(docs, all_words, CELLS)
+    rarity, single, common = context.broadcast(table), _level(1), _level(COMMON)
+    parts = TURNS * (1 + total // (TURNS * PART))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "copy", "line", "n", "id", "set2", "sign1", "sign2", "at", "word", "common"]
         known: set[int] = set()
+        held, waiting = [], 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = as_bytes(part.column("text"))
@@ -150,31 +206,100 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
                         new[i] = True
                         if len(known) < KNOWN:
                             known.add(name)
-                listed = np.flatnonzero(found.prefix(similarity) & (found.rank > _level(1)) & np.repeat(new, found.size))
-                line, of = found.text[use], found.line[listed]
+                listed = np.flatnonzero(found.prefix(similarity) & (found.rank > single) & np.repeat(new, found.size))
+                line = found.text[use]
                 ids = part.column("doc_id").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in line.tolist()], pa.int64()),
-                        pa.array(np.array([hash_text(t) for t in texts], np.int64)[line]),
-                        pa.array(found.within[use].astype(np.int32)), pa.array(found.size[use].astype(np.int32)),
-                        pa.array(one[use]), pa.array(two[use]), *(pa.nulls(len(use), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())),
-                    ],
-                    names,
+                yield _rows(
+                    EVERY, len(use), doc_id=pa.array([ids[i] for i in line.tolist()], pa.int64()), copy=np.array([hash_text(t) for t in texts], np.int64)[line],
+                    line=found.within[use].astype(np.int32), n=found.size[use].astype(np.int32), id=one[use], set2=two[use],
                 )
-                if len(listed):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(pa.nulls(len(listed), t) for t in (pa.int64(), pa.int64(), pa.int32())), pa.array(found.size[of].astype(np.int32)),
-                            pa.array(one[of]), pa.nulls(len(listed), pa.int64()), *(pa.array(sign[of]) for sign in signs),
-                            pa.array(found.at[listed].astype(np.int32)), pa.array(found.word[listed].view(np.int64)), pa.array(found.rank[listed] > _level(COMMON)),
-                        ],
-                        names,
-                    )
+                busy = found.rank[listed] > common
+                for some, heavy in ((listed[busy], True), (listed[~busy], False)):
+                    of = found.line[some]
+                    entries = [found.word[some].view(np.int64), one[of], found.size[of].astype(np.int32), found.at[some].astype(np.int32), *(sign[of] for sign in signs)]
+                    if not heavy:
+                        held.append(entries)
+                        waiting += len(some)
+                    elif len(some):
+                        yield _rows(HEAVY, len(some), **dict(zip(ENTRY, entries, strict=True)))
+                if waiting > HELD:
+                    yield _dealt(held, parts)
+                    held, waiting = [], 0
+        if waiting:
+            yield _dealt(held, parts)
 
     return _narrow(docs).mapInArrow(rows, LINE)
 
 
+def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
+    """A batch of `LINE` of one kind; columns that are not given are null."""
+    arrays = [columns[f.name] if f.name in columns else pa.nulls(count, f.type) for f in _LINE]
+    arrays = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, _LINE, strict=True)]
+    arrays[_LINE.get_field_index("kind")] = pa.array(np.full(count, kind, np.int32))
+    return pa.RecordBatch.from_arrays(arrays, schema=_LINE)
+
+
+def _dealt(held: list, parts: int) -> pa.RecordBatch:
+    """Entries of lists, one row for each part of the words."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    part = (columns[0] % parts).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    columns, part = [c[order] for c in columns], part[order]
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    data = pa.array([_pack([c[a:b] for c in columns]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+    part = part[edges[:-1]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part % TURNS) if f.name == "kind" else pa.array(part) if f.name == "part" else data if f.name == "data" else pa.nulls(len(part), f.type) for f in _LINE],
+        schema=_LINE,
+    )
+
+
+def meeting(similarity: float):
+    """For `mapInArrow` over rows (part, data) sorted by part: candidate pairs (a, b) of classes that share a listed word.
+
+    The filters are those of `_close`. Lists are sorted by the sets' sizes, so a class only meets those that may fit its size.
+    """
+
+    def pairs_of(pieces: list[bytes]) -> Iterator[np.ndarray]:
+        word, name, n, at, one, two = (np.concatenate(c) for c in zip(*(_unpack(p, KINDS) for p in pieces), strict=True))
+        order = np.lexsort((name, n, word))
+        word, name, n, at, one, two = (c[order] for c in (word, name, n, at, one, two))
+        # Several tasks may have listed a class.
+        new = np.concatenate(([True], (word[1:] != word[:-1]) | (name[1:] != name[:-1])))
+        word, name, n, at, one, two = (c[new] for c in (word, name, n, at, one, two))
+        group = np.cumsum(np.concatenate(([False], word[1:] != word[:-1])))
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        share = similarity / (1 + similarity)
+        # The first shared word stands here: the smaller set still has room for what both must share.
+        most = np.minimum(np.floor(n / similarity + 1e-9), np.floor((n - at) / share - n + 1e-6)).astype(np.int64)
+        stop = np.searchsorted(group << 32 | n, group << 32 | np.maximum(most, 0), side="right")
+        meets = np.maximum(stop - np.arange(len(n)) - 1, 0)
+        total = np.concatenate(([0], np.cumsum(meets)))
+        start = 0
+        while start < len(n):
+            end = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS, side="right")) - 1)
+            x = np.repeat(np.arange(start, end), meets[start:end])
+            y = x + 1 + np.arange(len(x)) - (total[x] - total[start])
+            need = np.ceil((n[x] + n[y]) * share - 1e-9).astype(np.int64)
+            fits = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
+            x, y, need = x[fits], y[fits], need[fits]
+            differ = np.bitwise_count(one[x] ^ one[y]).astype(np.int64) + np.bitwise_count(two[x] ^ two[y])
+            fits = (differ <= n[x] + n[y] - 2 * need) & (n[x] >= similarity * n[y] - 1e-9)
+            x, y = name[x[fits]], name[y[fits]]
+            yield np.stack((np.minimum(x, y), np.maximum(x, y)))
+            start = end
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in _by_part(batches, "part"):
+            found = np.concatenate(list(pairs_of(pieces)), axis=1)
+            found = found[:, np.lexsort(found)]
+            found = found[:, np.concatenate(([True], (found[:, 1:] != found[:, :-1]).any(axis=0)))[: found.shape[1]]]
+            if found.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    return rows
+
+
 def some_rows(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """Rows of docs (doc_id, text) whose doc_id may be among ids (a column doc_id), by a bitmap of fixed size.
 
@@ -213,7 +338,7 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     for copy_wanted, line in {(x["copy"], x["line"]) for x in lines}:
                         if copy_wanted == copy:
                             ids.append((doc, copy, line))
-                            sets.append(np.unique(hash_words([split[line]])[0]).view(np.int64))
+                            sets.append(distinct(hash_words([split[line]])[0]).view(np.int64))
                 columns = list(zip(*ids, strict=True)) or [()] * 3
                 kinds = (pa.int64(), pa.int64(), pa.int32())
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
@@ -225,14 +350,16 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _close(similarity: float):
-    """The filters of the join of x and y: length, position, and the bound that the bitmaps give."""
+    """The filters of the join of x and y: length, position, and the bound that the bitmaps give.
+
+    Similar sets meet in the first word that they share, where both have room for all that they must share.
+    """
     n_x, n_y = F.col("x.n"), F.col("y.n")
     need = F.ceil((n_x + n_y) * (similarity / (1 + similarity)) - 1e-9)
     after = F.least(n_x - F.col("x.at"), n_y - F.col("y.at"))
     differ = sum(F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in ("sign1", "sign2"))
     return (
-        (F.least(n_x, n_y) >= similarity * F.greatest(n_x, n_y) - 1e-9)
-        & (after + F.least(F.col("x.at"), F.col("y.at")) >= need) & (differ <= n_x + n_y - 2 * need)
+        (F.least(n_x, n_y) >= similarity * F.greatest(n_x, n_y) - 1e-9) & (after >= need) & (differ <= n_x + n_y - 2 * need)
     )
 
 
@@ -261,15 +388,14 @@ def _later(docs: DataFrame, pairs: DataFrame, classes: DataFrame, similarity: fl
 
 def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) -> DataFrame:
     """Lines to remove: doc_id, copy (which text, if a doc_id has several), line (from 0)."""
-    table = stored(lists(docs, similarity, least), "lines")
+    table = stored_by(lists(docs, similarity, least), "lines", ["kind"])
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy", "line").alias("place")
     keys = ["id", "set2", "n"]
-    every = table.filter("word is null").select(*keys, place)
+    every = table.filter(F.col("kind") == EVERY).select(*keys, place)
     classes = stored(every.groupBy(*keys).agg(F.min("place").alias("first")), "classes")
-    entries = table.filter("word is not null").select("word", "id", "n", "at", "sign1", "sign2", "common")
 
     # A common word's classes: all against the earliest, then what is left against all.
-    busy = entries.filter("common").groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign1", "sign2")])
+    busy = table.filter(F.col("kind") == HEAVY).groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign1", "sign2")])
     busy = stored(busy.join(classes.groupBy("id").agg(F.min("first").alias("first")), "id"), "busy")
     pivots = busy.groupBy("word").agg(F.min_by(F.struct("id", "n", "at", "sign1", "sign2"), "first").alias("p")).select("word", "p.*")
     early = stored(_meet(pivots, busy, F.col("x.id") != F.col("y.id"), similarity), "early")
@@ -279,13 +405,13 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     open_pair = (F.col("x.id") != F.col("y.id")) & (F.col("y.over") | (F.col("x.id") < F.col("y.id")))
     left_over = _meet(busy.filter(~F.col("over")), busy, open_pair, similarity)
 
-    # Other words stand in few lines: all their classes meet.
-    light = entries.filter(~F.col("common")).select("word", "id", "n", "at", "sign1", "sign2")
+    # Other words stand in few lines: all their classes meet, in tasks that hold the lists of some words.
     found = [stored(left_over, "pairs")]
     for turn in range(TURNS):
-        # Words take turns, so that the lists on disk at a time are a part of all.
-        part = light.filter(F.pmod("word", F.lit(TURNS)) == turn)
-        found.append(stored(_meet(part, part, F.col("x.id") < F.col("y.id"), similarity), "pairs"))
+        # Words take turns, so that few lists are shuffled at a time; those that have been joined are dropped.
+        part = table.filter(F.col("kind") == turn).select("part", "data").repartition("part").sortWithinPartitions("part")
+        found.append(stored(part.mapInArrow(meeting(similarity), "a long, b long"), "pairs"))
+        drop_part(table, "kind", turn)
     pairs = reduce(lambda a, b: a.union(b), found).distinct().join(early, ["a", "b"], "left_anti")
     pairs = stored(pairs, "pairs")
     gone = done.union(_later(docs, pairs, classes, similarity)).distinct().withColumnRenamed("id", "gone").withColumnRenamed("first", "at_place")

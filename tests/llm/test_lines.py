@@ -82,3 +82,30 @@ def test_query_and_stage_take_short_lines(spark, docs, tmp_path):
     kept = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs(rows), str(tmp_path)).collect()}
     cut = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
     assert kept == {i: t for i, t in cut.items() if t.strip() or not want[i]}
+
+
+def test_common_words_and_small_parts(docs, monkeypatch):
+    """Lists of common words beside packed ones, in many parts of few words, against brute force."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(80)}" for _ in range(rng.randrange(1, 40))] for _ in range(12)]
+    rows = []
+    for i in range(90):
+        text = []
+        for line in rng.choices(base, k=5):
+            line = list(line)
+            for _ in range(rng.randrange(4)):
+                line[rng.randrange(len(line))] = f"n{rng.randrange(60)}"
+            text.append(" ".join(line[: rng.randrange(len(line) // 2, len(line)) + 1]))
+        rows.append((i, "\n".join(text)))
+    want = brute(rows, least=1)
+    for common, part in ((1024, 1 << 19), (20, 50)):
+        monkeypatch.setattr(line_dedup, "COMMON", common)
+        monkeypatch.setattr(line_dedup, "PART", part)
+        assert result(line_dedup.dedup_lines(docs(rows), least=1)) == want
+
+
+def test_lists_are_packed(table):
+    """Entries of the lists take few rows, and about 32 bytes each, however many lines there are."""
+    found = line_dedup.lists(table("documents"), 0.75, 1)
+    lines, rows, entries = found.selectExpr("count_if(kind = -1)", "count_if(kind >= 0)", "sum(octet_length(data)) / 40").first()
+    assert entries > 2 * lines and rows < lines / 4
