@@ -23,17 +23,20 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.llm.tables import components, stored
-from stratalake.llm.words import as_bytes, fingerprint, list_column, shingle_sets, slices
+from stratalake.llm.words import as_bytes, fingerprint, list_column, mix, shingle_sets, slices
 
 #: The share of a sketch that similar sets have in common: with k = 64, four standard deviations below 0.75. For sets
 #: that are smaller than their sketch it is below what a similarity of 0.75 implies.
 NEED = 0.53
 #: The same for the larger sketch that decides which pairs of a long list are worth their full sets.
 FINE, NEED_FINE = 256, 0.63
+#: Bits that tell most pairs apart which such a sketch would not pass.
+BITS = 1024
 
 
 def sketches(docs: DataFrame, k: int = 64) -> DataFrame:
@@ -103,6 +106,25 @@ def promising(a: str, b: str, n_a: str, n_b: str, k: int, percent: int, need: fl
     return sizes & enough & F.when(F.greatest(n_a, n_b) <= k, exact).otherwise(estimate)
 
 
+def with_bits(fine: DataFrame) -> DataFrame:
+    """The rows with `BITS` more bits of the sketch `fine`, as longs b0, b1, ...: whether an odd number of its values fall on each."""
+    names = [f"b{i}" for i in range(BITS // 64)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1 << 10):
+                part = batch.slice(start, 1 << 10)
+                lists = part.column("fine")
+                row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                place = mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(BITS)
+                odd = np.bincount(row * BITS + place.astype(np.int64), minlength=len(lists) * BITS) & 1
+                bits = np.packbits(odd.astype(np.uint8).reshape(len(lists), BITS), axis=1, bitorder="little").view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *names])
+
+    return fine.mapInArrow(rows, ", ".join(["rep long, component long, n_shingles int, fine array<long>", *(f"{n} long" for n in names)]))
+
+
 def refined(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Lists (value, rep, component) over the `FINE` least values, and those sketches (rep, n_shingles, fine).
 
@@ -113,7 +135,7 @@ def refined(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     fine = sets.join(reps, sets["doc_id"] == reps["rep"]).select(
         "rep", "component", F.size("shingles").alias("n_shingles"), F.slice(F.array_sort("shingles"), 1, FINE).alias("fine")
     )
-    fine = stored(fine, "fine")
+    fine = stored(with_bits(fine), "fine")
     need = F.when(F.col("kept") < FINE * percent // 100, percent / 100 - 1e-9).otherwise(NEED_FINE)
     found = inverted_lists(fine.select("rep", F.col("fine").alias("sketch")), need).join(reps, "rep")
     return stored(found.select("value", "rep", "component"), "refined"), fine
@@ -130,13 +152,19 @@ def cross_pairs(lists: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     lists = lists.join(main.filter("parts > 1").drop("parts"), "value")
     own = lists.groupBy("rep").agg(F.collect_set("value").alias("open"))
     rich = stored(lists.join(own, "rep").join(fine.drop("component"), "rep"), "rich")
-    names = ("rep", "component", "open", "n_shingles", "fine")
+    bits = [f"b{i}" for i in range(BITS // 64)]
+    names = ("rep", "component", "open", "n_shingles", "fine", *bits)
     a = rich.filter("component <> main").select("value", *[F.col(c).alias(f"{c}_a") for c in names])
     b = rich.select("value", "main", *[F.col(c).alias(f"{c}_b") for c in names])
     once = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b")))
     first = F.array_min(F.array_intersect("open_a", "open_b"))
     close = promising("fine_a", "fine_b", "n_shingles_a", "n_shingles_b", FINE, percent, NEED_FINE)
-    pairs = a.join(b, (a["value"] == b["value"]) & once & ~(first < a["value"]) & close)
+    # Cheap tests that `close` implies, before any array is compared: sizes, and bits that differ.
+    sizes = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    differ = sum(F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits)
+    size_a, size_b = F.size("fine_a"), F.size("fine_b")
+    near = differ <= size_a + size_b - 2 * F.ceil(F.least(size_a, size_b) * NEED_FINE)
+    pairs = a.join(b, (a["value"] == b["value"]) & once & sizes & near & ~(first < a["value"]) & close)
     return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
 
 

@@ -68,3 +68,18 @@ def test_word_hashes_do_not_depend_on_blocks():
     ids = dict(zip((x for t in texts for x in words(t)), hashes.tolist()))
     assert [ids[x] for t in texts for x in words(t)] == hashes.tolist()
     assert len(set(ids.values())) == len(ids)
+
+
+def test_bits_tell_sketches_apart(spark):
+    """The bits that differ are never more than the values that do, and many between sketches that share little."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(256)]
+    fines = [base, base[:250] + [rng.getrandbits(63) for _ in range(6)], [rng.getrandbits(63) for _ in range(256)], base[:3], []]
+    rows = [(i, i, len(x), x) for i, x in enumerate(fines)]
+    found = bottom_k.with_bits(spark.createDataFrame(rows, "rep long, component long, n_shingles int, fine array<long>")).collect()
+    bits = {r.rep: [r[f"b{i}"] for i in range(bottom_k.BITS // 64)] for r in found}
+    differ = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(bits[a], bits[b]))
+    for a in range(5):
+        for b in range(5):
+            assert differ(a, b) <= len(set(fines[a]) ^ set(fines[b]))
+    assert differ(0, 1) > 0 and differ(0, 2) > 512 - 2 * 0.63 * 256
