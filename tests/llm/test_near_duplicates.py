@@ -83,3 +83,22 @@ def test_bits_tell_sketches_apart(spark):
         for b in range(5):
             assert differ(a, b) <= len(set(fines[a]) ^ set(fines[b]))
     assert differ(0, 1) > 0 and differ(0, 2) > 512 - 2 * 0.63 * 256
+
+
+def test_lists_meet_in_blocks(spark, monkeypatch):
+    """A pair that shares many lists is made once, by tasks that hold a part of a list."""
+    monkeypatch.setattr(bottom_k, "WIDE", 3)
+    monkeypatch.setattr(bottom_k, "PAIRS", 4)
+    rng = random.Random(6)
+    base = [rng.getrandbits(62) for _ in range(100)]
+    fines = {i: sorted(base[: 100 - i % 9] + [rng.getrandbits(62) for _ in range(i % 9 + 30 * (i % 3))]) for i in range(40)}
+    component = {i: 0 if i < 12 else i // 2 * 2 for i in fines}
+    rows = [(i, component[i], len(x), x) for i, x in fines.items()]
+    fine = bottom_k.with_bits(spark.createDataFrame(rows, "rep long, component long, n_shingles int, fine array<long>"))
+    lists = spark.createDataFrame([(v, i, component[i]) for v in base[:20] for i in fines], "value long, rep long, component long")
+    found = [(r.a, r.b) for r in bottom_k.cross_pairs(lists, fine, 75).collect()]
+    share = lambda a, b: len(set(fines[a]) & set(fines[b])) / min(len(fines[a]), len(fines[b]))
+    sizes = lambda a, b: 100 * min(len(fines[a]), len(fines[b])) >= 75 * max(len(fines[a]), len(fines[b]))
+    every = {(a, b) for a in fines for b in fines if a < b and component[a] != component[b] and sizes(a, b)}
+    assert len(found) == len(set(found)) and set(found) <= every
+    assert {p for p in every if share(*p) >= bottom_k.NEED_FINE} <= set(found)
