@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm.tables import components, stored
+from stratalake.llm.tables import components, distinct_pairs, faced, facing, stored, whole_blocks
 from stratalake.llm.words import as_bytes, fingerprint, list_column, mix, shingle_sets, slices
 
 #: The share of a sketch that similar sets have in common: with k = 64, four standard deviations below 0.75. For sets
@@ -37,8 +37,8 @@ NEED = 0.53
 FINE, NEED_FINE = 256, 0.63
 #: Bits that tell most pairs apart which such a sketch would not pass.
 BITS = 1024
-#: Members of a list that a task joins at a time; pairs that are looked at together.
-WIDE, PAIRS = 4096, 1 << 19
+#: Pairs that are looked at together.
+PAIRS = 1 << 18
 
 
 def sketches(docs: DataFrame, k: int = 64) -> DataFrame:
@@ -144,92 +144,43 @@ def refined(lists: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 
 
 def meeting(percent: int):
-    """For `mapInArrow` over rows of `cross_pairs` sorted by list and block: pairs (a, b) whose sizes and bits allow the similarity.
+    """For `mapInArrow` over rows of `faced` lists: pairs (a, b) of different components whose sizes and bits allow the similarity.
 
-    The bits drop no pair that shares `NEED_FINE` of the larger sketch. A block's rows of the one side meet those of the other.
+    The bits drop no pair that shares `NEED_FINE` of the larger sketch.
     """
 
-    def pairs_of(rows: pa.Table) -> np.ndarray:
-        value, i, j, left, rep, component, main, n, kept = (rows.column(c).to_numpy() for c in ("value", "i", "j", "left", "rep", "component", "main", "n_shingles", "kept"))
-        n, kept = n.astype(np.int64), kept.astype(np.int64)
+    def pairs_of(rows: pa.Table) -> Iterator[np.ndarray]:
+        rep, component, main, n, kept = (rows.column(c).to_numpy().astype(np.int64) for c in ("rep", "component", "main", "n_shingles", "kept"))
         # Of signed numbers numpy would count the bits of the absolute value.
         bits = np.stack([rows.column(f"b{k}").to_numpy() for k in range(BITS // 64)], axis=1).view(np.uint64)
-        new = np.concatenate(([True], (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        # In a block the left rows come first.
-        n_left = np.add.reduceat(left.astype(np.int64), first)
-        n_right = np.diff(np.append(first, len(value))) - n_left
-        ones = np.flatnonzero(left)
-        meets = n_right[group[ones]]
-        right, total, found, start = (first + n_left)[group[ones]], np.concatenate(([0], np.cumsum(meets))), [], 0
-        while start < len(ones):
-            end = max(start + 1, int(np.searchsorted(total, total[start] + PAIRS, side="right")) - 1)
-            x = np.repeat(np.arange(start, end), meets[start:end])
-            y = right[x] + np.arange(len(x)) - (total[x] - total[start])
-            x = ones[x]
+        for x, y in facing(rows, "value", PAIRS):
             fits = (component[x] != component[y]) & ((component[y] == main[y]) | (rep[x] < rep[y]))
             fits &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
             x, y = x[fits], y[fits]
             differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
             fits = differ <= kept[x] + kept[y] - 2 * np.ceil(np.minimum(kept[x], kept[y]) * NEED_FINE).astype(np.int64)
-            x, y = rep[x[fits]], rep[y[fits]]
-            found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
-            start = end
-        return np.concatenate(found or [np.zeros((2, 0), np.int64)], axis=1)
+            yield np.stack((rep[x[fits]], rep[y[fits]]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _whole_blocks(batches):
-            found = pairs_of(block)
-            # A pair meets in every list that it shares.
-            found = found[:, np.lexsort(found)]
-            found = found[:, np.concatenate(([True], (found[:, 1:] != found[:, :-1]).any(axis=0)))[: found.shape[1]]]
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+        for block in whole_blocks(batches, "value"):
+            yield from distinct_pairs(list(pairs_of(block)))
 
     return rows
 
 
-def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by (value, i, j), cut between blocks only."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c).to_numpy() for c in ("value", "i", "j")]
-        edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-        if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("value", "i", "j"), keys, strict=True)):
-            edges = np.concatenate(([0], edges))
-        if len(edges):
-            yield pa.Table.from_batches([*held, batch.slice(0, int(edges[-1]))], batch.schema)
-            held, batch = [], batch.slice(int(edges[-1]))
-        held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def cross_pairs(lists: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that are in different components and that sizes and bits allow.
 
-    A list's members outside its largest component meet all others; those inside don't meet each other. Both sides of a
-    list are cut into blocks of about `WIDE` members, so no task holds a long list. Tasks join narrow rows and drop what a pair's other lists repeat.
+    A list's members outside its largest component meet all others; those inside don't meet each other. Tasks join narrow
+    rows, in blocks of a list, and drop what a pair's other lists repeat.
     """
     parts = lists.groupBy("value", "component").agg(F.count("*").alias("n"))
-    main = parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts"))
-    blocks = lambda n: F.ceil(n / WIDE).cast("int")
-    main = main.filter("parts > 1").select("value", "main", blocks(F.col("n") - F.col("most")).alias("many_i"), blocks(F.col("n")).alias("many_j"))
-    bits = [f"b{k}" for k in range(BITS // 64)]
-    narrow = fine.select("rep", "n_shingles", F.size("fine").alias("kept"), *bits)
-    rich = lists.join(main, "value").join(narrow, "rep")
-    # The left rows meet every block of the right ones, and the other way round.
-    deal = lambda many: F.pmod(F.xxhash64("rep"), F.col(many)).cast("int")
-    every = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
-    left = F.when(F.col("component") != F.col("main"), F.transform(every("many_j"), lambda j: F.struct(F.lit(True).alias("left"), deal("many_i").alias("i"), j.alias("j"))))
-    right = F.transform(every("many_i"), lambda i: F.struct(F.lit(False).alias("left"), i.alias("i"), deal("many_j").alias("j")))
-    empty = F.array().cast("array<struct<left:boolean,i:int,j:int>>")
-    names = ("rep", "component", "main", "n_shingles", "kept", *bits)
-    rich = rich.select("value", F.explode(F.concat(F.coalesce(left, empty), right)).alias("place"), *names).select("value", "place.*", *names)
-    rich = rich.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j", F.desc("left"))
-    return stored(rich.mapInArrow(meeting(percent), "a long, b long").distinct(), "met")
+    largest = F.max_by("component", F.struct("n", "component")).alias("main")
+    main = parts.groupBy("value").agg(largest, (F.sum("n") - F.max("n")).alias("n_left"), F.sum("n").alias("n_all"))
+    narrow = fine.select("rep", "n_shingles", F.size("fine").alias("kept"), *[f"b{k}" for k in range(BITS // 64)])
+    rows = lists.join(main.filter("n_left > 0"), "value").join(narrow, "rep")
+    rows = faced(rows, "value", "rep", F.col("component") != F.col("main"), "n_left", "n_all")
+    return stored(rows.mapInArrow(meeting(percent), "a long, b long").distinct(), "met")
 
 
 def pass_sketches(pairs: DataFrame, heads: DataFrame, k: int, percent: int) -> DataFrame:

@@ -26,11 +26,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from stratalake.llm.tables import drop_part, stored, stored_by
+from stratalake.llm.tables import distinct_pairs, drop_part, faced, facing, stored, stored_by, whole_blocks
 from stratalake.llm.words import as_bytes, distinct, hash_words, list_column, mix, slices
 
 CELLS = 1 << 22
@@ -46,7 +46,7 @@ ENTRY, KINDS = ("word", "id", "n", "at", "sign1", "sign2"), (np.int64, np.int64,
 KNOWN, TURNS = 300_000, 6
 #: Cells whose counts travel as one row; words of text per part of the lists; entries that a task packs at a time; pairs
 #: that are looked at together.
-BLOCK, PART, HELD, PAIRS = 1 << 16, 1 << 19, 1 << 17, 1 << 20
+BLOCK, PART, HELD, PAIRS = 1 << 16, 1 << 18, 1 << 17, 1 << 18
 
 
 class Lines:
@@ -100,16 +100,10 @@ def _counts(docs: DataFrame, work, cells: int) -> tuple[np.ndarray, int]:
     """Counts per cell over all documents, on a logarithmic scale, and their sum; `work` gives the cells that some texts add to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, held, waiting = np.zeros(cells, np.int64), [], 0
+        count = np.zeros(cells, np.int64)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                held.append(work(as_bytes(part.column("text"))))
-                waiting += len(held[-1])
-                if waiting > cells:
-                    count += np.bincount(np.concatenate(held), minlength=cells)
-                    held, waiting = [], 0
-        if held:
-            count += np.bincount(np.concatenate(held), minlength=cells)
+                np.add.at(count, work(as_bytes(part.column("text"))), 1)
         # A row holds the counts of a range of cells: places in it, then counts.
         for block in range(0, cells, BLOCK):
             some = np.flatnonzero(count[block : block + BLOCK])
@@ -285,40 +279,64 @@ def meeting(similarity: float):
             x, y, need = x[fits], y[fits], need[fits]
             differ = np.bitwise_count(one[x] ^ one[y]).astype(np.int64) + np.bitwise_count(two[x] ^ two[y])
             fits = (differ <= n[x] + n[y] - 2 * need) & (n[x] >= similarity * n[y] - 1e-9)
-            x, y = name[x[fits]], name[y[fits]]
-            yield np.stack((np.minimum(x, y), np.maximum(x, y)))
+            yield np.stack((name[x[fits]], name[y[fits]]))
             start = end
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pieces in _by_part(batches, "part"):
-            found = np.concatenate(list(pairs_of(pieces)), axis=1)
-            found = found[:, np.lexsort(found)]
-            found = found[:, np.concatenate(([True], (found[:, 1:] != found[:, :-1]).any(axis=0)))[: found.shape[1]]]
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            yield from distinct_pairs(list(pairs_of(pieces)))
 
     return rows
 
 
-def some_rows(docs: DataFrame, ids: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Rows of docs (doc_id, text) whose doc_id may be among ids (a column doc_id), by a bitmap of fixed size.
+def common_meeting(similarity: float):
+    """For `mapInArrow` over `faced` rows of common words: candidate pairs (a, b), by the filters of `_close`, each once in a block.
 
-    All rows with such an id are kept, and few others while there are fewer ids than bits; the caller joins exactly.
+    What has been removed meets only what has not.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    share = similarity / (1 + similarity)
+
+    def pairs_of(rows: pa.Table) -> Iterator[np.ndarray]:
+        name, n, at, one, two = (rows.column(c).to_numpy().astype(np.int64) for c in ("id", "n", "at", "sign1", "sign2"))
+        over = rows.column("over").to_numpy()
+        # Of signed numbers numpy would count the bits of the absolute value.
+        one, two = one.view(np.uint64), two.view(np.uint64)
+        for x, y in facing(rows, "word", PAIRS):
+            fits = (name[x] != name[y]) & (over[y] | (name[x] < name[y]))
+            fits &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
+            x, y = x[fits], y[fits]
+            need = np.ceil((n[x] + n[y]) * share - 1e-9).astype(np.int64)
+            fits = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
+            x, y, need = x[fits], y[fits], need[fits]
+            differ = np.bitwise_count(one[x] ^ one[y]).astype(np.int64) + np.bitwise_count(two[x] ^ two[y])
+            fits = differ <= n[x] + n[y] - 2 * need
+            yield np.stack((name[x[fits]], name[y[fits]]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in whole_blocks(batches, "word"):
+            yield from distinct_pairs(list(pairs_of(block)))
+
+    return rows
+
+
+def maybe_among(spark: SparkSession, ids: DataFrame, bits: int = 1 << 23) -> Column:
+    """Whether a row's doc_id (a long) may be among ids (a column doc_id), by a bitmap of fixed size: true for all that are.
+
+    Few others are true while there are fewer ids than bits. Only the place in the bitmap goes to Python, not the row.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("place"), F.lit(64)).cast("int"))
     words = ids.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(one).alias("mask")).toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    shared = spark.sparkContext.broadcast(table.view(np.uint64))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("place").to_numpy().astype(np.uint64)
-            kept = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(kept.astype(bool))).select(["doc_id", "text"])
+    @F.arrow_udf("boolean")
+    def among(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False).astype(np.uint64)
+        return pa.array(((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool))
 
-    return _narrow(docs).withColumn("place", place).mapInArrow(rows, "doc_id long, text string")
+    return among(place)
 
 
 def hash_text(text: bytes | None) -> int:
@@ -345,7 +363,8 @@ def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*arrays, list_column(sets, pa.int64())], ["doc_id", "copy", "line", "words"])
 
     by_doc = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("copy", "line")).alias("lines")).withColumnRenamed("doc_id", "d")
-    texts = some_rows(docs.filter("text is not null"), by_doc.select(F.col("d").alias("doc_id"))).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")))
+    among = maybe_among(docs.sparkSession, by_doc.select(F.col("d").alias("doc_id")))
+    texts = _narrow(docs).filter("text is not null").filter(among).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")))
     return texts.select("doc_id", "text", "lines").mapInArrow(rows, "doc_id long, copy long, line int, words array<long>").distinct()
 
 
@@ -402,8 +421,9 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     done = stored(_later(docs, early, classes, similarity), "done")
     busy = busy.join(done.select("id", F.lit(True).alias("over")).distinct(), "id", "left").withColumn("over", F.col("over").isNotNull())
     busy = stored(busy, "busy")
-    open_pair = (F.col("x.id") != F.col("y.id")) & (F.col("y.over") | (F.col("x.id") < F.col("y.id")))
-    left_over = _meet(busy.filter(~F.col("over")), busy, open_pair, similarity)
+    counts = busy.groupBy("word").agg(F.count_if(~F.col("over")).alias("n_left"), F.count("*").alias("n_all")).filter("n_left > 0")
+    left_over = faced(busy.drop("first").join(counts, "word"), "word", "id", ~F.col("over"), "n_left", "n_all")
+    left_over = left_over.mapInArrow(common_meeting(similarity), "a long, b long").distinct()
 
     # Other words stand in few lines: all their classes meet, in tasks that hold the lists of some words.
     found = [stored(left_over, "pairs")]
@@ -432,8 +452,13 @@ def dedup_lines(
     gone = removed_lines(docs, similarity, least)
     per_text = gone.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     per_doc = per_text.groupBy(F.col("doc_id").alias("__doc__")).agg(F.collect_list(F.struct("copy", "removed")).alias("__gone__"))
+    # Stored, so that what it took is off the disk before the texts are dealt by doc_id; texts that lose nothing stay where they are.
+    per_doc = stored(per_doc, "gone")
     names = [c for c in docs.columns if c not in (count, removed)]
-    joined = docs.select(*names).join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc__")), "left").drop("__doc__")
+    among = maybe_among(docs.sparkSession, per_doc.select(F.col("__doc__").alias("doc_id")))
+    marked = docs.select(*names).withColumn("__among__", among)
+    joined = marked.filter("__among__").drop("__among__").join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc__")), "left").drop("__doc__")
+    whole = marked.filter("not __among__").drop("__among__")
     fields = [f for f in joined.schema.fields if f.name in names]
     schema = StructType([*fields, StructField(count, IntegerType()), StructField(removed, ArrayType(IntegerType()))])
 
@@ -454,4 +479,6 @@ def dedup_lines(
                 columns = [*kept.values(), pa.array(counts, pa.int32()), pa.array(cut, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, [*names, count, removed])
 
-    return joined.mapInArrow(rows, schema)
+    breaks = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
+    whole = whole.select(*names, breaks.alias(count), F.array().cast("array<int>").alias(removed))
+    return joined.mapInArrow(rows, schema).unionByName(whole)

@@ -3,7 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
-from stratalake.llm import bottom_k, words as w
+from stratalake.llm import bottom_k, tables, words as w
 from tests.llm.conftest import EDGES, SENTENCE, Groups, shingles, words
 
 
@@ -87,7 +87,7 @@ def test_bits_tell_sketches_apart(spark):
 
 def test_lists_meet_in_blocks(spark, monkeypatch):
     """A pair that shares many lists is made once, by tasks that hold a part of a list."""
-    monkeypatch.setattr(bottom_k, "WIDE", 3)
+    monkeypatch.setattr(tables, "WIDE", 3)
     monkeypatch.setattr(bottom_k, "PAIRS", 4)
     rng = random.Random(6)
     base = [rng.getrandbits(62) for _ in range(100)]
