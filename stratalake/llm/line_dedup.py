@@ -215,7 +215,7 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
                         held.append(entries)
                         waiting += len(some)
                     elif len(some):
-                        yield _rows(HEAVY, len(some), **dict(zip(ENTRY, entries, strict=True)))
+                        yield _rows(HEAVY, len(some), doc_id=pa.array([ids[i] for i in found.text[of].tolist()], pa.int64()), **dict(zip(ENTRY, entries, strict=True)))
                 if waiting > HELD:
                     yield _dealt(held, parts)
                     held, waiting = [], 0
@@ -319,12 +319,12 @@ def common_meeting(similarity: float):
     return rows
 
 
-def maybe_among(spark: SparkSession, ids: DataFrame, bits: int = 1 << 23) -> Column:
-    """Whether a row's doc_id (a long) may be among ids (a column doc_id), by a bitmap of fixed size: true for all that are.
+def maybe_among(spark: SparkSession, ids: DataFrame, name: str = "doc_id", bits: int = 1 << 23) -> Column:
+    """Whether a row's doc_id (or another long) may be among those of ids, by a bitmap of fixed size: true for all that are.
 
     Few others are true while there are fewer ids than bits. Only the place in the bitmap goes to Python, not the row.
     """
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    place = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col("place"), F.lit(64)).cast("int"))
     words = ids.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(one).alias("mask")).toArrow()
     table = np.zeros(bits // 64, np.int64)
@@ -411,18 +411,19 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy", "line").alias("place")
     keys = ["id", "set2", "n"]
     every = table.filter(F.col("kind") == EVERY).select(*keys, place)
-    classes = stored(every.groupBy(*keys).agg(F.min("place").alias("first")), "classes")
+    classes = stored(every.groupBy(*keys).agg(F.min("place").alias("first"), F.count("*").alias("lines")), "classes")
 
-    # A common word's classes: all against the earliest, then what is left against all.
-    busy = table.filter(F.col("kind") == HEAVY).groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign1", "sign2")])
-    busy = stored(busy.join(classes.groupBy("id").agg(F.min("first").alias("first")), "id"), "busy")
-    pivots = busy.groupBy("word").agg(F.min_by(F.struct("id", "n", "at", "sign1", "sign2"), "first").alias("p")).select("word", "p.*")
+    # A common word's classes: all against one of the earliest, then what is left against all.
+    since = F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("since")
+    busy = table.filter(F.col("kind") == HEAVY).groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign1", "sign2")], since)
+    busy = stored(busy, "busy")
+    pivots = busy.groupBy("word").agg(F.min_by(F.struct("id", "n", "at", "sign1", "sign2"), F.struct("since", "id")).alias("p")).select("word", "p.*")
     early = stored(_meet(pivots, busy, F.col("x.id") != F.col("y.id"), similarity), "early")
     done = stored(_later(docs, early, classes, similarity), "done")
     busy = busy.join(done.select("id", F.lit(True).alias("over")).distinct(), "id", "left").withColumn("over", F.col("over").isNotNull())
     busy = stored(busy, "busy")
     counts = busy.groupBy("word").agg(F.count_if(~F.col("over")).alias("n_left"), F.count("*").alias("n_all")).filter("n_left > 0")
-    left_over = faced(busy.drop("first").join(counts, "word"), "word", "id", ~F.col("over"), "n_left", "n_all")
+    left_over = faced(busy.drop("since").join(counts, "word"), "word", "id", ~F.col("over"), "n_left", "n_all")
     left_over = left_over.mapInArrow(common_meeting(similarity), "a long, b long").distinct()
 
     # Other words stand in few lines: all their classes meet, in tasks that hold the lists of some words.
@@ -436,10 +437,10 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     pairs = stored(pairs, "pairs")
     gone = done.union(_later(docs, pairs, classes, similarity)).distinct().withColumnRenamed("id", "gone").withColumnRenamed("first", "at_place")
 
-    marked = classes.join(gone, (F.col("id") == F.col("gone")) & (F.col("first") == F.col("at_place")), "left")
-    marked = marked.select(*keys, "first", F.col("gone").isNotNull().alias("all_gone"))
-    lines_gone = every.join(marked, keys).filter(F.col("all_gone") | (F.col("place") != F.col("first")))
-    return lines_gone.select("place.doc_id", "place.copy", "place.line").distinct()
+    # The first lines of removed classes, and every line that repeats one: only classes of several lines have those.
+    many = classes.filter("lines > 1").select(*keys, "first")
+    repeats = every.filter(maybe_among(docs.sparkSession, many, "id")).join(many, keys).filter(F.col("place") != F.col("first"))
+    return gone.select("at_place.*").union(repeats.select("place.*")).select("doc_id", "copy", "line").distinct()
 
 
 def dedup_lines(

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from stratalake.llm import line_dedup, queries
+from stratalake.llm import line_dedup, queries, tables
 from tests.llm.conftest import EDGES, words
 
 
@@ -109,3 +109,21 @@ def test_lists_are_packed(table):
     found = line_dedup.lists(table("documents"), 0.75, 1)
     lines, rows, entries = found.selectExpr("count_if(kind = -1)", "count_if(kind >= 0)", "sum(octet_length(data)) / 40").first()
     assert entries > 2 * lines and rows < lines / 4
+
+
+def test_texts_that_lose_nothing_are_not_dealt(docs, monkeypatch):
+    """They pass beside the join with what is removed, with all columns; lists of common words meet in blocks."""
+    monkeypatch.setattr(line_dedup, "COMMON", 3)
+    monkeypatch.setattr(tables, "WIDE", 4)
+    rng = random.Random(2)
+    rows = [(i, "\n".join(" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 9))) for _ in range(4))) for i in range(40)]
+    rows += [(90, None), (91, ""), (92, "\n"), (93, "alone here"), (94, "alone\r\nhere too \n")]
+    found = line_dedup.dedup_lines(docs(rows), least=1)
+    assert result(found) == brute(rows, least=1)
+    by_id = {r.doc_id: r for r in found.collect()}
+    for i, text in rows:
+        assert by_id[i].n_lines == (0 if text is None else len(text.split("\n"))) and by_id[i].lang == "en"
+        if not by_id[i].removed:
+            assert by_id[i].text == text
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "Union" in plan
