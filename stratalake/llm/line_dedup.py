@@ -9,8 +9,8 @@ Lines with equal sets become a class; only its first line can stay. For the othe
 counts over all documents, kept in a table of fixed size, which only ever merges counts), and two similar sets share a
 word among the rarest `n - ceil(similarity * n) + 1` of each; a word that stands in one place only is not listed. Lists
 are joined under the length filter, the positional filter and a bound on the differing words from bitmaps, packed by part
-of the words, in tasks that hold a part. The list of a common word (in more than `COMMON` places) could give pairs by the square of its length: its classes first meet only the
-earliest one, and those that match are removed and done; the rest then meet all. Candidates are verified on the full sets of 64-bit word hashes, read from the texts again.
+of the words, in tasks that hold a part. The list of a common word (in more than `COMMON` places) could give pairs by the square of its length: its classes first meet only one of
+the earliest, and those that match are removed and done; the rest then meet all, in tasks that hold blocks of a list. Candidates are verified on the full sets of 64-bit word hashes, read from the texts again.
 
 Null or empty texts have no lines that can match. Null doc_ids sort last. Rows with the same doc_id: their lines are
 told apart by a hash of the text, and equal rows count as one document, whose lines stay or go together. All columns
