@@ -10,7 +10,8 @@ counts over all documents, kept in a table of fixed size, which only ever merges
 word among the rarest `n - ceil(similarity * n) + 1` of each; a word that stands in one place only is not listed. Lists
 are joined under the length filter, the positional filter and a bound on the differing words from bitmaps, packed by part
 of the words, in tasks that hold a part. The list of a common word (in more than `COMMON` places) could give pairs by the square of its length: its classes first meet only one of
-the earliest, and those that match are removed and done; the rest then meet all, in tasks that hold blocks of a list. Candidates are verified on the full sets of 64-bit word hashes, read from the texts again.
+the earliest, and those that match are removed and done; the rest then meet all whose size and place leave room. A list of more than `HUGE` places is not held by one
+task but in blocks. Candidates are verified on the full sets of 64-bit word hashes, read from the texts again.
 
 Null or empty texts have no lines that can match. Null doc_ids sort last. Rows with the same doc_id: their lines are
 told apart by a hash of the text, and equal rows count as one document, whose lines stay or go together. All columns
@@ -34,15 +35,17 @@ from stratalake.llm.tables import distinct_pairs, drop_part, faced, facing, stor
 from stratalake.llm.words import as_bytes, distinct, hash_words, list_column, mix, slices
 
 CELLS = 1 << 22
-COMMON = 1024
+#: Places of a word from which its classes first meet one of the earliest only, and from which its list is more than a task should hold.
+COMMON, HUGE = 1024, 1 << 15
 _HASH_BITS = np.uint64((1 << 40) - 1)
 
-#: Rows of three kinds: a line (`EVERY`), an entry of a common word's list (`HEAVY`), and the entries of other lists for a
-#: part of the words, packed (kind: the turn that joins them).
+#: Rows of four kinds: a line (`EVERY`), an entry of a huge list (`HEAVY`), and the entries of other lists for a part of the
+#: words, packed: those of common words (`BUSY`), and all others (kind: the turn that joins them).
 LINE = "kind int, doc_id long, copy long, line int, n int, id long, set2 long, word long, at int, sign1 long, sign2 long, part int, data binary"
 _LINE = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in LINE.split(", ")])
-EVERY, HEAVY = -1, -2
+EVERY, HEAVY, BUSY = -1, -2, -3
 ENTRY, KINDS = ("word", "id", "n", "at", "sign1", "sign2"), (np.int64, np.int64, np.int32, np.int32, np.uint64, np.uint64)
+NO_ID = 2**63 - 1
 KNOWN, TURNS = 300_000, 6
 #: Cells whose counts travel as one row; words of text per part of the lists; entries that a task packs at a time; pairs
 #: that are looked at together.
@@ -147,18 +150,23 @@ def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
     return columns
 
 
-def _by_part(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[bytes]]]:
-    """The data of each part of rows sorted by part."""
-    now, held = None, []
+def _by_part(batches: Iterator[pa.RecordBatch], column: str, name: str | None = None) -> Iterator[tuple]:
+    """The data of each part of rows sorted by part; and, if the rows have such a column, the names that come without data."""
+    now, held, names = None, [], []
+    out = lambda: (now, held, np.array(names, np.int64)) if name else (now, held)
     for batch in batches:
-        for part, data in zip(batch.column(column).to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if part != now and held:
-                yield now, held
-                held = []
+        given = batch.column(name).to_pylist() if name and name in batch.schema.names else [None] * batch.num_rows
+        for part, data, one in zip(batch.column(column).to_pylist(), batch.column("data").to_pylist(), given, strict=True):
+            if part != now and (held or names):
+                yield out()
+                held, names = [], []
             now = part
-            held.append(data)
-    if held:
-        yield now, held
+            if data is None:
+                names.append(one)
+            else:
+                held.append(data)
+    if held or names:
+        yield out()
 
 
 def _level(n: int) -> int:
@@ -173,12 +181,13 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
         return _cell(hash_words(texts)[0] >> np.uint64(24))
 
     table, total = _counts(docs, all_words, CELLS)
-    rarity, single, common = context.broadcast(table), _level(1), _level(COMMON)
+    rarity, single, common, huge = context.broadcast(table), _level(1), _level(COMMON), _level(max(COMMON, HUGE))
     parts = TURNS * (1 + total // (TURNS * PART))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        held, waiting = [], 0
+        held: dict[int | None, list] = {None: [], BUSY: []}
+        waiting = dict.fromkeys(held, 0)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = as_bytes(part.column("text"))
@@ -207,20 +216,25 @@ def lists(docs: DataFrame, similarity: float, least: int) -> DataFrame:
                     EVERY, len(use), doc_id=pa.array([ids[i] for i in line.tolist()], pa.int64()), copy=np.array([hash_text(t) for t in texts], np.int64)[line],
                     line=found.within[use].astype(np.int32), n=found.size[use].astype(np.int32), id=one[use], set2=two[use],
                 )
-                busy = found.rank[listed] > common
-                for some, heavy in ((listed[busy], True), (listed[~busy], False)):
+                level = found.rank[listed]
+                for kind, some in ((HEAVY, listed[level > huge]), (BUSY, listed[(level > common) & (level <= huge)]), (None, listed[level <= common])):
+                    if not len(some):
+                        continue
                     of = found.line[some]
                     entries = [found.word[some].view(np.int64), one[of], found.size[of].astype(np.int32), found.at[some].astype(np.int32), *(sign[of] for sign in signs)]
-                    if not heavy:
-                        held.append(entries)
-                        waiting += len(some)
-                    elif len(some):
+                    if kind == HEAVY:
                         yield _rows(HEAVY, len(some), doc_id=pa.array([ids[i] for i in found.text[of].tolist()], pa.int64()), **dict(zip(ENTRY, entries, strict=True)))
-                if waiting > HELD:
-                    yield _dealt(held, parts)
-                    held, waiting = [], 0
-        if waiting:
-            yield _dealt(held, parts)
+                        continue
+                    if kind == BUSY:
+                        entries.append(np.array([NO_ID if i is None else i for i in ids], np.int64)[found.text[of]])
+                    held[kind].append(entries)
+                    waiting[kind] += len(some)
+                    if waiting[kind] > HELD:
+                        yield _dealt(held[kind], parts, kind)
+                        held[kind], waiting[kind] = [], 0
+        for kind in held:
+            if waiting[kind]:
+                yield _dealt(held[kind], parts, kind)
 
     return _narrow(docs).mapInArrow(rows, LINE)
 
@@ -233,40 +247,75 @@ def _rows(kind: int, count: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_LINE)
 
 
-def _dealt(held: list, parts: int) -> pa.RecordBatch:
-    """Entries of lists, one row for each part of the words."""
+def _dealt(held: list, parts: int, kind: int | None) -> pa.RecordBatch:
+    """Entries of lists, one row for each part of the words; without a kind the parts take turns."""
     columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-    part = (columns[0] % parts).astype(np.int32)
+    # Numbers of 16 bits are sorted by their digits.
+    part = (columns[0] % parts).astype(np.uint16 if parts <= 1 << 16 else np.int32)
     order = np.argsort(part, kind="stable")
     columns, part = [c[order] for c in columns], part[order]
     edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
     data = pa.array([_pack([c[a:b] for c in columns]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
-    part = part[edges[:-1]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part % TURNS) if f.name == "kind" else pa.array(part) if f.name == "part" else data if f.name == "data" else pa.nulls(len(part), f.type) for f in _LINE],
-        schema=_LINE,
-    )
+    part = part[edges[:-1]].astype(np.int32)
+    given = {"kind": pa.array(part % TURNS if kind is None else np.full(len(part), kind, np.int32)), "part": pa.array(part), "data": data}
+    return pa.RecordBatch.from_arrays([given[f.name] if f.name in given else pa.nulls(len(part), f.type) for f in _LINE], schema=_LINE)
+
+
+def _most(n: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """The largest size of a similar set whose first shared word stands at `at`: the set still has room for what both must share."""
+    share = similarity / (1 + similarity)
+    return np.minimum(np.floor(n / similarity + 1e-9), np.floor((n - at) / share - n + 1e-6)).astype(np.int64)
+
+
+def _listed(pieces: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    """The entries of packed lists, each class once in a list, by word and size."""
+    columns = [np.concatenate(c) for c in zip(*(_unpack(p, kinds) for p in pieces), strict=True)]
+    # Equal words, and then equal classes, stand together: a class has one size.
+    order = np.lexsort((columns[1], columns[2], columns[0]))
+    columns = [c[order] for c in columns]
+    word, name = columns[:2]
+    # Several tasks may have listed a class; the smallest of a further column counts.
+    new = np.concatenate(([True], (word[1:] != word[:-1]) | (name[1:] != name[:-1])))
+    further = [np.minimum.reduceat(c, np.flatnonzero(new)) for c in columns[len(KINDS) :]]
+    return [*(c[new] for c in columns[: len(KINDS)]), *further]
+
+
+def first_meeting(similarity: float):
+    """For `mapInArrow` over rows (part, data) of common words: candidate pairs of a list's earliest class (a) and another (b)."""
+    share = similarity / (1 + similarity)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, pieces in _by_part(batches, "part"):
+            word, name, n, at, one, two, since = _listed(pieces, (*KINDS, np.int64))
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            order = np.lexsort((name, since, word))
+            new = np.concatenate(([True], word[1:] != word[:-1]))
+            # Sorted by word either way, so a list has the same places in both orders.
+            x, y = order[np.flatnonzero(new)][np.cumsum(new) - 1], np.arange(len(word))
+            need = np.ceil((n[x] + n[y]) * share - 1e-9).astype(np.int64)
+            differ = np.bitwise_count(one[x] ^ one[y]).astype(np.int64) + np.bitwise_count(two[x] ^ two[y])
+            fits = (x != y) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+            fits &= (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & (differ <= n[x] + n[y] - 2 * need)
+            a, b = name[x[fits]], name[y[fits]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), part, np.int32)), pa.array(a), pa.array(b)], ["part", "a", "b"])
+
+    return rows
 
 
-def meeting(similarity: float):
+def meeting(similarity: float, kinds: tuple = KINDS):
     """For `mapInArrow` over rows (part, data) sorted by part: candidate pairs (a, b) of classes that share a listed word.
 
     The filters are those of `_close`. Lists are sorted by the sets' sizes, so a class only meets those that may fit its size.
+    Rows without data name classes (id) that have been removed: two of them don't meet.
     """
 
-    def pairs_of(pieces: list[bytes]) -> Iterator[np.ndarray]:
-        word, name, n, at, one, two = (np.concatenate(c) for c in zip(*(_unpack(p, KINDS) for p in pieces), strict=True))
-        order = np.lexsort((name, n, word))
-        word, name, n, at, one, two = (c[order] for c in (word, name, n, at, one, two))
-        # Several tasks may have listed a class.
-        new = np.concatenate(([True], (word[1:] != word[:-1]) | (name[1:] != name[:-1])))
-        word, name, n, at, one, two = (c[new] for c in (word, name, n, at, one, two))
+    def pairs_of(pieces: list[bytes], gone: np.ndarray) -> Iterator[np.ndarray]:
+        word, name, n, at, one, two, *_ = _listed(pieces, kinds)
+        over = np.isin(name, gone)
         group = np.cumsum(np.concatenate(([False], word[1:] != word[:-1])))
         n, at = n.astype(np.int64), at.astype(np.int64)
         share = similarity / (1 + similarity)
-        # The first shared word stands here: the smaller set still has room for what both must share.
-        most = np.minimum(np.floor(n / similarity + 1e-9), np.floor((n - at) / share - n + 1e-6)).astype(np.int64)
-        stop = np.searchsorted(group << 32 | n, group << 32 | np.maximum(most, 0), side="right")
+        stop = np.searchsorted(group << 32 | n, group << 32 | np.maximum(_most(n, at, similarity), 0), side="right")
         meets = np.maximum(stop - np.arange(len(n)) - 1, 0)
         total = np.concatenate(([0], np.cumsum(meets)))
         start = 0
@@ -276,6 +325,8 @@ def meeting(similarity: float):
             y = x + 1 + np.arange(len(x)) - (total[x] - total[start])
             need = np.ceil((n[x] + n[y]) * share - 1e-9).astype(np.int64)
             fits = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
+            if len(gone):
+                fits &= ~(over[x] & over[y])
             x, y, need = x[fits], y[fits], need[fits]
             differ = np.bitwise_count(one[x] ^ one[y]).astype(np.int64) + np.bitwise_count(two[x] ^ two[y])
             fits = (differ <= n[x] + n[y] - 2 * need) & (n[x] >= similarity * n[y] - 1e-9)
@@ -283,8 +334,9 @@ def meeting(similarity: float):
             start = end
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, pieces in _by_part(batches, "part"):
-            yield from distinct_pairs(list(pairs_of(pieces)))
+        for _, pieces, gone in _by_part(batches, "part", "id"):
+            if pieces:
+                yield from distinct_pairs(list(pairs_of(pieces, gone)))
 
     return rows
 
@@ -301,9 +353,11 @@ def common_meeting(similarity: float):
         over = rows.column("over").to_numpy()
         # Of signed numbers numpy would count the bits of the absolute value.
         one, two = one.view(np.uint64), two.view(np.uint64)
-        for x, y in facing(rows, "word", PAIRS):
+        # Only sizes that may fit: by themselves, and by the room that the words from here on leave.
+        low = np.ceil(similarity * n - 1e-9).astype(np.int64)
+        high = np.maximum(_most(n, at, similarity), 0)
+        for x, y in facing(rows, "word", PAIRS, n, low, high):
             fits = (name[x] != name[y]) & (over[y] | (name[x] < name[y]))
-            fits &= np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9
             x, y = x[fits], y[fits]
             need = np.ceil((n[x] + n[y]) * share - 1e-9).astype(np.int64)
             fits = np.minimum(n[x] - at[x], n[y] - at[y]) >= need
@@ -413,21 +467,32 @@ def removed_lines(docs: DataFrame, similarity: float = 0.75, least: int = 5) ->
     every = table.filter(F.col("kind") == EVERY).select(*keys, place)
     classes = stored(every.groupBy(*keys).agg(F.min("place").alias("first"), F.count("*").alias("lines")), "classes")
 
-    # A common word's classes: all against one of the earliest, then what is left against all.
-    since = F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("since")
-    busy = table.filter(F.col("kind") == HEAVY).groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign1", "sign2")], since)
-    busy = stored(busy, "busy")
-    pivots = busy.groupBy("word").agg(F.min_by(F.struct("id", "n", "at", "sign1", "sign2"), F.struct("since", "id")).alias("p")).select("word", "p.*")
-    early = stored(_meet(pivots, busy, F.col("x.id") != F.col("y.id"), similarity), "early")
+    # A common word's classes: all against one of the earliest, then what is left against all. Huge lists first: their
+    # entries are rows of their own, as no task should hold a list.
+    since = F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("since")
+    heavy = table.filter(F.col("kind") == HEAVY).groupBy("word", "id").agg(*[F.first(c).alias(c) for c in ("n", "at", "sign1", "sign2")], since)
+    heavy = stored(heavy, "heavy")
+    pivots = heavy.groupBy("word").agg(F.min_by(F.struct("id", "n", "at", "sign1", "sign2"), F.struct("since", "id")).alias("p")).select("word", "p.*")
+    packed = table.filter(F.col("kind") == BUSY).select("part", "data")
+    firsts = packed.repartition("part").sortWithinPartitions("part").mapInArrow(first_meeting(similarity), "part int, a long, b long")
+    firsts = stored(firsts, "firsts")
+    early = _meet(pivots, heavy, F.col("x.id") != F.col("y.id"), similarity).union(firsts.select(F.least("a", "b"), F.greatest("a", "b")))
+    early = stored(early.distinct(), "early")
     done = stored(_later(docs, early, classes, similarity), "done")
-    busy = busy.join(done.select("id", F.lit(True).alias("over")).distinct(), "id", "left").withColumn("over", F.col("over").isNotNull())
-    busy = stored(busy, "busy")
-    counts = busy.groupBy("word").agg(F.count_if(~F.col("over")).alias("n_left"), F.count("*").alias("n_all")).filter("n_left > 0")
-    left_over = faced(busy.drop("since").join(counts, "word"), "word", "id", ~F.col("over"), "n_left", "n_all")
+    over = done.select("id").distinct()
+    heavy = heavy.join(over.withColumn("over", F.lit(True)), "id", "left").withColumn("over", F.col("over").isNotNull())
+    heavy = stored(heavy, "heavy")
+    counts = heavy.groupBy("word").agg(F.count_if(~F.col("over")).alias("n_left"), F.count("*").alias("n_all")).filter("n_left > 0")
+    left_over = faced(heavy.drop("since").join(counts, "word"), "word", "id", ~F.col("over"), "n_left", "n_all")
     left_over = left_over.mapInArrow(common_meeting(similarity), "a long, b long").distinct()
+    # Those that fit a list lie in a task, with what it needs to know of them.
+    told = firsts.select("part", F.explode(F.array("a", "b")).alias("id")).distinct().join(over, "id", "left_semi")
+    told = told.select("part", F.lit(None).cast("binary").alias("data"), "id")
+    busy = packed.withColumn("id", F.lit(None).cast("long")).union(told).repartition("part").sortWithinPartitions("part")
+    busy = busy.mapInArrow(meeting(similarity, (*KINDS, np.int64)), "a long, b long")
 
     # Other words stand in few lines: all their classes meet, in tasks that hold the lists of some words.
-    found = [stored(left_over, "pairs")]
+    found = [stored(left_over, "pairs"), stored(busy, "pairs")]
     for turn in range(TURNS):
         # Words take turns, so that few lists are shuffled at a time; those that have been joined are dropped.
         part = table.filter(F.col("kind") == turn).select("part", "data").repartition("part").sortWithinPartitions("part")

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from stratalake.llm import line_dedup, queries, tables
 from tests.llm.conftest import EDGES, words
 
@@ -127,3 +129,43 @@ def test_texts_that_lose_nothing_are_not_dealt(docs, monkeypatch):
             assert by_id[i].text == text
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "Union" in plan
+
+
+def test_lists_of_common_words(docs, monkeypatch):
+    """They are packed as others are unless huge, their classes meet as by brute force, and those of other sizes don't."""
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 25))] for _ in range(9)]
+    rows = []
+    for i in range(80):
+        text = []
+        for line in rng.choices(base, k=5):
+            line = list(line)
+            for _ in range(rng.randrange(4)):
+                line[rng.randrange(len(line))] = f"n{rng.randrange(30)}"
+            text.append(" ".join(line[: rng.randrange(len(line) // 2, len(line)) + 1]))
+        rows.append((None if i == 70 else i, "\n".join(text)))
+    want = brute([(10**6 if i is None else i, t) for i, t in rows], least=1)
+    want[None] = want.pop(10**6)
+    monkeypatch.setattr(line_dedup, "COMMON", 8)
+    # Also with huge lists, in blocks; and with all words in parts of their own.
+    monkeypatch.setattr(tables, "WIDE", 4)
+    for huge, part in ((1 << 15, 1 << 18), (40, 50), (8, 1 << 18)):
+        monkeypatch.setattr(line_dedup, "HUGE", huge)
+        monkeypatch.setattr(line_dedup, "PART", part)
+        kinds = {r.kind: r["count"] for r in line_dedup.lists(docs(rows), 0.75, 1).groupBy("kind").count().collect()}
+        assert (line_dedup.HEAVY in kinds) == (huge < 1 << 15) and (line_dedup.BUSY in kinds) == (huge > 8)
+        assert result(line_dedup.dedup_lines(docs(rows), least=1)) == want
+
+
+def test_blocks_meet_by_size():
+    """Of a block's pairs only those of sizes in reach are looked at."""
+    rng = np.random.default_rng(1)
+    n = rng.integers(1, 400, 600)
+    word, left = np.sort(rng.integers(0, 3, 600)), rng.random(600) < 0.5
+    rows = pa.table({"left": left, "right": ~left | (rng.random(600) < 0.5), "word": word, "i": np.zeros(600, int), "j": np.zeros(600, int)})
+    low, high = np.ceil(0.75 * n).astype(int), n // 3 * 4
+    right = rows.column("right").to_numpy()
+    want = {(x, y) for x in np.flatnonzero(left) for y in np.flatnonzero(right & (word == word[x]) & (n >= low[x]) & (n <= high[x]))}
+    found = [p for x, y in tables.facing(rows, "word", 1000, n, low, high) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert len(found) < 0.5 * sum(len(x) for x, _ in tables.facing(rows, "word", 1000))
