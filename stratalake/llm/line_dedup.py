@@ -545,6 +545,6 @@ def dedup_lines(
                 columns = [*kept.values(), pa.array(counts, pa.int32()), pa.array(cut, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, [*names, count, removed])
 
-    breaks = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
+    breaks = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("int")
     whole = whole.select(*names, breaks.alias(count), F.array().cast("array<int>").alias(removed))
     return joined.mapInArrow(rows, schema).unionByName(whole)
